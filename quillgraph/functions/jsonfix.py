@@ -83,7 +83,7 @@ def repair_column(rows: DataFrame, column: str = "response") -> DataFrame:
 def clamp(value: Column, missing: float = 0.7) -> Column:
     """A number within 0 and 1: ``missing`` for null, the middle for text that is no number."""
     number = value.cast("string").try_cast("double")
-    return F.when(value.isNull(), F.lit(missing)).otherwise(F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), number)), F.lit(0.5)))
+    return F.when(value.isNull(), F.lit(missing)).when(number.isNull() | F.isnan(number), F.lit(0.5)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), number)))
 
 
 def allowed(value: Column, values: tuple[str, ...], default: str) -> Column:

@@ -68,7 +68,7 @@ def coverage(concepts: DataFrame, claims: DataFrame, total_docs: int | Column) -
     total = F.lit(total_docs) if isinstance(total_docs, int) else total_docs
     n = claims.groupBy(F.col("concept_id").alias("id")).agg(F.count_distinct("document_id").alias("n_docs"))
     joined = concepts.select("project_id", "id").join(n, "id", "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(0)))
-    return joined.withColumn("coverage_score", F.coalesce(F.least(F.lit(1.0), F.try_divide(F.col("n_docs"), total)), F.lit(0.0)))
+    return joined.withColumn("coverage_score", F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("n_docs"), total), F.lit(0.0))))
 
 
 def frequencies(claims: DataFrame) -> DataFrame:

@@ -127,7 +127,7 @@ def normalize(tables: dict[str, DataFrame], total_docs: int, threshold: float |
     docs = claims.groupBy(F.col("concept_id").alias("id")).agg(F.count_distinct("document_id").alias("_docs"))
     kept = concepts.join(names.select(F.col("keep_id").alias("id"), "group_id", "canonical_name", "aliases", "merged_from_ids"), "id")
     kept = remap(kept.join(means, "group_id", "left").join(texts, "group_id", "left").join(docs, "id", "left"), mapping, "parent_concept_id")
-    share = F.coalesce(F.least(F.lit(1.0), F.try_divide(F.coalesce("_docs", F.lit(0)), F.lit(total_docs))), F.lit(0.0))
+    share = F.least(F.lit(1.0), F.coalesce(F.try_divide(F.coalesce("_docs", F.lit(0)), F.lit(total_docs)), F.lit(0.0)))
     single = F.size("merged_from_ids") == 0
     kept = kept.withColumn("name", F.col("canonical_name")).withColumn("embedding", F.when(single, F.col("embedding")).otherwise(F.col("_mean"))).withColumn("description", F.when(single, F.col("description")).otherwise(F.coalesce("_text", "description"))).withColumn("coverage_score", share)
     out = kept.select(*concepts.columns, "aliases", "merged_from_ids")

@@ -478,8 +478,8 @@ def relationship_importance(spark, sf):
 
 
 @register(
-    f"""with {REL}, d as (select least(source_concept_id, target_concept_id) as a, greatest(source_concept_id, target_concept_id) as b, * from rel where relationship_type <> 'builds_on' and id % 3 = 0),
-    best as (select a, b, arg_max(id, (confidence, -id)) as seq, count(*) as n from d group by all) select a, b, best.n, rel.relationship_type as type, rel.confidence from best join rel on rel.id = best.seq""",
+    f"""with {REL}, d as (select least(source_concept_id, target_concept_id) as a, greatest(source_concept_id, target_concept_id) as b, * from rel where relationship_type <> 'builds_on' and id % 3 = 0)
+    select a, b, count(*) as n, arg_max(relationship_type, (confidence, -id)) as type, max(confidence) as confidence from d group by all""",
 )
 def relationship_dedup(spark, sf):
     """Without ``extends``, the first of the greatest confidence stays."""
