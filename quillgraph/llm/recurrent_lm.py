@@ -6,8 +6,8 @@
    characters, and have their add-one share of their class's count.
 3. Each training document gives one stretch of ``TRAIN_TOKENS`` tokens at a hashed place. Trainers
    learn from shares of these by truncated backpropagation, from common weights, and their
-   weights are averaged; so for some rounds. The number of trainers is bounded, the
-   documents each learns from grow with the input.
+   weights are averaged; so for some rounds. Trainers grow with the input, each with a bounded
+   share; many weights are added up in executors first.
 4. Every text is scored as a whole, its state carried from window to window. Counts of
    words that workers don't know are joined from the table of all counts.
 
@@ -37,7 +37,9 @@ from quillgraph.llm.common import id_crc, materialize, words_lower
 
 #: Words whose counts all workers hold, none longer than ``KNOWN_BYTES``.
 KNOWN, KNOWN_BYTES = 300_000, 48
-TRAIN_TOKENS, ROUNDS, TRAINERS, TRAINER_TEXTS, PASS_TEXTS = 48, 3, 12, 2_000, 8_000
+TRAIN_TOKENS, ROUNDS, PASS_TEXTS = 48, 3, 8_000
+#: Trainers of small corpora, texts that one has at least and at most, and sums of weights that come to the driver at once.
+TRAINERS, LEAST_TEXTS, MOST_TEXTS, SUMS = 12, 2_000, 20_000, 24
 #: Texts that advance together.
 LANES, BATCH_WORDS = 256, 600_000
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -199,12 +201,23 @@ def _unpack(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
+def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean of a task's weights, by the texts that each was learned from."""
+    n, total = 0, None
+    for batch in batches:
+        for k, w in zip(batch.column(0).to_pylist(), batch.column(1)):
+            w = np.frombuffer(w.as_py(), "<f4").astype(np.float64) * k
+            n, total = n + k, w if total is None else total + w
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(total / n).astype("<f4").tobytes()], pa.binary())], ["n", "w"])
+
+
 def train(sample: DataFrame, weights: gru.Weights, seed: int = 11, rate: float = 0.01) -> gru.Weights:
     """Rounds of learning apart and averaging; each round sees a share of the stretches, small samples more than once."""
     n = sample.count()
     if not n:
         return weights
-    trainers = max(1, min(TRAINERS, n // TRAINER_TEXTS))
+    trainers = max(1, min(TRAINERS, n // LEAST_TEXTS), n // MOST_TEXTS)
     passes = max(1, min(10, PASS_TEXTS * trainers // n))
     names = list(weights)
     dealt = sample.withColumn("h", F.xxhash64("ids"))
@@ -219,7 +232,10 @@ def train(sample: DataFrame, weights: gru.Weights, seed: int = 11, rate: float =
                 yield pa.RecordBatch.from_arrays([pa.array([len(rows)]), pa.array([flat.tobytes()], pa.binary())], ["n", "w"])
 
         share = dealt.where(F.pmod("h", F.lit(ROUNDS)) == turn) if passes == 1 else dealt
-        results = share.select("ids").repartition(trainers).mapInArrow(learn, "n long, w binary").toArrow().to_pylist()
+        learned = share.select("ids").repartition(trainers).mapInArrow(learn, "n long, w binary")
+        if trainers > SUMS:
+            learned = learned.repartition(SUMS).mapInArrow(add_up, "n long, w binary")
+        results = learned.toArrow().to_pylist()
         if not results:
             continue
         results.sort(key=lambda r: (r["n"], r["w"]))
@@ -234,7 +250,9 @@ def train(sample: DataFrame, weights: gru.Weights, seed: int = 11, rate: float =
 def score_texts(w: gru.Weights, texts: list[np.ndarray]) -> np.ndarray:
     """Natural logarithm of each sequence of ids, which end with 0. Lanes take one text after the other, the longest first."""
     order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
-    lanes: list[list[int]] = [[] for _ in range(min(LANES, len(texts)))]
+    # Fewer lanes where one text outweighs the rest, so that no more than eight times the tokens are laid out.
+    total, longest = sum(map(len, texts)), len(texts[order[0]])
+    lanes: list[list[int]] = [[] for _ in range(max(1, min(LANES, len(texts), 8 * total // longest)))]
     heap = [(0, k) for k in range(len(lanes))]
     for k in order:
         size, lane = heapq.heappop(heap)
