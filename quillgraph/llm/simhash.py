@@ -31,6 +31,8 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints of a tile (16 bytes each), and of a block that is compared at once.
 TILE, BLOCK = 1 << 14, 256
 NO_ID = (1 << 63) - 1
+#: Pairs of tiles that a task compares, about.
+PAIRS = 16
 #: Ids that are broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -163,10 +165,11 @@ def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE)
     reach = tiles.select(F.col("tile").alias("t"), F.explode(F.sequence("lo", "hi")).alias("pop"))
     near = tiles.select(F.col("tile").alias("u"), F.explode(F.sequence(F.col("lo") - radius, F.col("hi") + radius)).alias("pop"))
     pairs = materialize(reach.join(near, "pop").where("t <= u").select("t", "u").distinct(), "tile-pairs")
-    tasks = max(1, min(pairs.count(), 4 * tiles.sparkSession.sparkContext.defaultParallelism))
+    met = pairs.count()
+    tasks = max(1, min(met, max(4 * tiles.sparkSession.sparkContext.defaultParallelism, met // PAIRS)))
     left = tiles.select(F.col("tile").alias("t"), F.col("fps").alias("fps_a"), F.col("ids").alias("ids_a"))
     right = tiles.select(F.col("tile").alias("u"), F.col("fps").alias("fps_b"), F.col("ids").alias("ids_b"))
-    met = pairs.join(left, "t").join(right, "u").repartition(tasks, "t", "u")
+    dealt = pairs.join(left, "t").join(right, "u").repartition(tasks, "t", "u")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +179,7 @@ def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE)
                 ends = [np.frombuffer(ia, "<i8")[p], np.frombuffer(ib, "<i8")[q]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["a", "b"])
 
-    return met.select("t", "u", "fps_a", "fps_b", "ids_a", "ids_b").mapInArrow(compare, "a long, b long")
+    return dealt.select("t", "u", "fps_a", "fps_b", "ids_a", "ids_b").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
