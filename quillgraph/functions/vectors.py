@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.sources.store import stored
+
 #: Dimensions up to which expressions are unrolled.
 UNROLL = 128
-#: Vectors of a block.
-BLOCK = 1024
+#: Vectors of a block, and pairs of blocks that a task multiplies, about.
+BLOCK, TASK_PAIRS = 1024, 16
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -82,7 +84,7 @@ def similar_pairs(df: DataFrame, low: float, high: float, project: str = "projec
     """``project_id, a, b, sim``: pairs a < b of a project with cosine from ``low`` to ``high``.
 
     Vectors are packed into blocks; each pair of blocks of a project is one row, multiplied
-    as matrices in a task. Nothing but blocks is shuffled, and a row holds two of them. Null
+    as matrices in a task; a row holds no more than two blocks. Null
     vectors have no pair; zero vectors have cosine 0.
     """
 
@@ -122,11 +124,15 @@ def similar_pairs(df: DataFrame, low: float, high: float, project: str = "projec
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), p)), pa.array(np.minimum(a[r], b[c])), pa.array(np.maximum(a[r], b[c])), pa.array(sim[r, c])], ["project_id", "a", "b", "sim"])
 
     rows = df.where(F.col(vector).isNotNull()).select(F.col(project).cast("long").alias("p"), F.col(id_col).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"))
-    # Whole runs of a project stay together where the input has them so; ids order blocks, so that reruns agree.
-    blocks = rows.repartition("p", F.floor(F.col("i") / block)).sortWithinPartitions("p", "i").mapInArrow(pack, "p long, ids binary, m binary")
-    blocks = blocks.withColumn("k", F.xxhash64("ids"))
-    left = blocks.select("p", F.col("k").alias("ka"), F.col("ids").alias("ia"), F.col("m").alias("ma"))
-    right = blocks.select("p", F.col("k").alias("kb"), F.col("ids").alias("ib"), F.col("m").alias("mb"))
-    met = left.join(right, "p").where("ka <= kb").select("p", "ia", "ma", "ib", "mb", (F.col("ka") == F.col("kb")).alias("same"))
-    parallel = df.sparkSession.sparkContext.defaultParallelism
-    return met.repartition(4 * parallel, "ia", "ib").select("p", "ia", "ma", "ib", "mb", "same").mapInArrow(multiply, "project_id long, a long, b long, sim double")
+    # Ids order the vectors of a block, so that reruns agree.
+    dealt = rows.repartition("p", F.floor(F.col("i") / block)).sortWithinPartitions("p", "i")
+    blocks = stored(dealt.mapInArrow(pack, "p long, ids binary, m binary").withColumn("k", F.xxhash64("p", "ids")), "blocks")
+    # Pairs of blocks are found by their keys alone; vectors join them where they are dealt.
+    keys = blocks.select("p", F.col("k").alias("ka"))
+    pairs = keys.join(blocks.select("p", F.col("k").alias("kb")), "p").where("ka <= kb").select("ka", "kb")
+    left = blocks.select(F.col("k").alias("ka"), "p", F.col("ids").alias("ia"), F.col("m").alias("ma"))
+    right = blocks.select(F.col("k").alias("kb"), F.col("ids").alias("ib"), F.col("m").alias("mb"))
+    met = pairs.join(left, "ka").join(right, "kb").withColumn("same", F.col("ka") == F.col("kb"))
+    n = blocks.count()
+    tasks = max(4 * df.sparkSession.sparkContext.defaultParallelism, n * (n + 1) // 2 // TASK_PAIRS)
+    return met.repartition(tasks, "ka", "kb").select("p", "ia", "ma", "ib", "mb", "same").mapInArrow(multiply, "project_id long, a long, b long, sim double")

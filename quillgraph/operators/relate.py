@@ -31,7 +31,7 @@ def top_pairs(pairs: DataFrame, n: int = 500) -> DataFrame:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def mentions(concepts: DataFrame, chunks: DataFrame, largest: int = 200_000) -> DataFrame:
+def mentions(concepts: DataFrame, chunks: DataFrame, largest: int = 2_000) -> DataFrame:
     """``concept_id, chunk_id``: chunks that contain a concept's name, whatever the case.
 
     Names are few beside chunks and are matched with each text; blank names match none. Up to

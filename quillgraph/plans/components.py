@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _stored(df: DataFrame) -> DataFrame:
-    """Writes to the folder in ``spark.checkpoint.dir`` (a local one where that is unset) and rereads."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    path = f"{base.rstrip('/')}/quillgraph-labels-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from quillgraph.sources.store import stored
 
 
 def label_components(edges: DataFrame) -> DataFrame:
@@ -24,13 +14,13 @@ def label_components(edges: DataFrame) -> DataFrame:
     Each round takes the least label among neighbours and then that label's own label, so rounds
     grow with the logarithm of a component's length.
     """
-    both = _stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
+    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
     while True:
         least = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         step = labels.join(least, "node").select("node", F.least("component", "near").alias("next"), "component")
         jump = step.join(step.select(F.col("node").alias("next"), F.col("next").alias("far")), "next")
-        now = _stored(jump.select("node", F.least("next", "far").alias("component"), (F.least("next", "far") != F.col("component")).alias("changed")))
+        now = stored(jump.select("node", F.least("next", "far").alias("component"), (F.least("next", "far") != F.col("component")).alias("changed")))
         if not now.where("changed").limit(1).count():
             return now.select("node", "component")
         labels = now.select("node", "component")

@@ -5,6 +5,7 @@ Readers of a version are never disturbed, and a job that fails leaves the curren
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from quillgraph.sources.schemas import TABLES, conform, empty
 
 
+def stored(df: DataFrame, name: str = "part") -> DataFrame:
+    """``df``, written once to the folder in ``spark.checkpoint.dir`` (a local one where that is unset) and reread.
+
+    It cuts lineage, and what it holds outlives executors.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    path = f"{base.rstrip('/')}/quillgraph-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
