@@ -200,3 +200,34 @@ def context_window(chunks: DataFrame, n: int = 1) -> DataFrame:
     """``id, chunk_index, context``: each chunk with its ``n`` neighbours on either side."""
     around = W.partitionBy("id").orderBy("chunk_index").rowsBetween(-n, n)
     return chunks.select("id", "chunk_index", F.array_join(F.collect_list("content").over(around), "\n\n").alias("context"))
+
+
+def safe_divide(a: Column, b: Column, default: float = 0.0) -> Column:
+    """a / b; the default where b is 0 or either is null."""
+    return F.coalesce(F.try_divide(a, b), F.lit(default))
+
+
+def prefixed(kind: str, i: Column) -> Column:
+    """An id with its kind before it, as ``concept_7``."""
+    return F.concat(F.lit(f"{kind}_"), i.cast("string"))
+
+
+def detect_language(texts: Column, least_words: int = 20, sample: int = 3000) -> Column:
+    """The language by the optional ``langdetect``; ``unknown`` for short texts and where that isn't installed."""
+
+    @F.pandas_udf(T.StringType())
+    def detect(batch):
+        try:
+            from langdetect import detect as find
+        except ImportError:
+            return pd.Series(["unknown"] * len(batch), index=batch.index)
+
+        def one(t):
+            try:
+                return find(t[:sample])
+            except Exception:  # texts without letters
+                return "unknown"
+
+        return batch.map(one)
+
+    return F.when(F.coalesce(word_count(texts), F.lit(0)) < least_words, "unknown").otherwise(detect(F.coalesce(texts, F.lit(""))))

@@ -188,3 +188,46 @@ def merge_records(rows: DataFrame) -> DataFrame:
         F.min("id").alias("id"), F.min_by("name", "_k").alias("name"), F.max_by("description", F.struct(F.length("description"), -F.col("_k"))).alias("description"),
         F.avg("generality_score").alias("generality_score"), F.avg("coverage_score").alias("coverage_score"), F.avg("consensus_score").alias("consensus_score"),
     )
+
+
+def first_names(rows: DataFrame, *within: str) -> DataFrame:
+    """Of rows of one clean name within ``within`` (such as a chunk), the first by ``position``."""
+    first = W.partitionBy(*within, "_clean").orderBy("position")
+    named = rows.withColumn("_clean", clean_name(F.col("name"))).where("_clean <> ''")
+    return named.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k", "_clean")
+
+
+def match_concepts(new: DataFrame, existing: DataFrame, threshold: float = DEFAULTS.merge_similarity) -> DataFrame:
+    """``project_id, id, concept_id, is_new``: what each new concept is.
+
+    In order of id: the concept of the same clean name; else the first known one that is similar enough; else
+    it is new, and known to those after it. Names are matched by a join; only what is left is matched in order, one
+    project a task, against the vectors of its project.
+    """
+    names = match_names(new, existing)
+    left = new.join(names.where("concept_id is null").select(F.col("new_id").alias("id")), "id", "left_semi")
+    columns = [F.col("project_id").cast("long").alias("project_id"), F.col("id").cast("long").alias("id"), clean_name(F.col("name")).alias("clean"), F.col("embedding").cast("array<double>").alias("embedding")]
+    both = left.select(*columns, F.lit(True).alias("fresh")).unionByName(existing.select(*columns, F.lit(False).alias("fresh")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["fresh", "id"])
+        known: dict[str, int] = {}
+        vectors, owners, out = [], [], []
+        for i, clean, v, fresh in zip(pdf["id"], pdf["clean"], pdf["embedding"], pdf["fresh"]):
+            x = None if v is None else np.asarray(v, float) / max(float(np.linalg.norm(v)), 1e-10)
+            to = known.get(clean) if fresh else None
+            if fresh and to is None and x is not None and vectors:
+                hit = np.flatnonzero(np.array(vectors) @ x >= threshold)
+                to = owners[hit[0]] if len(hit) else None
+            if fresh:
+                out.append((pdf["project_id"].iat[0], i, i if to is None else to, to is None))
+            if to is None:
+                known.setdefault(clean, i)
+                if x is not None:
+                    vectors.append(x)
+                    owners.append(i)
+        return pd.DataFrame(out, columns=["project_id", "id", "concept_id", "is_new"])
+
+    matched = both.groupBy("project_id").applyInPandas(run, "project_id long, id long, concept_id long, is_new boolean")
+    named = names.where("concept_id is not null").join(new.select(F.col("id").alias("new_id"), "project_id"), "new_id")
+    return matched.unionByName(named.select(F.col("project_id").cast("long"), F.col("new_id").alias("id"), "concept_id", F.lit(False).alias("is_new")))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.functions import jsonfix, text
+from quillgraph.functions import jsonfix, layout, text
 from quillgraph.operators import catalog, cluster, consensus, gaps, graphmap, relate, resolve, search
 from quillgraph.sources import views
 from quillgraph.sources.views import TOTAL_DOCS, with_views
@@ -639,6 +639,40 @@ def inferred_domain(spark, sf):
     return gaps.domain(views.concepts(spark, sf)).select("domain")
 
 
+@register(
+    """with l as (select user_id as id, event_id, round(value / 100, 1) as size from events), c as (select id, size, count(*) as n, min(event_id) as first from l group by all)
+    select id, arg_min(size, (-n, first))::double as body from c group by id"""
+)
+def body_sizes(spark, sf):
+    """Users as documents, and their values as sizes of lines."""
+    lines = views.table(spark, sf, "events").select(F.col("user_id").alias("id"), "event_id", (F.col("value") / 100).alias("size"))
+    return layout.body_sizes(lines, ("event_id",))
+
+
+@register(r"""with c as (select *, trim(regexp_replace(lower(event_type || ' ' || (event_id % 7)), '[^\p{L}\p{N}_\s]', '', 'g')) as clean from events), r as (select event_id, user_id, clean, row_number() over (partition by user_id, clean order by event_id) as k from c) select event_id, user_id, clean from r where k = 1""")
+def first_names(spark, sf):
+    """Users as chunks, and their events as extracted names."""
+    rows = views.table(spark, sf, "events").select("event_id", "user_id", F.concat_ws(" ", "event_type", (F.col("event_id") % 7).cast("string")).alias("name"), F.col("event_id").alias("position"))
+    return resolve.first_names(rows, "user_id").select("event_id", "user_id", F.col("name").alias("clean"))
+
+
+@register()
+def match_concepts(spark, sf):
+    c = views.concepts(spark, sf)
+    return resolve.match_concepts(c.where("id % 5 = 0").withColumn("name", F.concat("name", F.lit(" new"))), c.where("id % 5 <> 0"), 0.4)
+
+
+@register(f"with {PAIRS} select least(a, b) as id, max(sim) > 0 as linked, count(*) as n from pairs group by 1", "concepts")
+def similar_counts(spark, sf):
+    pairs = _pairs(spark, sf)
+    return pairs.groupBy(F.least("a", "b").alias("id")).agg((F.max("sim") > 0).alias("linked"), F.count("*").alias("n"))
+
+
+@register(f"with {PAIRS}, ways as (select a, b from pairs union all select b, a from pairs), g as (select x.id as id, y.id as other, y.generality_score as g from ways join concepts x on x.id = ways.a join concepts y on y.id = ways.b where y.generality_score - x.generality_score > 0.2::double), best as (select id, arg_max(other, (g, -other)) as parent_id from g group by id) select c.id, coalesce(parent_id, -1) as parent_id from concepts c left join best on best.id = c.id", "concepts")
+def greedy_hierarchy(spark, sf):
+    return cluster.greedy_hierarchy(views.concepts(spark, sf), 0.2, 0.3).select("id", F.coalesce("parent_id", F.lit(-1)).alias("parent_id"))
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """The concept map's nodes: the flagship query."""
     return concept_map_nodes(spark, sf)

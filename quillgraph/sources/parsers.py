@@ -143,3 +143,23 @@ def parse_files(files: DataFrame, p: Params = DEFAULTS, types: tuple[str, ...] |
 def with_project(parsed: DataFrame, project_id: int) -> DataFrame:
     """Documents of a room."""
     return parsed.withColumn("project_id", F.lit(project_id))
+
+
+def file_metadata(files: DataFrame) -> DataFrame:
+    """``filename, file_type, length`` without reading the files: ``content`` is never asked for."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select(name.alias("filename"), F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).alias("file_type"), "length")
+
+
+def check_setup(spark: SparkSession) -> dict[str, bool]:
+    """Whether what the engine needs is there: Python, Arrow, the shared folder, and optional parsers."""
+    import importlib.util
+    import sys
+
+    def has(name: str) -> bool:
+        return importlib.util.find_spec(name) is not None
+
+    return {
+        "python": sys.version_info >= (3, 10), "arrow": has("pyarrow"), "pandas": has("pandas"), "spark": spark.range(1).count() == 1,
+        "shared_folder": bool(spark.conf.get("spark.checkpoint.dir", None)), "pdf_optional": has("fitz"), "language_optional": has("langdetect"),
+    }

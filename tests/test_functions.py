@@ -103,3 +103,18 @@ def test_typed_rows(spark):
     claims = json.dumps([{"claim_text": "c", "claim_type": "Extends", "related_concept": "x", "confidence": "0.4"}, {"claim_text": "d", "claim_type": "?"}])
     got = jsonfix.claim_rows(spark.createDataFrame([(claims,)], "json string")).orderBy("position").collect()
     assert [(r["claim_text"], r["claim_type"], r["confidence"]) for r in got] == [("c", "extends", 0.4), ("d", "supports", 0.7)]
+
+
+def test_sections_from_lines(spark):
+    from quillgraph.functions import layout
+
+    rows = [(1, 1, 5.0, 0.0, 10.0, False, "running head", 100.0), (1, 1, 20.0, 0.0, 16.0, False, "Title", 100.0), (1, 1, 30.0, 5.0, 10.0, False, "right", 100.0), (1, 1, 30.0, 0.0, 10.0, None, "left", 100.0), (1, 2, 50.0, 0.0, 10.0, True, "Bold head", 100.0), (1, 2, 60.0, 0.0, 10.0, False, "12", 100.0), (1, 2, 70.0, 0.0, 10.0, False, "body", 100.0)]
+    df = spark.createDataFrame(rows, "id long, page_num int, y double, x double, size double, bold boolean, text string, height double")
+    got = [tuple(r) for r in layout.sections_from_lines(df).orderBy("section").collect()]
+    assert got == [(1, 1, "Title", 1, 1, "left\nright"), (1, 2, "Bold head", 3, 2, "body")]
+    tie = spark.createDataFrame([(1, 1, 2.0, 0.0, 9.0), (1, 1, 1.0, 0.0, 11.0)], "id long, page_num int, y double, x double, size double")
+    assert layout.body_sizes(tie).first()["body"] == 11.0
+
+
+def test_small_helpers(spark):
+    assert tuple(one(spark, text.safe_divide(F.lit(1.0), F.lit(0.0), 7.0), text.prefixed("concept", F.lit(3)), text.detect_language(F.lit("short")))) == (7.0, "concept_3", "unknown")

@@ -170,3 +170,10 @@ def test_empty_map(spark):
     edges = graphmap.map_edges(shown, spark.createDataFrame([], "id long, source_concept_id long, target_concept_id long, relationship_type string, strength double, confidence double"))
     row = graphmap.map_metadata(shown, edges).first()
     assert (row["total_concepts"], row["total_relationships"], row["total_gaps"], row["num_clusters"], row["has_clustering"]) == (0, 0, 0, 0, False)
+
+
+def test_match_concepts_in_order(spark):
+    existing = spark.createDataFrame([(1, 1, "Graph", None, [1.0, 0.0], None, None), (2, 1, "Other", None, None, None, None)], CONCEPT)
+    new = spark.createDataFrame([(10, 1, "the graph", None, [0.0, 1.0], None, None), (11, 1, "near", None, [0.9, 0.1], None, None), (12, 1, "fresh", None, [0.0, 1.0], None, None), (13, 1, "fresh", None, None, None, None), (14, 1, "like fresh", None, [0.1, 0.9], None, None)], CONCEPT)
+    got = {r["id"]: (r["concept_id"], r["is_new"]) for r in resolve.match_concepts(new, existing).collect()}
+    assert got == {10: (1, False), 11: (1, False), 12: (12, True), 13: (12, False), 14: (12, False)}
