@@ -8,8 +8,8 @@ as a fraction, is below the rest of the rate. Reruns agree.
 
 A null or empty text has size 0 and is emitted like the others of its source. A null source
 is a source of its own, the last. A null id is hashed as the empty text. Repeated rows share
-their fate. Empty tables give empty results. Columns that the operator adds replace columns
-of the same name.
+their fate. Empty tables give empty results. The plan's
+columns replace columns of the same name; the mix has the columns of the documents as they are.
 """
 
 from __future__ import annotations
@@ -55,28 +55,36 @@ def source_targets(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), shar
     return filled.select("source", "source_size", target.alias("target"))
 
 
-def mixing_plan(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """Adds ``size, source_size, target, copies`` to every document of ``docs(doc_id, text, source)``."""
-    added = ("size", "source_size", "target", "copies")
-    docs = docs.drop(*added).withColumn("size", words_of())
-    targets = materialize(source_targets(docs, weights, share, most), "mix-targets")
-    targets = targets.withColumnRenamed("source", "_mix_source")
+ADDED = ("size", "source_size", "target", "copies")
+
+
+def _planned(docs: DataFrame, seed: int, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """``docs`` with what the plan adds, under names that begin with ``_mix_``."""
+    docs = docs.withColumn("_mix_size", words_of())
+    targets = materialize(source_targets(docs.select("source", F.col("_mix_size").alias("size")), weights, share, most), "mix-targets")
+    targets = targets.select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"))
     if targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         joined = docs.join(F.broadcast(targets), F.col("source").eqNullSafe(F.col("_mix_source")), "left")
     else:  # salted, as one source may hold most documents
         docs = docs.withColumn("_mix_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        targets = targets.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("_mix_salt", "_mix_salt2")
+        targets = targets.withColumn("_mix_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         same = F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_salt") == F.col("_mix_salt2"))
         joined = docs.join(targets, same, "left").drop("_mix_salt", "_mix_salt2")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    rate = F.when(F.col("_mix_source_size") > 0, F.col("_mix_target") / F.col("_mix_source_size")).otherwise(F.lit(0.0))
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     fraction = F.conv(F.substring(draw, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     copies = (F.floor(rate) + F.when(fraction < rate - F.floor(rate), 1).otherwise(0)).cast("int")
-    return joined.drop("_mix_source").withColumn("copies", copies)
+    return joined.drop("_mix_source").withColumn("_mix_copies", copies)
+
+
+def mixing_plan(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """Adds ``size, source_size, target, copies`` to every document of ``docs(doc_id, text, source)``."""
+    planned = _planned(docs, seed, weights, share, most)
+    return planned.select(*[F.col(c) for c in docs.columns if c.lower() not in ADDED], *[F.col(f"_mix_{c}").alias(c) for c in ADDED])
 
 
-def mix_sources(docs: DataFrame, **parameters) -> DataFrame:
+def mix_sources(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The mix: each document as often as its copies say, with the columns of ``docs``."""
-    plan = mixing_plan(docs, **parameters)
-    repeated = plan.where(F.col("copies") > 0).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    planned = _planned(docs, seed, weights, share, most).where(F.col("_mix_copies") > 0)
+    repeated = planned.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
     return repeated.select(*[F.col(c) for c in docs.columns])

@@ -50,6 +50,7 @@ def test_mix_emits_copies(spark, odd, none):
     assert mixed.columns == odd.columns
     got = Counter((r["doc_id"], r["text"]) for r in mixed.collect())
     times = Counter((r["doc_id"], r["text"]) for r in odd.collect())
+    assert all(r["size"] == r["doc_id"] for r in mixed.collect())  # a column of the documents, not the plan's
     assert got == +Counter({k: plan[k]["copies"] * times[k] for k in plan})
     assert plan[(2, None)]["size"] == 0 and plan[(7, "  \t\n \v")]["size"] == 0 and plan[(4, plan_text(plan))]["size"] == 60_000
     assert mixing.mixing_plan(none).count() == 0 and mixing.mix_sources(none).count() == 0
