@@ -511,9 +511,9 @@ def cluster_summary(spark, sf):
     return cluster.cluster_summary(views.concepts(spark, sf), dim=DIM).select("cluster_label", "n", "avg_generality", "cohesion")
 
 
-@register("with h as (select cluster_label, arg_max(id, (generality_score, -id)) as head from concepts group by all) select id, c.cluster_label, case when id <> head then head end as parent_concept_id from concepts c join h on h.cluster_label = c.cluster_label", "concepts")
+@register("with h as (select cluster_label, arg_max(id, (generality_score, -id)) as head from concepts group by all) select id, c.cluster_label, case when id <> head then head else -1 end as parent_concept_id from concepts c join h on h.cluster_label = c.cluster_label", "concepts")
 def cluster_heads_hierarchy(spark, sf):
-    return cluster.hierarchy(views.concepts(spark, sf)).select("id", "cluster_label", "parent_concept_id")
+    return cluster.hierarchy(views.concepts(spark, sf)).select("id", "cluster_label", F.coalesce("parent_concept_id", F.lit(-1)).alias("parent_concept_id"))
 
 
 @register(
