@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -96,13 +97,18 @@ def ensure_user(users: DataFrame, user_id: str, email: str | None = None, name:
     return users.unionByName(one.select(*users.columns).join(users.select("id"), "id", "left_anti").select(*users.columns))
 
 
+def numbered(rows: DataFrame, start: int, *order: str) -> DataFrame:
+    """Rows with ids from ``start``. Ids are dealt by ranges, so that no task orders all rows."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    base = ranged.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
+    before = base.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return ranged.join(F.broadcast(before), "_p").withColumn("id", F.lit(start) + F.col("_before") + F.col("_m") - F.col("_first")).drop("_p", "_m", "_n", "_first", "_before")
+
+
 def append_new(rows: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
     """Rows and those of ``fresh`` whose keys aren't there, numbered on."""
-    from pyspark.sql import Window as W
-
-    new = fresh.join(rows.select(*keys), keys, "left_anti")
-    new = new.withColumn("id", (F.row_number().over(W.orderBy(*keys)) + F.lit(next_id(rows) - 1)).cast(rows.schema["id"].dataType))
-    return rows.unionByName(new.select(*rows.columns))
+    new = numbered(fresh.drop("id").join(rows.select(*keys), keys, "left_anti"), next_id(rows), *keys)
+    return rows.unionByName(new.withColumn("id", F.col("id").cast(rows.schema["id"].dataType)).select(*rows.columns))
 
 
 Tables = dict[str, DataFrame]

@@ -14,18 +14,19 @@ def importance_rank(importance: Column) -> Column:
     return F.when(importance == "critical", 0).when(importance == "nice_to_have", 2).otherwise(1)
 
 
-def _top(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
-    return rows.withColumn("_k", F.row_number().over(W.partitionBy("project_id").orderBy(*order))).where(F.col("_k") <= n).drop("_k")
-
-
 def map_concepts(concepts: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """The concepts in the map of each project: the best real ones and the most important gaps."""
+    """The concepts in the map of each project: the best real ones and the most important gaps.
+
+    One scan and one ranking; tasks drop what can't be in the map before they shuffle.
+    """
     gap = F.coalesce(F.col("is_gap"), F.lit(False))
     head = F.when(F.col("parent_concept_id").isNull(), 1.0).otherwise(0.0)
     rank = 0.4 * F.coalesce("coverage_score", F.lit(0.0)) + 0.3 * F.coalesce("generality_score", F.lit(0.0)) + 0.3 * head
-    real = _top(concepts.where(~gap), [F.desc(rank), F.col("id")], p.map_concepts)
-    gaps = _top(concepts.where(gap), [importance_rank(F.col("importance")), F.col("id")], p.map_gaps)
-    return real.unionByName(gaps)
+    order = [F.when(gap, importance_rank(F.col("importance"))), F.desc(F.when(~gap, rank)), F.col("id")]
+    rows = concepts.withColumn("_gap", gap)
+    ranked = rows.withColumn("_k", F.row_number().over(W.partitionBy("project_id", "_gap").orderBy(*order)))
+    kept = ranked.where(F.col("_k") <= max(p.map_concepts, p.map_gaps)).where(F.col("_k") <= F.when(F.col("_gap"), p.map_gaps).otherwise(p.map_concepts))
+    return kept.drop("_k", "_gap")
 
 
 def map_nodes(shown: DataFrame, claims: DataFrame) -> DataFrame:

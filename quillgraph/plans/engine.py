@@ -12,26 +12,18 @@ from collections.abc import Callable
 from threading import Thread
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import clean_name, section_chunks, word_count
 from quillgraph.functions.vectors import mean_vectors
 from quillgraph.operators import catalog, cluster, consensus, gaps, graphmap, relate, resolve, search
+from quillgraph.operators.catalog import numbered
 from quillgraph.params import DEFAULTS, Params
 from quillgraph.plans.models import Embedder, HashedWords, extract_claims, extract_concepts, template_answer
 from quillgraph.sources.parsers import PARSERS, parse_files
 from quillgraph.sources.store import Store
 
 
-def numbered(rows: DataFrame, start: int, *order: str) -> DataFrame:
-    """Rows with ids from ``start``. Ids are dealt by ranges, so that no task orders all rows."""
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    base = ranged.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
-    before = base.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return ranged.join(F.broadcast(before), "_p").withColumn("id", F.lit(start) + F.col("_before") + F.col("_m") - F.col("_first")).drop("_p", "_m", "_n", "_first", "_before")
-
-
 class Engine:
     def __init__(self, store: Store, embedder: Embedder | None = None, params: Params = DEFAULTS):
         self.store, self.embedder, self.p = store, embedder or HashedWords(), params

@@ -177,3 +177,10 @@ def test_match_concepts_in_order(spark):
     new = spark.createDataFrame([(10, 1, "the graph", None, [0.0, 1.0], None, None), (11, 1, "near", None, [0.9, 0.1], None, None), (12, 1, "fresh", None, [0.0, 1.0], None, None), (13, 1, "fresh", None, None, None, None), (14, 1, "like fresh", None, [0.1, 0.9], None, None)], CONCEPT)
     got = {r["id"]: (r["concept_id"], r["is_new"]) for r in resolve.match_concepts(new, existing).collect()}
     assert got == {10: (1, False), 11: (1, False), 12: (12, True), 13: (12, False), 14: (12, False)}
+
+
+def test_numbering_goes_on(spark):
+    rows = spark.createDataFrame([(4, 1, 2)], "id long, a long, b long")
+    fresh = spark.range(50).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = catalog.append_new(rows, fresh, ["a", "b"]).orderBy("id").collect()
+    assert [r["id"] for r in got] == list(range(4, 54)) and [r["a"] for r in got[1:]] == [0, *range(2, 50)]
