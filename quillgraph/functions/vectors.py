@@ -1,15 +1,14 @@
 """Vectors as ``array<double>`` columns.
 
-Arithmetic against a literal vector is unrolled, so that it stays in generated code;
-products of two columns use higher-order functions. Means are one average per position,
-combined before the shuffle; no row is exploded. Pairs of all vectors of a project are
+Products use higher-order functions. Means are one average per position, combined before
+the shuffle; no row is exploded. Pairs of all vectors of a project are
 made block by block in numpy.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +17,8 @@ from pyspark.sql import functions as F
 
 from quillgraph.sources.store import stored
 
-#: Dimensions up to which expressions are unrolled.
-UNROLL = 128
+#: Dimensions up to which a mean is an average per position.
+MEAN_DIM = 512
 #: Vectors of a block, and pairs of blocks that a task multiplies, about.
 BLOCK, TASK_PAIRS = 1024, 16
 
@@ -38,10 +37,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), None).when((F.size(a) != F.size(b)) | (size == 0), 0.0).otherwise(dot(a, b) / size)
 
 
+def constant(q: list[float]) -> Column:
+    """A fixed vector, as one literal after constant folding."""
+    return F.from_json(F.lit(json.dumps([float(x) for x in q])), "array<double>")
+
+
 def dot_literal(a: Column, q: list[float]) -> Column:
-    if len(q) > UNROLL:
-        return dot(a, F.array(*[F.lit(float(x)) for x in q]))
-    return reduce(lambda s, x: s + x, [a[i] * F.lit(float(x)) for i, x in enumerate(q)])
+    return dot(a, constant(q))
 
 
 def cosine_literal(a: Column, q: list[float]) -> Column:
@@ -72,7 +74,7 @@ def mean_vectors(df: DataFrame, keys: list[str], vector: str = "embedding", norm
     """``keys, centroid, n``: the mean of each group's vectors."""
     dim = dimension(df, vector) if dim is None else dim
     grouped = df.where(F.col(vector).isNotNull())
-    if dim <= 4 * UNROLL:
+    if dim <= MEAN_DIM:
         means = grouped.groupBy(*keys).agg(F.array(*[F.avg(F.col(vector)[i]) for i in range(dim)]).cast("array<double>").alias("centroid"), F.count("*").alias("n"))
     else:
         each = grouped.select(*keys, F.posexplode(vector).alias("i", "x")).groupBy(*keys, "i").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
