@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.vectors import similar_pairs
 from quillgraph.params import DEFAULTS, Params
+from quillgraph.sources.store import stored
 
 # A model's classes as stored types, and how much a type counts.
 STORED_TYPE = {"supports": "similar", "extends": "builds_on", "contradicts": "contradicts", "complements": "complements", "none": None}
@@ -164,13 +165,13 @@ def detect(concepts: DataFrame, chunks: DataFrame, claims: DataFrame, relationsh
 
     ``classify`` maps pairs to pairs with ``type, direction, confidence``; by default rules stand in for a model.
     """
-    pairs = top_pairs(fresh_pairs(candidate_pairs(concepts, p), relationships), p.max_pairs)
+    pairs = stored(top_pairs(fresh_pairs(candidate_pairs(concepts, p), relationships), p.max_pairs), "pairs")
     if classify is None:
         named = {"parent_child": "supports", "prerequisite": "extends", "builds_on": "extends", "complements": "complements", "similar": "supports"}
         to = F.create_map(*[F.lit(x) for kv in named.items() for x in kv])
         pairs = classify_by_rules(pairs, concepts).select(*pairs.columns, to[F.col("type")].alias("type"), F.when((F.col("type") == "builds_on"), "b_to_a").otherwise("a_to_b").alias("direction"), F.col("rule_strength").alias("confidence"))
     else:
         pairs = classify(pairs)
-    seen = mentions(concepts, chunks)
+    pairs, seen = stored(pairs, "classified"), stored(mentions(concepts, chunks), "mentions")  # a model is asked once; texts are searched once
     scored = score_pairs(pairs, cooccurrence(seen, pairs), shared_documents(claims, pairs), seen)
     return dedupe_relationships(resolve_direction(scored).withColumn("seq", F.col("rank").cast("long")))

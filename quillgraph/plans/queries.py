@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import jsonfix, layout, text
 from quillgraph.operators import catalog, cluster, consensus, gaps, graphmap, relate, resolve, search
 from quillgraph.sources import views
+from quillgraph.sources.store import stored
 from quillgraph.sources.views import TOTAL_DOCS, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -463,7 +464,7 @@ def shared_docs(spark, sf):
 )
 def relationship_strength(spark, sf):
     """Documents with claims stand for the chunks that mention a concept."""
-    claims, pairs = views.claims(spark, sf), _pairs(spark, sf).withColumn("confidence", F.lit(0.9))
+    claims, pairs = views.claims(spark, sf), stored(_pairs(spark, sf)).withColumn("confidence", F.lit(0.9))
     seen = claims.select("concept_id", F.col("document_id").alias("chunk_id")).distinct()
     return relate.score_pairs(pairs, relate.cooccurrence(seen, pairs), relate.shared_documents(claims, pairs), seen).select("a", "b", "strength")
 

@@ -5,6 +5,7 @@ Readers of a version are never disturbed, and a job that fails leaves the curren
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -13,16 +14,44 @@ from pyspark.sql import DataFrame, SparkSession
 from quillgraph.sources.schemas import TABLES, conform, empty
 
 
+_FOLDERS: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """This application's folder below ``spark.checkpoint.dir``; removed when Python exits.
+
+    A local folder stands in only where that setting is unset.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillgraph-")
+        _FOLDERS[app] = f"{base.rstrip('/')}/quillgraph-{app}"
+        atexit.register(_remove, spark, _FOLDERS[app])
+    return _FOLDERS[app]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Deletes the folder if the JVM still answers; a cluster's folder policy does it otherwise."""
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:
+        pass
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def stored(df: DataFrame, name: str = "part") -> DataFrame:
-    """``df``, written once to the folder in ``spark.checkpoint.dir`` (a local one where that is unset) and reread.
+    """``df``, written once to the shared folder and reread.
 
     It cuts lineage, and what it holds outlives executors.
     """
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    path = f"{base.rstrip('/')}/quillgraph-{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Store:
