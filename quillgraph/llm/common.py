@@ -1,65 +1,29 @@
 """Helpers that the training-data operators share.
 
 * Words are ``[^\\x20\\x09-\\x0D]+``: ``bytes.split()`` cuts at exactly those six bytes.
-* Results that are read more than once are written to the folder that the session
-  names in ``spark.checkpoint.dir`` and reread, which cuts lineage and survives the
-  loss of an executor. A local folder is made only where that setting is unset.
+* Results that are read more than once are written to the folder that the session names in
+  ``spark.checkpoint.dir`` and reread (``materialize``).
 """
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.sources.store import scratch
+from quillgraph.sources.store import stored as materialize
+
+__all__ = ["WORD", "id_crc", "materialize", "read_table", "scratch", "words_lower"]
+
 #: Words as a Java / RE2 regular expression.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_LOCAL: dict[str, str] = {}
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """This application's folder below ``spark.checkpoint.dir``; removed when Python exits."""
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
-        _LOCAL[app] = f"{base.rstrip('/')}/quillgraph-{app}"
-        atexit.register(_remove, spark, _LOCAL[app])
-    return _LOCAL[app]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    """Deletes the folder if the JVM still answers; a cluster's folder policy does it otherwise."""
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:
-        pass
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and rereads it."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def id_crc(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text (null: of the empty text)."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
