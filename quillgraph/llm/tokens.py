@@ -17,7 +17,7 @@ import re
 import numpy as np
 
 #: Distinct parts that a worker keeps; about 200 bytes each.
-MEMO_LIMIT = 3 << 19
+MEMO_LIMIT = 1 << 20
 #: Longer parts are encoded but not kept.
 MEMO_PART = 48
 
