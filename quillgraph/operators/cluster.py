@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillgraph.functions.vectors import dot, l2_normalize, mean_vectors, similar_pairs
 from quillgraph.params import DEFAULTS, Params
+from quillgraph.sources.store import stored
 
 NOISE = -1
+#: Vectors of a block of a large project, pairs of blocks that a task compares, about, and trees that a task merges.
+BLOCK, TASK_PAIRS, TREES = 2048, 16, 16
 
 
 def adaptive_size(n: int, floor: int) -> int:
@@ -41,14 +48,65 @@ def _spanning_tree(d: np.ndarray) -> list[tuple[float, int, int]]:
     return sorted(out)
 
 
+def _tree_between(d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths, rows and columns of a least spanning tree of the edges between rows and columns."""
+    sides = d, np.ascontiguousarray(d.T)
+    # Nodes inside are never reached again (least) and never chosen (near).
+    least = [np.full(k, np.inf) for k in d.shape]
+    near = [np.full(k, np.inf) for k in d.shape]
+    source = [np.zeros(k, int) for k in d.shape]
+    side, at, out = 0, 0, []
+    least[0][0] = -np.inf
+    for _ in range(sum(d.shape) - 1):
+        row, other = sides[side][at], 1 - side
+        closer = np.flatnonzero(row < least[other])
+        least[other][closer] = near[other][closer] = row[closer]
+        source[other][closer] = at
+        first = [int(np.argmin(x)) for x in near]
+        side = 0 if near[0][first[0]] <= near[1][first[1]] else 1
+        at = first[side]
+        out.append((near[side][at], *((at, source[0][at]) if side == 0 else (source[1][at], at))))
+        least[side][at], near[side][at] = -np.inf, np.inf
+    h, a, b = zip(*out)
+    return np.array(h), np.array(a), np.array(b)
+
+
+def merge_trees(edges: list[np.ndarray]) -> np.ndarray:
+    """A least spanning forest of the edges (rows: length, two points), sorted by length and points."""
+    all_edges = np.concatenate(edges)
+    lo, hi = np.minimum(all_edges["a"], all_edges["b"]), np.maximum(all_edges["a"], all_edges["b"])
+    all_edges = all_edges[np.lexsort((hi, lo, all_edges["h"]))]
+    points, place = np.unique(np.concatenate([all_edges["a"], all_edges["b"]]), return_inverse=True)
+    root, keep = list(range(len(points))), []
+    n = len(all_edges)
+    for k, (a, b) in enumerate(zip(place[:n].tolist(), place[n:].tolist())):
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        while root[b] != b:
+            root[b] = b = root[root[b]]
+        if a != b:
+            root[b] = a
+            keep.append(k)
+    return all_edges[keep]
+
+
 def density_clusters(x: np.ndarray, size: int, samples: int) -> np.ndarray:
     """Labels by hierarchical density (excess of mass); -1 is noise. Distances are Euclidean."""
     n = len(x)
     if n < 2:
         return np.full(n, NOISE)
-    d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1) - 2 * x @ x.T, 0))
+    d = distances(x, x)
     core = np.sort(d, 1)[:, min(samples, n) - 1]
     np.fill_diagonal(reach := np.maximum(np.maximum(core[:, None], core), d), 0)
+    return tree_labels(n, _spanning_tree(reach), size)
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0))
+
+
+def tree_labels(n: int, tree: list[tuple[float, int, int]], size: int) -> np.ndarray:
+    """Labels from the sorted edges of a least spanning tree of mutual reachability."""
     # Single linkage: nodes n.. join two; each has its size and distance.
     parent, left, right, height, count = list(range(n)), [], [], [], [1] * n
 
@@ -58,7 +116,7 @@ def density_clusters(x: np.ndarray, size: int, samples: int) -> np.ndarray:
             k = parent[k]
         return k
 
-    for h, a, b in _spanning_tree(reach):
+    for h, a, b in tree:
         a, b = top(a), top(b)
         node = len(parent)
         parent.append(node)
@@ -167,8 +225,8 @@ def kmeans(x: np.ndarray, k: int, seed: int = 42, starts: int = 10, rounds: int
 def cluster_concepts(concepts: DataFrame, method: str = "density", p: Params = DEFAULTS, most: int = 5000) -> DataFrame:
     """``project_id, id, cluster_label`` of concepts with vectors.
 
-    Up to ``most`` concepts of a project are clustered by density, in a task for each project;
-    where density finds no cluster, by k-means. Larger projects are clustered by distributed k-means.
+    Concepts are clustered by density at every size; where density finds no cluster, by k-means. Up to ``most``
+    concepts of a project are held by a task; those of larger projects are compared block by block.
     """
     rows = concepts.where("embedding is not null").select(F.col("project_id").cast("long").alias("project_id"), F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
     sizes = rows.groupBy("project_id").count()
@@ -187,10 +245,132 @@ def cluster_concepts(concepts: DataFrame, method: str = "density", p: Params = D
     schema = "project_id long, id long, cluster_label int"
     out = rows.where(~F.col("project_id").isin(big)).groupBy("project_id").applyInPandas(run, schema)
     for project in big:
-        out = out.unionByName(_large_kmeans(rows.where(F.col("project_id") == project), p))
+        own = rows.where(F.col("project_id") == project)
+        labels = _large_density(own, p) if method == "density" else None
+        out = out.unionByName(_large_kmeans(own, p) if labels is None else labels)
     return out
 
 
+#: An edge of a tree: its length, and points (block and place) that it joins.
+EDGE = np.dtype([("h", "<f8"), ("a", "<i8"), ("b", "<i8")])
+
+
+def _large_density(rows: DataFrame, p: Params, block: int | None = None) -> DataFrame | None:
+    """A project's labels by density, or nothing if all is noise.
+
+    Pairs of blocks give each point's core distance, then a least spanning tree of their mutual reachability; trees
+    are merged, which is exact. A task holds two blocks or the project's tree, never all distances.
+    """
+    block = block or BLOCK
+    n, project = rows.count(), rows.first()["project_id"]
+    size, samples = adaptive_size(n, p.min_cluster_size), min(p.min_samples, n)
+    if n < size:
+        return None
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, made, ids, vectors = TaskContext.get().partitionId() << 20, 0, [], []
+
+        def row() -> pa.RecordBatch:
+            nonlocal made
+            x = np.array(vectors, float)
+            x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-10)
+            made += 1
+            out = pa.RecordBatch.from_pylist([{"k": base + made, "ids": np.array(ids, "<i8").tobytes(), "m": x.tobytes()}])
+            ids.clear()
+            vectors.clear()
+            return out
+
+        for batch in batches:
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids.append(i)
+                vectors.append(v)
+                if len(ids) >= block:
+                    yield row()
+        if ids:
+            yield row()
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ka, ma, ia, kb, mb, ib in zip(*(batch.column(c).to_pylist() for c in range(6))):
+                d = distances(np.frombuffer(ma).reshape(len(ia) // 8, -1), np.frombuffer(mb).reshape(len(ib) // 8, -1))
+                for k, side in ((ka, d), (kb, d.T))[: 1 if ka == kb else 2]:
+                    few = np.ascontiguousarray(side)
+                    few = np.partition(few, min(samples, few.shape[1]) - 1, 1)[:, :samples]
+                    few = np.pad(few, ((0, 0), (0, samples - few.shape[1])), constant_values=np.inf)
+                    yield pa.RecordBatch.from_pylist([{"k": k, "near": few.tobytes()}])
+
+    def cores(pdf: pd.DataFrame) -> pd.DataFrame:
+        near = np.concatenate([np.frombuffer(x).reshape(-1, samples) for x in pdf["near"]], 1)
+        return pd.DataFrame({"k": pdf["k"].iloc[:1], "core": [np.sort(near, 1)[:, samples - 1].tobytes()]})
+
+    def forest(found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for edges in found:
+            held.append(edges)
+            count += len(edges)
+            if count > 2_000_000 and len(held) > 1:
+                held = [merge_trees(held)]
+                count = len(held[0])
+        if held:
+            yield pa.RecordBatch.from_pylist([{"edges": merge_trees(held).tobytes()}])
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[np.ndarray]:
+            for batch in batches:
+                for ka, ma, ca, kb, mb, cb in zip(*(batch.column(c).to_pylist() for c in range(6))):
+                    ca, cb = np.frombuffer(ca), np.frombuffer(cb)
+                    reach = np.maximum(np.maximum(ca[:, None], cb), distances(np.frombuffer(ma).reshape(len(ca), -1), np.frombuffer(mb).reshape(len(cb), -1)))
+                    if ka == kb:
+                        np.fill_diagonal(reach, 0)
+                        h, a, b = zip(*_spanning_tree(reach)) if len(ca) > 1 else ((), (), ())
+                    else:
+                        h, a, b = _tree_between(reach)
+                    edges = np.empty(len(h), EDGE)
+                    edges["h"], edges["a"], edges["b"] = h, ka * block + np.array(a, int), kb * block + np.array(b, int)
+                    yield edges
+
+        return forest(found())
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return forest(np.frombuffer(x.as_py(), EDGE) for batch in batches for x in batch.column(0))
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in merge(batches):
+            edges = np.frombuffer(batch.column(0)[0].as_py(), EDGE)
+            points, place = np.unique(np.concatenate([edges["a"], edges["b"]]), return_inverse=True)
+            tree = zip(edges["h"].tolist(), place[: len(edges)].tolist(), place[len(edges) :].tolist())
+            labels = canonical(tree_labels(len(points), tree, size), points).astype("<i4")  # points are in order of ids
+            starts = np.flatnonzero(np.diff(points // block, prepend=-1))
+            for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(points)]):
+                yield pa.RecordBatch.from_pylist([{"k": int(points[at] // block), "labels": labels[at:end].tobytes(), "found": bool((labels[at:end] != NOISE).any())}])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, labels in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids) // 8, project)), pa.array(np.frombuffer(ids, "<i8")), pa.array(np.frombuffer(labels, "<i4"))], ["project_id", "id", "cluster_label"])
+
+    dealt = rows.select("id", "embedding").repartitionByRange(-(-n // block), "id").sortWithinPartitions("id")
+    blocks = stored(dealt.mapInArrow(pack, "k long, ids binary, m binary"), "density-blocks")
+    count = blocks.count()
+    pairs = blocks.select(F.col("k").alias("ka")).crossJoin(blocks.select(F.col("k").alias("kb"))).where("ka <= kb")
+    tasks = max(4 * rows.sparkSession.sparkContext.defaultParallelism, count * (count + 1) // 2 // TASK_PAIRS)
+
+    def met(side: DataFrame) -> DataFrame:
+        left, right = (side.toDF(*[f"{c}{x}" for c in side.columns]) for x in "ab")
+        return pairs.join(left, "ka").join(right, "kb").repartition(tasks, "ka", "kb").select(*[f"{c}{x}" for x in "ab" for c in side.columns])
+
+    near = met(blocks.select("k", "m", "ids")).mapInArrow(nearest, "k long, near binary")
+    core = stored(near.groupBy("k").applyInPandas(cores, "k long, core binary"), "cores")
+    edges = stored(met(blocks.select("k", "m").join(core, "k")).mapInArrow(trees, "edges binary"), "trees")
+    while tasks > 2 * TREES:
+        tasks = -(-tasks // TREES)
+        edges = stored(edges.repartition(tasks).mapInArrow(merge, "edges binary"), "trees")
+    labels = stored(edges.coalesce(1).mapInArrow(label, "k long, labels binary, found boolean"), "labels")
+    if not labels.where("found").limit(1).count():
+        return None
+    return blocks.join(labels, "k").select("ids", "labels").mapInArrow(unpack, "project_id long, id long, cluster_label int")
+
+
 def _large_kmeans(rows: DataFrame, p: Params) -> DataFrame:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector

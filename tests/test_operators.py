@@ -74,6 +74,18 @@ def test_cluster_concepts_falls_back_and_scales(spark):
     assert len(large) == 18
 
 
+def test_large_projects_are_clustered_by_density(spark, monkeypatch):
+    x = np.concatenate([blobs(per=14, noise=0, seed=4), np.random.default_rng(8).normal(size=(6, 8))])
+    rows = [(3 * i, 1, [float(v) for v in x[i]]) for i in range(len(x))]
+    df = spark.createDataFrame(rows, "id long, project_id long, embedding array<double>")
+    want = {r["id"]: r["cluster_label"] for r in cluster.cluster_concepts(df).collect()}
+    monkeypatch.setattr(cluster, "BLOCK", 5)
+    got = {r["id"]: r["cluster_label"] for r in cluster.cluster_concepts(df, most=5).collect()}
+    assert got == want and cluster.NOISE in got.values() and len(set(got.values())) == 4
+    alone = spark.createDataFrame([(i, 1, [1.0, 0.0]) for i in range(9)], "id long, project_id long, embedding array<double>")
+    assert len(cluster.cluster_concepts(alone, most=5).collect()) == 9
+
+
 def test_noise_and_hierarchy(spark):
     rows = [(1, 1, [1.0, 0.0], 0, 0.2), (2, 1, [0.0, 1.0], 1, 0.9), (3, 1, [0.1, 0.9], -1, 0.5), (4, 2, [1.0, 0.0], -1, None)]
     df = spark.createDataFrame(rows, "id long, project_id long, embedding array<double>, cluster_label int, generality_score double")
