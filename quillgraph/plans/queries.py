@@ -554,7 +554,7 @@ def centroid_pairs_unconnected(spark, sf):
 
 @register()
 def density_clusters(spark, sf):
-    return cluster.cluster_concepts(views.concepts(spark, sf).where(F.col("id") < 500))
+    return cluster.cluster_concepts(views.concepts(spark, sf))
 
 
 @register()

@@ -86,6 +86,14 @@ def test_large_projects_are_clustered_by_density(spark, monkeypatch):
     assert len(cluster.cluster_concepts(alone, most=5).collect()) == 9
 
 
+def test_density_query_labels_all_concepts(spark, tmp_path):
+    from quillgraph.plans.queries import density_clusters
+
+    rows = [(i, [float(v) for v in np.random.default_rng(i).normal(size=8)], i % 10) for i in range(490, 530)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {r["id"] for r in density_clusters(spark, str(tmp_path)).collect()} == set(range(490, 530))
+
+
 def test_noise_and_hierarchy(spark):
     rows = [(1, 1, [1.0, 0.0], 0, 0.2), (2, 1, [0.0, 1.0], 1, 0.9), (3, 1, [0.1, 0.9], -1, 0.5), (4, 2, [1.0, 0.0], -1, None)]
     df = spark.createDataFrame(rows, "id long, project_id long, embedding array<double>, cluster_label int, generality_score double")
