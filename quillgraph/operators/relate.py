@@ -35,19 +35,22 @@ def top_pairs(pairs: DataFrame, n: int = 500) -> DataFrame:
 def mentions(concepts: DataFrame, chunks: DataFrame, largest: int = 2_000) -> DataFrame:
     """``concept_id, chunk_id``: chunks that contain a concept's name, whatever the case.
 
-    Names are few beside chunks and are matched with each text; blank names match none. Up to
-    ``largest`` concepts they are broadcast. Beyond, a text meets the names that begin with one of its words.
+    Names are few beside chunks and are matched with each text, equal ones once; blank names match none. Up to
+    ``largest`` names they are broadcast. Beyond, a text meets the names that begin with one of its words.
     """
-    names = concepts.select(F.col("id").alias("concept_id"), F.lower(F.trim("name")).alias("name")).where("name <> ''")
+    named = concepts.select(F.col("id").alias("concept_id"), F.lower(F.trim("name")).alias("name")).where("name <> ''")
+    names = named.select("name").distinct()
     texts = chunks.select(F.col("id").alias("chunk_id"), F.lower("content").alias("content"))
     if names.limit(largest + 1).count() <= largest:
-        return texts.join(F.broadcast(names), F.contains(F.col("content"), F.col("name"))).select("concept_id", "chunk_id")
-    # A name within a text begins somewhere; three characters that it begins with are a key. Shorter names are broadcast.
-    long, short = names.where("length(name) >= 3"), names.where("length(name) < 3")
-    at = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("content") - 2, F.lit(1))), lambda i: F.substr(F.col("content"), i, F.lit(3)))))
-    keyed = texts.withColumn("key", at).join(long.withColumn("key", F.left("name", F.lit(3))), "key").where(F.contains("content", "name"))
-    rest = texts.join(F.broadcast(short), F.contains(F.col("content"), F.col("name")))
-    return keyed.select("concept_id", "chunk_id").union(rest.select("concept_id", "chunk_id")).distinct()
+        seen = texts.join(F.broadcast(names), F.contains(F.col("content"), F.col("name"))).select("name", "chunk_id")
+    else:
+        # A name within a text begins somewhere; three characters that it begins with are a key. Shorter names are broadcast.
+        long, short = names.where("length(name) >= 3"), names.where("length(name) < 3")
+        at = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("content") - 2, F.lit(1))), lambda i: F.substr(F.col("content"), i, F.lit(3)))))
+        keyed = texts.withColumn("key", at).join(long.withColumn("key", F.left("name", F.lit(3))), "key").where(F.contains("content", "name"))
+        rest = texts.join(F.broadcast(short), F.contains(F.col("content"), F.col("name")))
+        seen = keyed.select("name", "chunk_id").union(rest.select("name", "chunk_id")).distinct()
+    return seen.join(named, "name").select("concept_id", "chunk_id")
 
 
 def cooccurrence(mentioned: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -442,6 +442,26 @@ def mention_index(spark, sf):
     return relate.mentions(*_named(spark, sf)).groupBy("concept_id").agg(F.count("*").alias("n"), F.min("chunk_id").alias("first_chunk"))
 
 
+def _all_named(spark, sf):
+    """All parts' names as concepts, and all documents as chunks."""
+    return views.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), views.docs(spark, sf).select("id", F.col("content_text").alias("content"))
+
+
+ALL_MENTIONS = "named as (select p_partkey as id, lower(trim(p_name)) as name from part), words as (select distinct name from named where name <> ''), found as (select w.name, d.id as chunk_id from words w join docs d on contains(lower(d.content_text), w.name)), seen as (select n.id as concept_id, f.chunk_id from named n join found f on f.name = n.name)"
+
+
+@register(f"with {ALL_MENTIONS} select concept_id, count(*) as n, min(chunk_id) as first_chunk from seen group by all", "docs")
+def mention_index_all(spark, sf):
+    """Without the bounds of ``mention_index``, whose SQL is fixed. The invented documents may mention no part."""
+    return relate.mentions(*_all_named(spark, sf)).groupBy("concept_id").agg(F.count("*").alias("n"), F.min("chunk_id").alias("first_chunk"))
+
+
+@register(f"with {PAIRS}, {ALL_MENTIONS} select a, b, count(distinct x.chunk_id) as co_occurrence from pairs join seen x on x.concept_id = a join seen y on y.concept_id = b and y.chunk_id = x.chunk_id group by all", "concepts", "docs")
+def cooccurrence_counts_all(spark, sf):
+    """All candidate pairs of concepts, with parts' names."""
+    return relate.cooccurrence(relate.mentions(*_all_named(spark, sf)), _pairs(spark, sf))
+
+
 def _some_pairs(spark):
     return spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
 

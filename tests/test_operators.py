@@ -56,6 +56,16 @@ def test_mentions_both_ways(spark):
     assert {tuple(r) for r in relate.mentions(concepts, chunks, largest=1).collect()} == want
 
 
+def test_mention_queries_take_all_names_and_documents(spark, tmp_path):
+    from quillgraph.plans.queries import cooccurrence_counts_all, mention_index_all
+
+    spark.createDataFrame([(1, "blue rod"), (250, "Red Bolt"), (251, "red bolt"), (300, "old nut")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(7, "a red BOLT, a blue rod", "en", "src3"), (8, "red bolt", "en", "src5"), (9, "red nut", "en", "src3")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, [1.0, 0.0], 0), (251, [0.5, 0.866], 1), (300, [0.6, 0.8], 1)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {tuple(r) for r in mention_index_all(spark, str(tmp_path)).collect()} == {(1, 1, 7), (250, 2, 7), (251, 2, 7)}
+    assert {(r["a"], r["b"], r["co_occurrence"]) for r in cooccurrence_counts_all(spark, str(tmp_path)).collect()} == {(1, 251, 1)}
+
+
 def test_density_finds_blobs():
     x = blobs()
     labels = cluster.canonical(cluster.density_clusters(x, 3, 2), np.arange(len(x)))
