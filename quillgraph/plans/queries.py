@@ -510,6 +510,15 @@ def relationship_dedup(spark, sf):
     return relate.dedupe_relationships(detected).join(n, ["a", "b"]).select("a", "b", "n", "type", "confidence")
 
 
+@register()
+def relationship_dedup_all(spark, sf):
+    """All relationships, ``builds_on`` as ``extends`` that points to the larger id or back. SQL can't fold them in order; ``relationship_dedup`` keeps the bounds of its SQL."""
+    kind = F.when(F.col("relationship_type") == "builds_on", "extends").otherwise(F.col("relationship_type"))
+    direction = F.when(F.col("source_concept_id") <= F.col("target_concept_id"), "a_to_b").otherwise("b_to_a")
+    detected = _relationships(spark, sf).select(F.col("id").alias("seq"), "source_concept_id", "target_concept_id", kind.alias("type"), direction.alias("direction"), "confidence", "strength")
+    return relate.dedupe_relationships(detected).select("a", "b", "type", "direction", "confidence", "strength", "replaced_type", "merged_extends")
+
+
 # --- clusters ----------------------------------------------------------------
 
 CENTROIDS = """means as (select cluster_label, list(x order by i) as centroid from (select cluster_label, i, avg(x) as x from (select cluster_label, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from concepts) group by all) group by all)"""

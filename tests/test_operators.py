@@ -42,6 +42,26 @@ def test_dedupe_merges_opposite_extends(spark):
     assert (got[3]["type"], got[3]["confidence"], got[3]["replaced_type"], got[3]["replaced_confidence"]) == ("contradicts", 0.9, "similar", 0.5)
 
 
+def test_dedup_query_folds_all_relationships(spark, sf):
+    from quillgraph.plans.queries import _relationships, relationship_dedup_all
+
+    want = {}
+    for r in sorted(_relationships(spark, sf).collect(), key=lambda r: r["id"]):
+        s, t = r["source_concept_id"], r["target_concept_id"]
+        new = ["extends" if r["relationship_type"] == "builds_on" else r["relationship_type"], "a_to_b" if s <= t else "b_to_a", r["confidence"], r["strength"], False]
+        best = want.setdefault((min(s, t), max(s, t)), new)
+        if best is not new and best[0] == new[0] == "extends" and best[1] != new[1]:
+            want[min(s, t), max(s, t)] = ["complements", "bidirectional", (best[2] + new[2]) / 2, (best[3] + new[3]) / 2, True]
+        elif best is not new and new[2] > best[2]:
+            want[min(s, t), max(s, t)] = new
+    got = {(r["a"], r["b"]): r for r in relationship_dedup_all(spark, sf).collect()}
+    assert got.keys() == want.keys()
+    for k, (kind, direction, confidence, strength, merged) in want.items():
+        assert (got[k]["type"], got[k]["direction"], got[k]["merged_extends"]) == (kind, direction, merged)
+        assert (got[k]["confidence"], got[k]["strength"]) == pytest.approx((confidence, strength), abs=2e-4)
+    assert {r["type"] for r in got.values()} >= {"extends", "contradicts"}
+
+
 def test_direction(spark):
     rows = [(1, 2, "extends", "b_to_a"), (3, 4, "extends", "bidirectional"), (5, 6, "none", "a_to_b"), (7, 8, "supports", "a_to_b")]
     got = {r["a"]: (r["source_concept_id"], r["target_concept_id"], r["relationship_type"]) for r in relate.resolve_direction(spark.createDataFrame(rows, "a long, b long, type string, direction string")).collect()}
