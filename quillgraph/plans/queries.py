@@ -581,6 +581,17 @@ def centroid_pairs_unconnected(spark, sf):
     return gaps.bridge_candidates(views.concepts(spark, sf), _few_edges(spark, sf), 0.1, 5, dim=DIM).select("a", "b", _r("sim"))
 
 
+@register(
+    f"""with {CENTROIDS}, {REL}, e as (select distinct least(x.cluster_label, y.cluster_label) as a, greatest(x.cluster_label, y.cluster_label) as b from rel join concepts x on x.id = source_concept_id join concepts y on y.id = target_concept_id where x.cluster_label <> y.cluster_label),
+    p as (select x.cluster_label as a, y.cluster_label as b, list_cosine_similarity(x.centroid, y.centroid) as sim from means x join means y on x.cluster_label < y.cluster_label)
+    select a, b, round(sim, 6) as sim from p where sim >= 0.1 and not exists (select 1 from e where e.a = p.a and e.b = p.b) order by p.sim desc, a, b limit 5""",
+    "concepts",
+)
+def centroid_pairs_unconnected_all(spark, sf):
+    """By all relationships; the SQL of ``centroid_pairs_unconnected`` takes those among ids below 10. Empty where every pair is connected."""
+    return gaps.bridge_candidates(views.concepts(spark, sf), _relationships(spark, sf), 0.1, 5, dim=DIM).select("a", "b", _r("sim"))
+
+
 @register()
 def density_clusters(spark, sf):
     return cluster.cluster_concepts(views.concepts(spark, sf))

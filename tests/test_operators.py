@@ -42,6 +42,14 @@ def test_dedupe_merges_opposite_extends(spark):
     assert (got[3]["type"], got[3]["confidence"], got[3]["replaced_type"], got[3]["replaced_confidence"]) == ("contradicts", 0.9, "similar", 0.5)
 
 
+def test_unconnected_clusters_by_all_relationships(spark, tmp_path):
+    from quillgraph.plans.queries import centroid_pairs_unconnected_all
+
+    spark.createDataFrame([(i, [x, y] + [0.0] * 62, k) for i, x, y, k in ((20, 1.0, 0.0, 0), (35, 0.8, 0.6, 1), (40, 0.6, 0.8, 2))], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(1, 1, 20, 5, 10.0, 0.1)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [(r["a"], r["b"]) for r in centroid_pairs_unconnected_all(spark, str(tmp_path)).collect()] == [(1, 2), (0, 2)]  # 20 and 35 are joined
+
+
 def test_dedup_query_folds_all_relationships(spark, sf):
     from quillgraph.plans.queries import _relationships, relationship_dedup_all
 
