@@ -183,24 +183,37 @@ class Adam:
             at += x.size
 
 
-def train(w: Weights, sequences: np.ndarray, lengths: np.ndarray, passes: int, rate: float, seed: int, texts: int = 128) -> Weights:
-    """Truncated backpropagation: windows of each text in turn, the state carried from one to the next.
+def streams(texts: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts, one after the other, cut into lanes of equal length: ids before, targets (steps x lanes), which of them are live, and the ids that lead up to each lane.
 
-    ``sequences`` (texts x steps + 1) begin with the id before the first target (-1: a text begins).
+    A text is its ids, which end with 0; -1 is before its first.
     """
+    target = np.concatenate(texts).astype(np.int64)
+    before = np.concatenate([[-1], target[:-1]])
+    before[np.cumsum([len(x) for x in texts])[:-1]] = -1
+    steps = -(-len(target) // lanes)
+    lanes = -(-len(target) // steps)
+    pad = lanes * steps - len(target)
+    live = np.arange(lanes * steps).reshape(lanes, steps) < len(target)
+    led = np.concatenate([np.full(2 * WINDOW, -1), before])
+    leads = np.stack([led[k * steps : k * steps + 2 * WINDOW] for k in range(lanes)])
+    laid = [np.pad(x, (0, pad), constant_values=fill).reshape(lanes, steps).T for x, fill in ((before, -1), (target, 0))]
+    return laid[0], laid[1], live.T, leads.T
+
+
+def train(w: Weights, texts: list[np.ndarray], times: np.ndarray, rate: float, seed: int, lanes: int = 128) -> Weights:
+    """Truncated backpropagation over whole texts, each as often as ``times`` has it: windows of each lane in turn, the state carried
+    from one to the next. A lane that begins within a text takes its state from the ids that lead up to it."""
     w, rng = {k: v.copy() for k, v in w.items()}, np.random.default_rng(seed)
-    adam, steps = Adam(w), sequences.shape[1] - 1
-    total, done = passes * -(-len(sequences) // texts), 0
-    for _ in range(passes):
-        order = rng.permutation(len(sequences))
-        for at in range(0, len(order), texts):
-            some = sequences[order[at : at + texts]].T
-            size = lengths[order[at : at + texts]]
-            h = np.zeros((some.shape[1], HIDDEN), np.float32)
-            for t in range(0, min(steps, int(size.max())), WINDOW):
-                stop = min(t + WINDOW, steps)
-                live = np.arange(t, stop)[:, None] < size
-                g, h, _ = gradients(w, some[t:stop], np.maximum(some[t + 1 : stop + 1], 0), live, h)
-                adam.update(w, g, rate * (1 - 0.7 * done / total))
-            done += 1
+    adam, sizes = Adam(w), np.array([len(x) for x in texts])
+    total, done = max(1, int((sizes * times).sum())), 0
+    for turn in range(int(times.max())):
+        order = rng.permutation(np.flatnonzero(times > turn))
+        before, target, live, leads = streams([texts[k] for k in order.tolist()], lanes)
+        h = advance(w, leads, np.zeros((before.shape[1], HIDDEN), np.float32))[-1]
+        for t in range(0, len(before), WINDOW):
+            part = live[t : t + WINDOW]
+            g, h, _ = gradients(w, before[t : t + WINDOW], target[t : t + WINDOW], part, h)
+            adam.update(w, g, rate * (1 - 0.7 * done / total))
+            done += int(part.sum())
     return w

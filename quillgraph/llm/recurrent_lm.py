@@ -4,10 +4,11 @@
 2. Words that occur often, at most ``KNOWN``, go to all workers with their counts; the most
    frequent of them are the network's words. The others fall into classes by their last two
    characters, and have their add-one share of their class's count.
-3. Each training document gives one stretch of ``TRAIN_TOKENS`` tokens at a hashed place. Trainers
-   learn from shares of these by truncated backpropagation, from common weights, and their
-   weights are averaged; so for some rounds. Trainers grow with the input, each with a bounded
-   share; many weights are added up in executors first.
+3. All training texts are learned from, whole. Trainers take shares of them and learn by truncated
+   backpropagation, the state carried through each text, from common weights, and their weights are
+   averaged; so for some rounds. Trainers grow with the tokens, each with a bounded share; many
+   weights are added up in executors first. Every text is visited once at least; small corpora are
+   visited more often, so that the tokens visited in all never fall as the corpus grows.
 4. Every text is scored as a whole, its state carried from window to window. Counts of
    words that workers don't know are joined from the table of all counts.
 
@@ -37,9 +38,10 @@ from quillgraph.llm.common import id_crc, materialize, words_lower
 
 #: Words whose counts all workers hold, none longer than ``KNOWN_BYTES``.
 KNOWN, KNOWN_BYTES = 300_000, 48
-TRAIN_TOKENS, ROUNDS, PASS_TEXTS = 48, 3, 8_000
-#: Trainers of small corpora, texts that one has at least and at most, and sums of weights that come to the driver at once.
-TRAINERS, LEAST_TEXTS, MOST_TEXTS, SUMS = 12, 2_000, 20_000, 24
+#: Rounds, and visits of a token, of all rounds, at most; they are fewer where ``VISITED`` tokens are visited in all.
+ROUNDS, VISITS, VISITED = 3, 30, 3 * 12 * 8_000 * 48
+#: Trainers of small corpora, tokens that one has at least and at most, about, and sums of weights that come to the driver at once.
+TRAINERS, LEAST_TOKENS, MOST_TOKENS, SUMS = 12, 2_000 * 48, 20_000 * 48, 24
 #: Texts that advance together.
 LANES, BATCH_WORDS = 256, 600_000
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -174,35 +176,20 @@ def _reader(key: str, shared: Broadcast) -> Reader:
     return _READERS[key]
 
 
-def stretches(frame: DataFrame, key: str, shared: Broadcast) -> DataFrame:
-    """``ids``: a stretch of each training document, with the id before it (-1: the text begins)."""
+def training_ids(frame: DataFrame, key: str, shared: Broadcast) -> DataFrame:
+    """``ids``: those of each training text as 2-byte integers, which end with 0."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _reader(key, shared)
         for batch in batches:
-            out = []
-            for crc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = words_lower(text.as_py())
-                n = len(words) + 1
-                at = 0 if crc % 2 or n <= TRAIN_TOKENS else crc // 2 % (n - TRAIN_TOKENS + 1)
-                ids = reader.read(words[max(0, at - 1) : at + TRAIN_TOKENS])[1]
-                ids = np.concatenate([[-1] if not at else [], ids, [0] if at + TRAIN_TOKENS >= n else []])[: TRAIN_TOKENS + 1]
-                out.append(ids.astype("<i2").tobytes())
+            out = [np.append(reader.read(words_lower(text.as_py()))[1], 0).astype("<i2").tobytes() for text in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
 
-    return frame.where(~F.col("held_out")).select("crc", "text").mapInArrow(cut, "ids binary")
-
-
-def _unpack(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.array([len(r) // 2 - 1 for r in rows])
-    out = np.zeros((len(rows), TRAIN_TOKENS + 1), np.int64)
-    for k, r in enumerate(rows):
-        out[k, : len(r) // 2] = np.frombuffer(r, "<i2")
-    return out, lengths
+    return frame.where(~F.col("held_out")).select("text").mapInArrow(read, "ids binary")
 
 
 def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The mean of a task's weights, by the texts that each was learned from."""
+    """The mean of a task's weights, by the tokens that each was learned from."""
     n, total = 0, None
     for batch in batches:
         for k, w in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -212,27 +199,40 @@ def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(total / n).astype("<f4").tobytes()], pa.binary())], ["n", "w"])
 
 
+def visits(tokens: int) -> float:
+    """How often each token is visited; visits of all tokens never fall as these grow."""
+    return max(1.0, min(VISITS, VISITED / max(1, tokens)))
+
+
+def times(place, turn: int, part: float):
+    """Visits in a round of a text at a place from 0 to 1: rounds take ``part`` of the circle of all texts, one after the other."""
+    return F.ceil(F.lit((turn + 1) * part) - place) - F.ceil(F.lit(turn * part) - place)
+
+
 def train(sample: DataFrame, weights: gru.Weights, seed: int = 11, rate: float = 0.01) -> gru.Weights:
-    """Rounds of learning apart and averaging; each round sees a share of the stretches, small samples more than once."""
-    n = sample.count()
+    """Rounds of learning apart and averaging; all rounds together see every text."""
+    n = sample.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0] // 2
     if not n:
         return weights
-    trainers = max(1, min(TRAINERS, n // LEAST_TEXTS), n // MOST_TEXTS)
-    passes = max(1, min(10, PASS_TEXTS * trainers // n))
+    trainers = max(1, min(TRAINERS, n // LEAST_TOKENS), n // MOST_TOKENS)
+    part = visits(n) / ROUNDS
     names = list(weights)
-    dealt = sample.withColumn("h", F.xxhash64("ids"))
+    place = F.pmod(F.xxhash64("ids"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     for turn in range(ROUNDS):
         now = weights
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = [x for b in batches for x in b.column(0).to_pylist()]
-            if rows:
-                w = gru.train(now, *_unpack(rows), passes, rate * 0.6**turn, seed + turn)
+            texts, often = [], []
+            for b in batches:
+                texts += [np.frombuffer(x.as_py(), "<i2") for x in b.column(0)]
+                often += b.column(1).to_pylist()
+            if texts:
+                w = gru.train(now, texts, np.array(often), rate * 0.6**turn, seed + turn)
                 flat = np.concatenate([w[k].ravel() for k in names]).astype("<f4")
-                yield pa.RecordBatch.from_arrays([pa.array([len(rows)]), pa.array([flat.tobytes()], pa.binary())], ["n", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, texts))]), pa.array([flat.tobytes()], pa.binary())], ["n", "w"])
 
-        share = dealt.where(F.pmod("h", F.lit(ROUNDS)) == turn) if passes == 1 else dealt
-        learned = share.select("ids").repartition(trainers).mapInArrow(learn, "n long, w binary")
+        share = sample.select("ids", times(place, turn, part).cast("int").alias("times")).where("times > 0")
+        learned = share.repartition(trainers).mapInArrow(learn, "n long, w binary")
         if trainers > SUMS:
             learned = learned.repartition(SUMS).mapInArrow(add_up, "n long, w binary")
         results = learned.toArrow().to_pylist()
@@ -291,7 +291,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     lex, key = build_lexicon(counts), uuid.uuid4().hex
     shared = spark.sparkContext.broadcast(lex)
     first = gru.initial(Reader(lex).id_counts(), 7)
-    weights = spark.sparkContext.broadcast(train(materialize(stretches(frame, key, shared), "sample"), first))
+    weights = spark.sparkContext.broadcast(train(materialize(training_ids(frame, key, shared), "sample"), first))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, w = _reader(key, shared), weights.value

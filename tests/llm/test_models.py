@@ -161,6 +161,26 @@ def test_gru_is_a_distribution_and_starts_as_unigrams():
     assert np.allclose(p, (counts + 0.5) / (counts + 0.5).sum(), rtol=1e-3)
 
 
+def test_streams_hold_every_token_once():
+    rng = np.random.default_rng(9)
+    texts = [np.append(rng.integers(1, gru.IDS, n), 0) for n in (0, 300, 3, 1, 77)]
+    before, target, live, leads = gru.streams(texts, 4)
+    assert target.T[live.T].tolist() == np.concatenate(texts).tolist()
+    assert before.T[live.T].tolist() == [x for t in texts for x in [-1, *t[:-1].tolist()]]
+    assert leads[-1, 1] == before[-1, 0] and (leads[:, 0] == -1).all()
+
+
+def test_training_sees_whole_texts(spark, odd):
+    frame = recurrent_lm._frame(odd)
+    lex = recurrent_lm.build_lexicon(recurrent_lm.word_counts(frame))
+    ids = recurrent_lm.training_ids(frame, "whole", spark.sparkContext.broadcast(lex)).collect()
+    assert sum(len(r["ids"]) // 2 for r in ids) == lex.tokens
+    sample = spark.range(1000).selectExpr("id / 1000.0D as place")
+    for often in (1.0, 1.4, 2.0, 3.0, 7.7, 30.0):
+        each = [sum(x) for x in sample.select(*[recurrent_lm.times(sample.place, t, often / recurrent_lm.ROUNDS) for t in range(recurrent_lm.ROUNDS)]).collect()]
+        assert min(each) >= math.floor(often + 1e-9) and max(each) <= math.ceil(often - 1e-9) and abs(sum(each) / 1000 - often) < 0.01
+
+
 def test_lanes_score_as_single_texts():
     rng = np.random.default_rng(6)
     w = gru.initial(rng.random(gru.IDS) * 10, 3)
