@@ -181,6 +181,11 @@ def test_training_sees_whole_texts(spark, odd):
         assert min(each) >= math.floor(often + 1e-9) and max(each) <= math.ceil(often - 1e-9) and abs(sum(each) / 1000 - often) < 0.01
 
 
+def test_training_never_falls_as_the_corpus_grows():
+    total = [n * recurrent_lm.visits(n) for n in sorted({*range(1, 40_000_000, 9_973), 13_823_999, 13_824_000, 13_824_001})]
+    assert all(b >= a * (1 - 1e-12) for a, b in zip(total, total[1:]))
+
+
 def test_lanes_score_as_single_texts():
     rng = np.random.default_rng(6)
     w = gru.initial(rng.random(gru.IDS) * 10, 3)
