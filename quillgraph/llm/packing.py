@@ -25,6 +25,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
 #: Texts that are encoded at once.
 SLICE = 128
+#: Tasks at least that rows with the same id may go to.
+SALTS = 64
 
 
 class BestFit:
@@ -90,7 +92,7 @@ def document_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int
 
 
 def place_pieces(pieces: DataFrame, capacity: int, open_bins: int) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset``. Pieces are dealt and ordered by a hash, so reruns agree;
+    """Adds ``sequence_id`` and ``offset``. Pieces are dealt and ordered by a hash, so reruns over the same files agree;
     adaptive execution joins small partitions, so that few bins stay half empty."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +105,9 @@ def place_pieces(pieces: DataFrame, capacity: int, open_bins: int) -> DataFrame:
             )
 
     order = F.xxhash64("doc_id", "piece", "length")
-    dealt = pieces.repartition("doc_id", "piece").sortWithinPartitions(order, "doc_id", "piece", "length", "ids_crc32")
+    # Rows of one id, or without one, may be many: their places in the input part them.
+    salted = pieces.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    dealt = salted.repartition("doc_id", "piece", "ids_crc32", "salt").sortWithinPartitions(order, "doc_id", "piece", "length", "ids_crc32")
     return dealt.select("doc_id", "piece", "start", "length", "ids_crc32").mapInArrow(pack, PLACED)
 
 
