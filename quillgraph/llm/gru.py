@@ -3,18 +3,22 @@
 Ids: 0 is the end of a text, up to ``HEAD`` are frequent words, then come ``TAIL`` classes of
 the other words. A frequent word's probability is its class's times its own within the
 class; a tail class is a class of its own.
+
+Arrays have units in rows and texts in columns, so that each gate of a step is one block of memory.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-HEAD, PER_CLASS, TAIL, HIDDEN = 1024, 64, 64, 24
+HEAD, PER_CLASS, TAIL, HIDDEN = 1024, 32, 64, 16
 HEAD_CLASSES = HEAD // PER_CLASS
 CLASSES = HEAD_CLASSES + TAIL
 IDS = HEAD + TAIL
 #: Steps that a gradient goes back; the state goes on to the next window.
-WINDOW = 24
+WINDOW = 16
+#: Texts that learn side by side, at most; fewer where there are few tokens.
+LANES = 512
 
 Weights = dict[str, np.ndarray]
 
@@ -26,42 +30,46 @@ def initial(counts: np.ndarray, seed: int) -> Weights:
     head = share[:HEAD].reshape(HEAD_CLASSES, PER_CLASS)
     classes = np.concatenate([head.sum(1), share[HEAD:]])
     w = {
-        "input": rng.normal(size=(IDS, 3 * HIDDEN)) * 0.3,
-        "hidden": rng.normal(size=(HIDDEN, 3 * HIDDEN)) / np.sqrt(HIDDEN),
+        "input": rng.normal(size=(3 * HIDDEN, IDS)) * 0.3,
+        "hidden": rng.normal(size=(3 * HIDDEN, HIDDEN)) / np.sqrt(HIDDEN),
         "bias": np.concatenate([np.full(HIDDEN, -1.0), np.zeros(2 * HIDDEN)]),
-        "to_class": np.zeros((HIDDEN, CLASSES)),
+        "to_class": np.zeros((CLASSES, HIDDEN)),
         "class_bias": np.log(classes / classes.sum()),
-        "to_word": np.zeros((HEAD_CLASSES, HIDDEN, PER_CLASS)),
+        "to_word": np.zeros((HEAD_CLASSES, PER_CLASS, HIDDEN)),
         "word_bias": np.log(head / head.sum(1, keepdims=True)),
     }
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
 def advance(w: Weights, ids: np.ndarray, h: np.ndarray, keep: dict | None = None) -> np.ndarray:
-    """States after each row of ``ids`` (steps x texts), from ``h``. A state is cleared where a text begins (id -1)."""
-    out = np.empty((len(ids), *h.shape), np.float32)
-    table, hidden, n, one = w["input"] + w["bias"], w["hidden"], HIDDEN, np.float32(1)
-    begins, ids = ids < 0, np.maximum(ids, 0)
+    """States (units x steps x texts) after each row of ``ids`` (steps x texts), from ``h`` (units x texts). A state is cleared where a text begins (id -1)."""
+    n, (steps, texts), one = HIDDEN, ids.shape, np.float32(1)
+    out = np.empty((n, steps, texts), np.float32)
+    begins = ids < 0
     fresh = begins.any(1).tolist()
-    for t in range(len(ids)):
+    x = np.take(w["input"] + w["bias"][:, None], np.maximum(ids, 0), axis=1)
+    hidden = w["hidden"]
+    if keep is not None:
+        keep |= {"old": np.empty((n, steps, texts), np.float32), "gates": np.empty((2 * n, steps, texts), np.float32), "u": np.empty((n, steps, texts), np.float32), "new": np.empty((n, steps, texts), np.float32)}
+    for t in range(steps):
         if fresh[t]:
-            h = np.where(begins[t][:, None], np.float32(0), h)
-        x, u = table[ids[t]], h @ hidden
-        gates = x[:, : 2 * n] + u[:, : 2 * n]
+            h = np.where(begins[t], np.float32(0), h)
+        u = hidden @ h
+        gates = u[: 2 * n]
+        gates += x[: 2 * n, t]
         np.negative(gates, gates)
         np.exp(gates, gates)
         gates += one
         np.reciprocal(gates, gates)
-        new = gates[:, n:] * u[:, 2 * n :]
-        new += x[:, 2 * n :]
+        new = gates[n:] * u[2 * n :]
+        new += x[2 * n :, t]
         np.tanh(new, new)
         if keep is not None:
-            keep[t] = (h, gates[:, :n], gates[:, n:], new, u[:, 2 * n :])
-        now = out[t]
-        np.subtract(new, h, now)
-        now *= gates[:, :n]
-        now += h
-        h = now
+            keep["old"][:, t], keep["gates"][:, t], keep["u"][:, t], keep["new"][:, t] = h, gates, u[2 * n :], new
+        new -= h
+        new *= gates[:n]
+        new += h
+        out[:, t] = h = new
     return out
 
 
@@ -69,91 +77,105 @@ def class_of(ids: np.ndarray) -> np.ndarray:
     return np.where(ids < HEAD, ids // PER_CLASS, ids - HEAD + HEAD_CLASSES)
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
-
+def _shares(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of each column, in place, and the logarithm of their sum, up to a factor of the column's own."""
+    e = np.exp(x)
+    total = e.sum(0)
+    if not (np.isfinite(total).all() and (total > 0).all()):
+        top = x.max(0)
+        e = np.exp(x - top)
+        total = e.sum(0)
+        e /= total
+        return e, np.log(total) + top
+    e /= total
+    return e, np.log(total)
 
-def _by_class(ids: np.ndarray):
-    """Places of frequent words, class by class."""
-    head = np.flatnonzero(ids < HEAD)
-    k = ids[head] // PER_CLASS
-    order = np.argsort(k, kind="stable")
-    head, k = head[order], k[order]
-    starts = np.flatnonzero(np.diff(k, prepend=-1))
-    for a, b in zip(starts, [*starts[1:], len(k)]):
-        yield int(k[a]), head[a:b]
 
-
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    """Logarithm of each row's sum of exponentials."""
-    total = np.exp(x).sum(1)
-    if np.isfinite(total).all() and (total > 0).all():
-        return np.log(total)
-    top = x.max(1, keepdims=True)
-    return np.log(np.exp(x - top).sum(1)) + top[:, 0]
+def _by_class(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Places of frequent words, class by class, and each class with its first and past-the-end place among them."""
+    order = np.argsort(group.astype(np.int16), kind="stable")
+    ends = np.searchsorted(group[order], np.arange(HEAD_CLASSES + 1)).tolist()
+    return order[: ends[-1]], [(k, a, b) for k, (a, b) in enumerate(zip(ends, ends[1:])) if a < b]
 
 
 def log_probability(w: Weights, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Natural logarithm of each id's probability after its state (rows)."""
+    """Natural logarithm of each id's probability after its state (columns)."""
     out, group = np.empty(len(ids), np.float32), class_of(ids)
-    for at in range(0, len(ids), 1024):  # rows that stay in the cache
-        x = states[at : at + 1024] @ w["to_class"]
-        x += w["class_bias"]
-        out[at : at + 1024] = x[np.arange(len(x)), group[at : at + 1024]] - _log_sum(x)
-    for k, at in _by_class(ids):
-        x = states[at] @ w["to_word"][k]
-        x += w["word_bias"][k]
-        out[at] += x[np.arange(len(at)), ids[at] % PER_CLASS] - _log_sum(x)
+    for at in range(0, len(ids), 2048):  # columns that stay in the cache
+        own = group[at : at + 2048]
+        x = w["to_class"] @ states[:, at : at + 2048]
+        x += w["class_bias"][:, None]
+        out[at : at + 2048] = x[own, np.arange(len(own))] - _shares(x)[1]
+    order, classes = _by_class(group)
+    sorted_states, words, inner = np.take(states, order, axis=1), ids[order] % PER_CLASS, np.empty(len(order), np.float32)
+    for k, a, b in classes:
+        x = w["to_word"][k] @ sorted_states[:, a:b]
+        x += w["word_bias"][k][:, None]
+        inner[a:b] = x[words[a:b], np.arange(b - a)] - _shares(x)[1]
+    out[order] += inner
     return out
 
 
 def gradients(w: Weights, before: np.ndarray, ids: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[Weights, np.ndarray, float]:
     """Of the mean loss over a window (steps x texts), the last state and the loss. ``before`` are the ids one step earlier."""
     keep: dict = {}
+    n, shape = HIDDEN, before.shape
     states = advance(w, before, h, keep)
-    flat, target, weight = states.reshape(-1, HIDDEN), ids.ravel(), (live / max(1, live.sum())).ravel().astype(np.float32)
-    rows = np.arange(len(target))
-    log_p = log_softmax(flat @ w["to_class"] + w["class_bias"])
-    loss = -log_p[rows, class_of(target)] * weight
-    d = np.exp(log_p)
-    d[rows, class_of(target)] -= 1
-    d *= weight[:, None]
-    g = {"to_class": flat.T @ d, "class_bias": d.sum(0), "to_word": np.zeros_like(w["to_word"]), "word_bias": np.zeros_like(w["word_bias"])}
-    dh = d @ w["to_class"].T
-    for k, at in _by_class(target):
-        log_q = log_softmax(flat[at] @ w["to_word"][k] + w["word_bias"][k])
-        inner = np.arange(len(at)), target[at] % PER_CLASS
-        loss[at] -= log_q[inner] * weight[at]
-        e = np.exp(log_q)
-        e[inner] -= 1
-        e *= weight[at, None]
-        g["to_word"][k], g["word_bias"][k] = flat[at].T @ e, e.sum(0)
-        dh[at] += e @ w["to_word"][k].T
+    flat, target, weight = states.reshape(n, -1), ids.ravel(), (live / max(1, live.sum())).ravel().astype(np.float32)
+    columns, group = np.arange(len(target)), class_of(target)
+    x = w["to_class"] @ flat
+    x += w["class_bias"][:, None]
+    said = x[group, columns]
+    d, total = _shares(x)
+    loss = float((total - said) @ weight)
+    d[group, columns] -= 1
+    d *= weight
+    g = {"to_class": d @ flat.T, "class_bias": d.sum(1), "to_word": np.zeros_like(w["to_word"]), "word_bias": np.zeros_like(w["word_bias"])}
+    dh = w["to_class"].T @ d
+    order, classes = _by_class(group)
+    sorted_states, words, weights, inner = np.take(flat, order, axis=1), target[order] % PER_CLASS, weight[order], np.zeros((n, len(order) + 1), np.float32)
+    for k, a, b in classes:
+        own, row = sorted_states[:, a:b], (words[a:b], np.arange(b - a))
+        x = w["to_word"][k] @ own
+        x += w["word_bias"][k][:, None]
+        said = x[row]
+        e, total = _shares(x)
+        loss += float((total - said) @ weights[a:b])
+        e[row] -= 1
+        e *= weights[a:b]
+        g["to_word"][k], g["word_bias"][k] = e @ own.T, e.sum(1)
+        inner[:, a:b] = w["to_word"][k].T @ e
+    place = np.full(len(target), len(order))  # the last column of ``inner`` is zero
+    place[order] = np.arange(len(order))
+    dh += np.take(inner, place, axis=1)
     dh = dh.reshape(states.shape)
-    hidden, n = w["hidden"], HIDDEN
-    back, g_hidden = np.zeros_like(h), np.zeros_like(hidden)
-    dx = np.empty((len(before), h.shape[0], 3 * n), np.float32)
-    for t in range(len(before) - 1, -1, -1):
-        old, update, reset, new, u = keep[t]
-        dt = dh[t] + back
-        dnew = dt * update * (1 - new * new)
-        dx[t, :, :n] = dt * (new - old) * update * (1 - update)
-        dx[t, :, n : 2 * n] = dnew * u * reset * (1 - reset)
-        dx[t, :, 2 * n :] = dnew
-        du = dx[t].copy()
-        du[:, 2 * n :] *= reset
-        g_hidden += old.T @ du
-        back = dt * (1 - update) + du @ hidden.T
-        if (begins := before[t] < 0).any():
-            back = np.where(begins[:, None], np.float32(0), back)
-    g["hidden"], g["bias"] = g_hidden, dx.sum((0, 1))
-    g["input"] = np.zeros_like(w["input"])
-    order = np.argsort(np.maximum(before, 0).ravel(), kind="stable")
-    seen = np.maximum(before, 0).ravel()[order]
-    starts = np.flatnonzero(np.diff(seen, prepend=-1))
-    g["input"][seen[starts]] = np.add.reduceat(dx.reshape(-1, 3 * n)[order], starts, 0)
-    return g, states[-1], float(loss.sum())
+    update, reset, old, new = keep["gates"][:n], keep["gates"][n:], keep["old"], keep["new"]
+    # What a state's gradient is multiplied by, for all steps at once.
+    to_new = update * (1 - new * new)
+    to_update = (new - old) * update * (1 - update)
+    to_reset = keep["u"] * reset * (1 - reset)
+    stay = 1 - update
+    hidden, back, begins = w["hidden"].T.copy(), np.zeros_like(h), before < 0
+    fresh = begins.any(1).tolist()
+    dx, du = np.empty((3 * n, *shape), np.float32), np.empty((3 * n, *shape), np.float32)
+    step = np.empty((3 * n, shape[1]), np.float32)
+    for t in range(shape[0] - 1, -1, -1):
+        back += dh[:, t]
+        np.multiply(back, to_update[:, t], step[:n])
+        dnew = back * to_new[:, t]
+        np.multiply(dnew, to_reset[:, t], step[n : 2 * n])
+        np.multiply(dnew, reset[:, t], step[2 * n :])
+        du[:, t] = step
+        dx[2 * n :, t] = dnew
+        back *= stay[:, t]
+        back += hidden @ step
+        if fresh[t]:
+            back[:, begins[t]] = 0
+    dx[: 2 * n] = du[: 2 * n]
+    g["hidden"], g["bias"] = du.reshape(3 * n, -1) @ old.reshape(n, -1).T, dx.sum((1, 2))
+    seen = np.maximum(before, 0).ravel()
+    g["input"] = np.stack([np.bincount(seen, row, IDS) for row in dx.reshape(3 * n, -1)]).astype(np.float32)
+    return g, np.ascontiguousarray(states[:, -1]), loss
 
 
 class Adam:
@@ -188,20 +210,25 @@ def streams(texts: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray
 
     A text is its ids, which end with 0; -1 is before its first.
     """
-    target = np.concatenate(texts).astype(np.int64)
-    before = np.concatenate([[-1], target[:-1]])
+    target = np.concatenate(texts).astype(np.int32)
+    before = np.concatenate([np.array([-1], np.int32), target[:-1]])
     before[np.cumsum([len(x) for x in texts])[:-1]] = -1
     steps = -(-len(target) // lanes)
     lanes = -(-len(target) // steps)
     pad = lanes * steps - len(target)
     live = np.arange(lanes * steps).reshape(lanes, steps) < len(target)
-    led = np.concatenate([np.full(2 * WINDOW, -1), before])
+    led = np.concatenate([np.full(2 * WINDOW, -1, np.int32), before])
     leads = np.stack([led[k * steps : k * steps + 2 * WINDOW] for k in range(lanes)])
-    laid = [np.pad(x, (0, pad), constant_values=fill).reshape(lanes, steps).T for x, fill in ((before, -1), (target, 0))]
-    return laid[0], laid[1], live.T, leads.T
+    laid = [np.ascontiguousarray(np.pad(x, (0, pad), constant_values=fill).reshape(lanes, steps).T) for x, fill in ((before, -1), (target, 0))]
+    return laid[0], laid[1], np.ascontiguousarray(live.T), leads.T
+
 
+def lanes_of(tokens: int) -> int:
+    """Lanes for so many tokens: enough windows for the weights to settle come first."""
+    return int(max(16, min(LANES, tokens // (WINDOW * 64))))
 
-def train(w: Weights, texts: list[np.ndarray], times: np.ndarray, rate: float, seed: int, lanes: int = 128) -> Weights:
+
+def train(w: Weights, texts: list[np.ndarray], times: np.ndarray, rate: float, seed: int) -> Weights:
     """Truncated backpropagation over whole texts, each as often as ``times`` has it: windows of each lane in turn, the state carried
     from one to the next. A lane that begins within a text takes its state from the ids that lead up to it."""
     w, rng = {k: v.copy() for k, v in w.items()}, np.random.default_rng(seed)
@@ -209,11 +236,12 @@ def train(w: Weights, texts: list[np.ndarray], times: np.ndarray, rate: float, s
     total, done = max(1, int((sizes * times).sum())), 0
     for turn in range(int(times.max())):
         order = rng.permutation(np.flatnonzero(times > turn))
-        before, target, live, leads = streams([texts[k] for k in order.tolist()], lanes)
-        h = advance(w, leads, np.zeros((before.shape[1], HIDDEN), np.float32))[-1]
+        before, target, live, leads = streams([texts[k] for k in order.tolist()], lanes_of(int(sizes[order].sum())))
+        h = advance(w, leads, np.zeros((HIDDEN, before.shape[1]), np.float32))[:, -1]
         for t in range(0, len(before), WINDOW):
             part = live[t : t + WINDOW]
             g, h, _ = gradients(w, before[t : t + WINDOW], target[t : t + WINDOW], part, h)
             adam.update(w, g, rate * (1 - 0.7 * done / total))
             done += int(part.sum())
     return w
+

@@ -4,12 +4,13 @@
 2. Words that occur often, at most ``KNOWN``, go to all workers with their counts; the most
    frequent of them are the network's words. The others fall into classes by their last two
    characters, and have their add-one share of their class's count.
-3. All training texts are learned from, whole. Trainers take shares of them and learn by truncated
+3. Texts are read once into ids, which are stored; learning and scoring read those.
+4. All training texts are learned from, whole. Trainers take shares of them and learn by truncated
    backpropagation, the state carried through each text, from common weights, and their weights are
    averaged; so for some rounds. Trainers grow with the tokens, each with a bounded share; many
    weights are added up in executors first. Every text is visited once at least; small corpora are
    visited more often, so that the tokens visited in all never fall as the corpus grows.
-4. Every text is scored as a whole, its state carried from window to window. Counts of
+5. Every text is scored as a whole, its state carried from window to window. Counts of
    words that workers don't know are joined from the table of all counts.
 
 Documents with crc32(id as text) mod 7 = 2 are held out. A null text is empty: one end. A
@@ -39,9 +40,9 @@ from quillgraph.llm.common import id_crc, materialize, words_lower
 #: Words whose counts all workers hold, none longer than ``KNOWN_BYTES``.
 KNOWN, KNOWN_BYTES = 300_000, 48
 #: Rounds, and visits of a token, of all rounds, at most; they are fewer where ``VISITED`` tokens are visited in all.
-ROUNDS, VISITS, VISITED = 3, 30, 3 * 12 * 8_000 * 48
+ROUNDS, VISITS, VISITED = 3, 30, 13_824_000
 #: Trainers of small corpora, tokens that one has at least and at most, about, and sums of weights that come to the driver at once.
-TRAINERS, LEAST_TOKENS, MOST_TOKENS, SUMS = 12, 2_000 * 48, 20_000 * 48, 24
+TRAINERS, LEAST_TOKENS, MOST_TOKENS, SUMS = 12, 100_000, 4_000_000, 24
 #: Texts that advance together.
 LANES, BATCH_WORDS = 256, 600_000
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -176,16 +177,30 @@ def _reader(key: str, shared: Broadcast) -> Reader:
     return _READERS[key]
 
 
-def training_ids(frame: DataFrame, key: str, shared: Broadcast) -> DataFrame:
-    """``ids``: those of each training text as 2-byte integers, which end with 0."""
+ENCODED = "uid binary, doc_id long, held_out boolean, n_tokens long, n_known long, base double, inner double, ids binary, rest array<string>"
+
+
+def encode_documents(frame: DataFrame, key: str, shared: Broadcast) -> DataFrame:
+    """Each text as ``ids``, 2-byte integers that end with 0, and what doesn't depend on the network: ``n_tokens``, ``n_known`` and ``base``
+    from the words that workers know, ``inner``, the logarithm of words' shares of their classes, and ``rest``, the other words. ``uid`` names the row."""
+    kinds = [pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.string())]
+    names = [x.split()[0] for x in ENCODED.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _reader(key, shared)
+        ends_known = reader.lex.ends > 0
         for batch in batches:
-            out = [np.append(reader.read(words_lower(text.as_py()))[1], 0).astype("<i2").tobytes() for text in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
+            rows = []
+            for doc_id, held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                words = words_lower(text.as_py())
+                place, ids, rest = reader.read(words)
+                known, lost = place[place >= 0], ids[place < 0] - gru.HEAD
+                base = float(reader.base[known].sum()) + reader.end_base + len(rest) * reader.unseen_base
+                inner = float(reader.inner[known].sum()) + float(reader.unseen_tail[lost].sum())
+                rows.append((uuid.uuid4().bytes, doc_id, held_out, len(words) + 1, len(known) + ends_known, base, inner, np.append(ids, 0).astype("<i2").tobytes(), [x.decode() for x in rest]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names)
 
-    return frame.where(~F.col("held_out")).select("text").mapInArrow(read, "ids binary")
+    return frame.select("doc_id", "held_out", "text").mapInArrow(read, ENCODED)
 
 
 def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +225,7 @@ def times(place, turn: int, part: float):
 
 
 def train(sample: DataFrame, weights: gru.Weights, seed: int = 11, rate: float = 0.01) -> gru.Weights:
-    """Rounds of learning apart and averaging; all rounds together see every text."""
+    """Rounds of learning apart and averaging over ``sample(ids)``; all rounds together see every text."""
     n = sample.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0] // 2
     if not n:
         return weights
@@ -261,7 +276,7 @@ def score_texts(w: gru.Weights, texts: list[np.ndarray]) -> np.ndarray:
     lanes.sort(key=lambda own: -sum(len(texts[k]) for k in own))
     sizes = np.array([sum(len(texts[k]) for k in own) for own in lanes])
     out = np.zeros(len(texts))
-    h = np.zeros((len(lanes), gru.HIDDEN), np.float32)
+    h = np.zeros((gru.HIDDEN, len(lanes)), np.float32)
     steps, width = int(sizes[0]), 32
     target, before, owner = (np.zeros((len(lanes), steps), np.int32) for _ in range(3))
     for lane, own in enumerate(lanes):
@@ -276,59 +291,58 @@ def score_texts(w: gru.Weights, texts: list[np.ndarray]) -> np.ndarray:
     for t in range(0, steps, width):
         live = int(np.searchsorted(-sizes, -t, "left"))
         stop = min(t + width, steps)
-        states = gru.advance(w, before[:live, t:stop].T, h[:live])
-        h = states[-1]
-        inside = (np.arange(t, stop)[:, None] < sizes[:live]).ravel()
-        log_p = gru.log_probability(w, states.reshape(-1, gru.HIDDEN)[inside], target[:live, t:stop].T.ravel()[inside])
-        out += np.bincount(owner[:live, t:stop].T.ravel()[inside], log_p, len(texts))
+        states = gru.advance(w, before[:live, t:stop].T, h[:, :live])
+        h, flat = states[:, -1], states.reshape(gru.HIDDEN, -1)
+        ids, owners = target[:live, t:stop].T.ravel(), owner[:live, t:stop].T.ravel()
+        if sizes[live - 1] < stop:
+            inside = np.flatnonzero((np.arange(t, stop)[:, None] < sizes[:live]).ravel())
+            flat, ids, owners = np.take(flat, inside, axis=1), ids[inside], owners[inside]
+        out += np.bincount(owners, gru.log_probability(w, flat, ids), len(texts))
     return out
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
-    """Trains on ``docs(doc_id, text)`` but the held-out rows, and scores all."""
-    frame, spark = _frame(docs), docs.sparkSession
-    counts = materialize(word_counts(frame), "word-counts")
-    lex, key = build_lexicon(counts), uuid.uuid4().hex
-    shared = spark.sparkContext.broadcast(lex)
-    first = gru.initial(Reader(lex).id_counts(), 7)
-    weights = spark.sparkContext.broadcast(train(materialize(training_ids(frame, key, shared), "sample"), first))
+def score_encoded(encoded: DataFrame, weights: Broadcast) -> DataFrame:
+    """``uid`` and the other columns of ``encoded`` but its words, with ``score`` as far as workers know the words."""
+    columns = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "inner"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, w = _reader(key, shared), weights.value
-        log10 = math.log(10)
+        w = weights.value
 
-        def flush(rows: list[tuple]) -> pa.RecordBatch:
-            natural = score_texts(w, [r[2] for r in rows])
-            scored = [(uuid.uuid4().bytes, r[0], r[1], *r[3:6], r[6] + n / log10, r[7]) for r, n in zip(rows, natural.tolist())]
-            kinds = [pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string())]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*scored), kinds)], ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest"])
+        def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            natural = score_texts(w, [np.frombuffer(x.as_py(), "<i2") for x in table.column("ids")])
+            score = table.column("inner").to_numpy() + natural / math.log(10)
+            return table.drop_columns(["ids", "inner"]).append_column("score", pa.array(score)).to_batches()[0]
 
         held, size = [], 0
         for batch in batches:
-            for doc_id, held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                words = words_lower(text.as_py())
-                place, ids, rest = reader.read(words)
-                known = place[place >= 0]
-                base = float(reader.base[known].sum()) + reader.end_base + len(rest) * reader.unseen_base
-                lost = ids[place < 0] - gru.HEAD
-                inner = float(reader.inner[known].sum()) + float(reader.unseen_tail[lost].sum())
-                held.append((doc_id, held_out, np.append(ids, np.int32(0)), len(words) + 1, len(known) + (lex_ends > 0), base, inner, [x.decode() for x in rest]))
-                size += len(words) + 1
+            for at in range(0, batch.num_rows, 1024):
+                held.append(batch.slice(at, 1024))
+                size += sum(held[-1].column("n_tokens").to_pylist())
                 if size >= BATCH_WORDS:
                     yield flush(held)
                     held, size = [], 0
-        if held:
+        if size:
             yield flush(held)
 
-    lex_ends = lex.ends
-    schema = "uid binary, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<string>"
-    scored = materialize(frame.select("doc_id", "held_out", "text").mapInArrow(score, schema), "scored")
+    schema = "uid binary, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+    return encoded.select(*columns, "ids").mapInArrow(score, schema)
+
+
+def score_documents(docs: DataFrame) -> DataFrame:
+    """Trains on ``docs(doc_id, text)`` but the held-out rows, and scores all."""
+    frame, spark = _frame(docs), docs.sparkSession
+    counts = materialize(word_counts(frame), "word-counts")
+    lex, key = build_lexicon(counts), uuid.uuid4().hex
+    first = gru.initial(Reader(lex).id_counts(), 7)
+    encoded = materialize(encode_documents(frame, key, spark.sparkContext.broadcast(lex)), "encoded")
+    weights = spark.sparkContext.broadcast(train(encoded.where(~F.col("held_out")).select("ids"), first))
     # Words not known to the workers: each document's, with how often, joined with all counts.
-    words = scored.select("uid", F.explode("rest").alias("word"))
+    words = encoded.select("uid", F.explode("rest").alias("word"))
     found = words.join(counts.where("word is not null").withColumnRenamed("c", "n"), "word")
     sums = found.groupBy("uid").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.count("*").alias("seen"))
     more = F.coalesce("more", F.lit(0.0))
-    return scored.drop("rest").join(sums, "uid", "left").select(
+    return score_encoded(encoded, weights).join(sums, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
         F.lit(lex.tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"),
     )

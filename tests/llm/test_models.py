@@ -135,11 +135,11 @@ def test_gru_gradients():
     w = {k: (v + rng.normal(size=v.shape) * 0.1).astype(np.float32) for k, v in gru.initial(rng.random(gru.IDS) * 50, 1).items()}
     before, ids, live = rng.integers(0, gru.IDS, (5, 4)), rng.integers(0, 150, (5, 4)), np.ones((5, 4), bool)
     before[0], before[3, 1], live[4, 0] = -1, -1, False
-    h = np.zeros((4, gru.HIDDEN), np.float32)
+    h = np.zeros((gru.HIDDEN, 4), np.float32)
     got, _, _ = gru.gradients(w, before, ids, live, h)
 
     def loss():
-        p = gru.log_probability(w, gru.advance(w, before, h).reshape(-1, gru.HIDDEN), ids.ravel())
+        p = gru.log_probability(w, gru.advance(w, before, h).reshape(gru.HIDDEN, -1), ids.ravel())
         return float(-(p * live.ravel()).sum() / live.sum())
 
     for k, g in got.items():
@@ -155,8 +155,8 @@ def test_gru_gradients():
 def test_gru_is_a_distribution_and_starts_as_unigrams():
     counts = np.random.default_rng(1).random(gru.IDS) * 100
     w = gru.initial(counts, 2)
-    states = np.random.default_rng(5).normal(size=(1, gru.HIDDEN)).astype(np.float32)
-    p = np.exp(gru.log_probability(w, np.repeat(states, gru.IDS, 0), np.arange(gru.IDS)).astype(float))
+    states = np.random.default_rng(5).normal(size=(gru.HIDDEN, 1)).astype(np.float32)
+    p = np.exp(gru.log_probability(w, np.repeat(states, gru.IDS, 1), np.arange(gru.IDS)).astype(float))
     assert p.sum() == pytest.approx(1, abs=1e-4)
     assert np.allclose(p, (counts + 0.5) / (counts + 0.5).sum(), rtol=1e-3)
 
@@ -173,8 +173,9 @@ def test_streams_hold_every_token_once():
 def test_training_sees_whole_texts(spark, odd):
     frame = recurrent_lm._frame(odd)
     lex = recurrent_lm.build_lexicon(recurrent_lm.word_counts(frame))
-    ids = recurrent_lm.training_ids(frame, "whole", spark.sparkContext.broadcast(lex)).collect()
-    assert sum(len(r["ids"]) // 2 for r in ids) == lex.tokens
+    encoded = recurrent_lm.encode_documents(frame, "whole", spark.sparkContext.broadcast(lex)).collect()
+    assert sum(len(r["ids"]) // 2 for r in encoded if not r["held_out"]) == lex.tokens
+    assert all(len(r["ids"]) == 2 * r["n_tokens"] for r in encoded)
     sample = spark.range(1000).selectExpr("id / 1000.0D as place")
     for often in (1.0, 1.4, 2.0, 3.0, 7.7, 30.0):
         each = [sum(x) for x in sample.select(*[recurrent_lm.times(sample.place, t, often / recurrent_lm.ROUNDS) for t in range(recurrent_lm.ROUNDS)]).collect()]
@@ -225,6 +226,49 @@ def test_op4_base_and_score(spark, sf, docs, monkeypatch, known):
     assert sum(r[6] for r in held) > sum(r[5] for r in held)  # the network beats counts on unseen documents
 
 
+def plain_score(w, lex, counts, text):
+    """The network and the shares of classes, word by word and unit by unit."""
+    n, words = gru.HIDDEN, [x.encode() for x in counts]
+    own = {word: k + 1 for k, word in enumerate(lex.words.split(b"\n")[: gru.HEAD - 1])} if words else {}
+    numbers = {s: k for k, s in enumerate(lex.suffixes)}
+    sums, kinds = np.zeros(gru.TAIL), np.zeros(gru.TAIL)
+    of = lambda word: numbers.get(word.decode()[-2:], gru.TAIL - 1)
+    for word in words:
+        if word not in own:
+            sums[of(word)] += counts[word.decode()]
+            kinds[of(word)] += 1
+    h, before, total = np.zeros(n), 0, 0.0  # before a text is the end of another
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for word in [*(text or "").encode().lower().split(), None]:
+        x = w["bias"].astype(float) + w["input"][:, before]
+        u = w["hidden"].astype(float) @ h
+        update, reset = sigmoid(x[:n] + u[:n]), sigmoid(x[n : 2 * n] + u[n : 2 * n])
+        h = h + update * (np.tanh(x[2 * n :] + reset * u[2 * n :]) - h)
+        before = 0 if word is None else own.get(word, gru.HEAD + of(word))
+        scores = w["to_class"].astype(float) @ h + w["class_bias"]
+        k = before // gru.PER_CLASS if before < gru.HEAD else before - gru.HEAD + gru.HEAD_CLASSES
+        total += scores[k] - np.log(np.exp(scores).sum())
+        if before < gru.HEAD:
+            inner = w["to_word"][k].astype(float) @ h + w["word_bias"][k]
+            total += inner[before % gru.PER_CLASS] - np.log(np.exp(inner).sum())
+        else:
+            total += np.log((counts.get(word.decode(), 0) + 1) / (sums[of(word)] + kinds[of(word)] + 1))
+    return total / np.log(10)
+
+
+@pytest.mark.parametrize("known", [300_000, 1500])
+def test_scores_are_those_of_a_plain_loop(spark, docs, monkeypatch, known):
+    monkeypatch.setattr(recurrent_lm, "KNOWN", known)
+    some, trained, lexicons = docs.orderBy("doc_id").limit(40), [], []
+    for name, found in (("train", trained), ("build_lexicon", lexicons)):
+        monkeypatch.setattr(recurrent_lm, name, lambda *a, f=getattr(recurrent_lm, name), found=found: (found.append(f(*a)), found[-1])[1])
+    rows = {r["doc_id"]: r for r in recurrent_lm.score_documents(some).collect()}
+    texts = {r["doc_id"]: r["text"] for r in some.collect()}
+    counts = Counter(x.decode() for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2 for x in t.encode().lower().split())
+    for i, text in texts.items():
+        assert rows[i]["score"] == pytest.approx(plain_score(trained[0], lexicons[0], counts, text), rel=1e-4)
+
+
 def test_language_model_on_odd_rows(spark, odd, none):
     rows = sorted(map(tuple, recurrent_lm.score_documents(odd).collect()), key=key)
     want = sorted(brute_base([(r["doc_id"], r["text"]) for r in odd.collect()]), key=key)
