@@ -1,17 +1,18 @@
 """SimHash near-duplicates, by tiled exact comparison of fingerprints.
 
-A fingerprint has a bit set where over half of the text's word shingles' XXH64 have it.
+A fingerprint has a bit set where over half of the text's word shingles' hashes have it: XXH64 for the first
+64 bits, and for each 64 more a mix of it with another constant.
 Distinct fingerprints are dealt by their population counts into tiles of bounded size; two
 tiles meet in a task only if their counts come within the radius, and there blocks of them
-are compared by exclusive-or and bit counts, unless the counts of the fingerprints' four
+are compared by exclusive-or and bit counts, unless the counts of the fingerprints'
 16-bit words differ by more than the radius. Every pair within the radius is found. A
 task returns the links that join different groups of its tiles, no more than there are
 fingerprints; components are found from those.
 
 Null and empty texts have fingerprint 0 and are linked like any other. Texts with fewer
 words than a shingle are one shingle. Copies share a fingerprint, so one of each is compared.
-Repeated rows are members of one component. A null id is never a component's id, unless all
-its ids are null. An empty table gives an empty result. Other columns are ignored.
+Repeated rows are members of one component; rows of one id with different texts are linked by their texts alone. A null
+id is never a component's id, unless all its ids are null. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,41 +31,78 @@ from quillgraph.llm.components import connected_components
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints of a tile (16 bytes each), and of a block that is compared at once.
 TILE, BLOCK = 1 << 14, 256
-NO_ID = (1 << 63) - 1
+#: Words of 64 bits that all pairs of a block are compared by; the rest is compared where these come within the radius.
+ALL_PAIRS = 2
 #: Pairs of tiles that a task compares, about.
 PAIRS = 16
 #: Ids that are broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
 
-def fingerprint(words: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The unsigned fingerprint of a list of words."""
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes for the ``k``-th 64 bits: the finalizer of SplitMix64, from its ``k``-th step."""
+    if not k:
+        return h
+    h = h + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint(words: list[bytes], shingle: int = SHINGLE, seed: int = SEED, bits: int = 64) -> bytes:
+    """The fingerprint of a list of words: unsigned 64-bit words, each with its highest byte first."""
     import xxhash
 
     if not words:
-        return 0
+        return bytes(bits // 8)
     n = max(1, len(words) - shingle + 1)
-    digest, half, ones = xxhash.xxh64_intdigest, n / 2, np.zeros(64, np.int64)
+    digest, half, ones = xxhash.xxh64_intdigest, n / 2, np.zeros((bits // 64, 64), np.int64)
     for at in range(0, n, 1 << 15):
         part = words[at : at + (1 << 15) + shingle - 1]
         shingles = map(b" ".join, zip(*[part[k:] for k in range(shingle)])) if len(words) >= shingle else [b" ".join(words)]
         h = np.fromiter((digest(x, seed) for x in shingles), "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones > half, bitorder="little").tobytes(), "little")
+        for k in range(len(ones)):
+            ones[k] += np.unpackbits(_mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(ones > half, axis=1, bitorder="little")[:, ::-1].tobytes()
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, bits: int = 64) -> DataFrame:
+    """``doc_id, fp``: the fingerprint as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(words_lower(x.as_py()), shingle, seed) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = [fingerprint(words_lower(x.as_py()), shingle, seed, bits) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], ["doc_id", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp binary")
+
+
+def matrix(fps: bytes, words: int) -> np.ndarray:
+    """Fingerprints, one after the other, as rows of 64-bit words."""
+    return np.frombuffer(fps, ">u8").reshape(-1, words).astype("<u8")
+
+
+def _pops(fps: np.ndarray) -> np.ndarray:
+    """Population counts of the 16-bit words of each fingerprint."""
+    return np.bitwise_count(np.ascontiguousarray(fps).view(np.uint16).reshape(len(fps), -1)).astype(np.int64)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
+def _nodes(marked: DataFrame, words: int) -> DataFrame:
+    """``fp, first, node, place``: distinct fingerprints with their least id, numbered in its order (null last), and a key that orders them by population counts."""
 
-def _tiles(nodes: DataFrame, count: int, tile: int) -> DataFrame:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pops = _pops(matrix(b"".join(batch.column(0).to_pylist()), words))
+            keys = np.concatenate([pops.sum(1, keepdims=True), pops[:, :3]], 1).astype(">u2")
+            yield batch.append_column("place", pa.array([k.tobytes() for k in keys], pa.binary()))
+
+    first = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    order = [F.col("first").asc_nulls_last(), F.col("fp")]
+    numbered = first.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id())
+    return numbered.mapInArrow(place, "fp binary, first long, node long, place binary")
+
+
+def _tiles(nodes: DataFrame, count: int, tile: int, words: int) -> DataFrame:
     """Fingerprints, ordered by population counts, as rows of at most ``tile``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,10 +111,10 @@ def _tiles(nodes: DataFrame, count: int, tile: int) -> DataFrame:
 
         def row(table: pa.Table) -> pa.RecordBatch:
             nonlocal made
-            fps = table.column(0).to_numpy().astype("<i8")
-            pops = np.bitwise_count(fps.view(np.uint64))
+            fps = b"".join(table.column(0).to_pylist())
+            pops = _pops(matrix(fps, words)).sum(1)
             made += 1
-            return pa.RecordBatch.from_pylist([{"tile": base + made, "lo": int(pops.min()), "hi": int(pops.max()), "fps": fps.tobytes(), "ids": table.column(1).to_numpy().astype("<i8").tobytes()}])
+            return pa.RecordBatch.from_pylist([{"tile": base + made, "lo": int(pops.min()), "hi": int(pops.max()), "fps": fps, "ids": table.column(1).to_numpy().astype("<i8").tobytes()}])
 
         for batch in batches:
             held.append(batch)
@@ -88,10 +126,8 @@ def _tiles(nodes: DataFrame, count: int, tile: int) -> DataFrame:
         if size:
             yield row(pa.Table.from_batches(held))
 
-    word = [F.bit_count(F.shiftright("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))) for k in range(3)]
-    order = [F.bit_count("fp"), *word, F.col("fp")]
-    dealt = nodes.repartitionByRange(max(1, -(-count // tile)), *order).sortWithinPartitions(*order)
-    return dealt.select("fp", "first").mapInArrow(cut, "tile long, lo long, hi long, fps binary, ids binary")
+    dealt = nodes.repartitionByRange(max(1, -(-count // tile)), "place", "fp").sortWithinPartitions("place", "fp")
+    return dealt.select("fp", "node").mapInArrow(cut, "tile long, lo long, hi long, fps binary, ids binary")
 
 
 class Forest:
@@ -128,14 +164,25 @@ class Forest:
 
 
 def _boxes(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest counts of the four words in each block."""
-    pops = np.bitwise_count(fps.view(np.uint16).reshape(-1, 4)).astype(np.int64)
-    first = np.arange(0, len(fps), BLOCK)
+    """Least and greatest counts of the 16-bit words in each block."""
+    pops, first = _pops(fps), np.arange(0, len(fps), BLOCK)
     return np.minimum.reduceat(pops, first), np.maximum.reduceat(pops, first)
 
 
+def near_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in two blocks of all pairs within the radius."""
+    apart = np.bitwise_count(a[:, 0, None] ^ b[:, 0])
+    for k in range(1, min(ALL_PAIRS, a.shape[1])):
+        apart += np.bitwise_count(a[:, k, None] ^ b[:, k])
+    p, q = np.nonzero(apart <= radius)
+    if a.shape[1] > ALL_PAIRS and len(p):
+        rest = np.bitwise_count(a[p, ALL_PAIRS:] ^ b[q, ALL_PAIRS:]).sum(1) + apart[p, q]
+        p, q = p[rest <= radius], q[rest <= radius]
+    return p, q
+
+
 def tile_links(a: np.ndarray, b: np.ndarray, same: bool, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``a`` and ``b`` of links that join groups; ``same`` if both are one tile."""
+    """Places in ``a`` and ``b`` (rows of 64-bit words) of links that join groups; ``same`` if both are one tile."""
     forest = Forest(len(a) if same else len(a) + len(b))
     shift = 0 if same else len(a)
     (alo, ahi), (blo, bhi) = _boxes(a), _boxes(b)
@@ -143,11 +190,9 @@ def tile_links(a: np.ndarray, b: np.ndarray, same: bool, radius: int = RADIUS) -
     right: list[np.ndarray] = []
     for i in range(len(alo)):
         apart = (np.maximum(alo[i] - bhi, 0) + np.maximum(blo - ahi[i], 0)).sum(1)
-        x = a[i * BLOCK : (i + 1) * BLOCK, None]
         near = np.flatnonzero(apart <= radius)
         for j in near[near >= i].tolist() if same else near.tolist():
-            y = b[None, j * BLOCK : (j + 1) * BLOCK]
-            p, q = np.nonzero(np.bitwise_count(x ^ y) <= radius)
+            p, q = near_pairs(a[i * BLOCK : (i + 1) * BLOCK], b[j * BLOCK : (j + 1) * BLOCK], radius)
             if same and i == j:
                 p, q = p[p < q], q[p < q]
             if len(p):
@@ -159,9 +204,9 @@ def tile_links(a: np.ndarray, b: np.ndarray, same: bool, radius: int = RADIUS) -
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """``a, b``: ids of ``nodes(fp, first)`` whose links span the groups of fingerprints within the radius."""
-    tiles = materialize(_tiles(nodes, nodes.count(), tile), "tiles")
+def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, words: int = 1) -> DataFrame:
+    """``a, b``: numbers of ``nodes(fp, node, place)`` whose links span the groups of fingerprints within the radius."""
+    tiles = materialize(_tiles(nodes, nodes.count(), tile, words), "tiles")
     reach = tiles.select(F.col("tile").alias("t"), F.explode(F.sequence("lo", "hi")).alias("pop"))
     near = tiles.select(F.col("tile").alias("u"), F.explode(F.sequence(F.col("lo") - radius, F.col("hi") + radius)).alias("pop"))
     pairs = materialize(reach.join(near, "pop").where("t <= u").select("t", "u").distinct(), "tile-pairs")
@@ -175,21 +220,22 @@ def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE)
         for batch in batches:
             for row in range(batch.num_rows):
                 t, u, fa, fb, ia, ib = (batch.column(k)[row].as_py() for k in range(6))
-                p, q = tile_links(np.frombuffer(fa, "<u8"), np.frombuffer(fb, "<u8"), t == u, radius)
+                p, q = tile_links(matrix(fa, words), matrix(fb, words), t == u, radius)
                 ends = [np.frombuffer(ia, "<i8")[p], np.frombuffer(ib, "<i8")[q]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["a", "b"])
 
     return dealt.select("t", "u", "fps_a", "fps_b", "ids_a", "ids_b").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """``doc_id, fp, component_id`` of every document."""
-    marked = materialize(fingerprints(docs, shingle, seed), "fingerprints")
-    nodes = materialize(marked.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("first")), "nodes")
-    stars = connected_components(fingerprint_links(nodes, radius, tile)).select(F.col("a").alias("first"), F.col("b").alias("least"))
-    component = F.coalesce("least", "first")
-    classes = materialize(nodes.join(stars, "first", "left").select("fp", F.when(component != NO_ID, component).alias("component_id")), "classes")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS, tile: int = TILE, bits: int = 64) -> DataFrame:
+    """``doc_id, fp, component_id`` of every document. ``bits`` is a multiple of 64."""
+    marked = materialize(fingerprints(docs, shingle, seed, bits), "fingerprints")
+    nodes = materialize(_nodes(marked, bits // 64), "nodes")
+    # The least node of a component has its least id.
+    stars = connected_components(fingerprint_links(nodes, radius, tile, bits // 64)).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    linked = stars.join(nodes.select(F.col("node").alias("root"), F.col("first").alias("component_id")), "root").select("node", "component_id", F.lit(True).alias("moved"))
+    classes = nodes.join(linked, "node", "left").select("fp", F.when(F.col("moved"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"))
+    return marked.join(materialize(classes, "classes"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, **parameters) -> DataFrame:
@@ -214,5 +260,5 @@ def keep_first(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def hex_fingerprint(fp: str = "fp"):
-    """The fingerprint as 16 lowercase hex digits."""
-    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+    """The fingerprint as lowercase hex digits."""
+    return F.lower(F.hex(fp))

@@ -12,14 +12,24 @@ from quillgraph.llm import components, line_crf, matroska, mil_quality, mixing,
 from quillgraph.llm.queries import op5_matroska, op8_simhash
 
 
-def brute_fingerprint(text):
+def split_mix(h, k):
+    if k:
+        h = (h + 0x9E3779B97F4A7C15 * k) % (1 << 64)
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+        h = (h ^ h >> 27) * 0x94D049BB133111EB % (1 << 64)
+        h ^= h >> 31
+    return h
+
+
+def brute_fingerprint(text, shingle=4, bits=64):
+    """The first 64 bits are the highest of the number."""
     words = (text or "").encode().lower().split()
-    shingles = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
-    bits = np.zeros(64)
-    for s in shingles:
-        h = xxhash.xxh64_intdigest(s, seed=42)
-        bits += [(h >> k) & 1 for k in range(64)]
-    return sum(1 << k for k in range(64) if bits[k] * 2 > len(shingles))
+    shingles = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []
+    hashes, out = [xxhash.xxh64_intdigest(s, seed=42) for s in shingles], 0
+    for word in range(bits // 64):
+        own = [split_mix(h, word) for h in hashes]
+        out = out << 64 | sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in own) > len(own))
+    return out
 
 
 def brute_components(ids, fps, radius=4):
@@ -54,7 +64,7 @@ def test_near_duplicates_of_odd_rows(spark, odd, none):
     fps = [brute_fingerprint(r["text"]) for r in rows]
     want = sorted(zip([r["doc_id"] for r in rows], fps, brute_components([r["doc_id"] for r in rows], fps)), key=str)
     got = simhash.near_duplicates(odd).select("doc_id", "fp", "component_id").collect()
-    assert sorted(((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in got), key=str) == want
+    assert sorted(((r["doc_id"], int.from_bytes(r["fp"]), r["component_id"]) for r in got), key=str) == want
     assert simhash.near_duplicates(none).count() == 0
     kept = simhash.keep_first(odd)
     assert kept.columns == odd.columns
@@ -69,18 +79,41 @@ def test_tiles_find_every_group(radius):
     flips = np.array([np.bitwise_xor.reduce([np.uint64(1) << np.uint64(k) for k in rng.choice(64, rng.integers(1, 7), replace=False)]) for _ in range(900)], np.uint64)
     fps = np.unique(np.concatenate([base, rng.choice(base, 900) ^ flips]))
     fps = fps[np.lexsort((fps, np.bitwise_count(fps)))]
+    fps = fps[:, None]
     a, b = fps[: len(fps) // 2], fps[len(fps) // 2 :]
     forest = simhash.Forest(len(fps))
     for x, y, same, s, t in ((a, a, True, 0, 0), (b, b, True, len(a), len(a)), (a, b, False, 0, len(a))):
         p, q = simhash.tile_links(x, y, same, radius)
-        assert (np.bitwise_count(x[p] ^ y[q]) <= radius).all() and len(p) < len(x) + len(y)
+        assert (np.bitwise_count(x[p] ^ y[q]).sum(1) <= radius).all() and len(p) < len(x) + len(y)
         forest.join(p + s, q + t)
     got = forest.find(np.arange(len(fps)))
-    want = brute_components(list(range(len(fps))), [int(f) for f in fps], radius)
+    want = brute_components(list(range(len(fps))), [int(f) for f in fps[:, 0]], radius)
     first = {}
     assert [first.setdefault(g, i) for i, g in enumerate(got)] == want
 
 
+@pytest.mark.parametrize("bits, radius", [(128, 30), (256, 46), (256, 100)])
+def test_wide_fingerprints_against_brute_force(spark, docs, bits, radius):
+    some = docs.where("doc_id < 250")
+    rows = some.select("doc_id", "text").collect()
+    fps = [brute_fingerprint(r["text"], 5, bits) for r in rows]
+    want = {(r["doc_id"], f, c) for r, f, c in zip(rows, fps, brute_components([r["doc_id"] for r in rows], fps, radius))}
+    got = simhash.near_duplicates(some, shingle=5, bits=bits, radius=radius, tile=64).collect()
+    assert {(r["doc_id"], int.from_bytes(r["fp"]), r["component_id"]) for r in got} == want
+
+
+def test_rows_without_an_id_link_nothing_by_it(spark):
+    """Near-duplicates of null ids, and rows of one id, are linked by their texts alone."""
+    words = [f"w{k}" for k in range(400)]
+    one, two = " ".join(words[:200]), " ".join(words[200:])
+    rows = [(1, one), (None, one + " more"), (2, two), (None, two + " more"), (None, "neither of them at all"), (7, "first text of the id"), (7, "quite another text here now")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), radius=12).collect()
+    fps = [brute_fingerprint(t) for _, t in rows]
+    want = brute_components([i for i, _ in rows], fps, 12)
+    assert want[:5] == [1, 1, 2, 2, None]
+    assert sorted(((r["doc_id"], int.from_bytes(r["fp"]), r["component_id"]) for r in got), key=str) == sorted(zip([i for i, _ in rows], fps, want), key=str)
+
+
 def test_small_tiles_give_the_same(spark, docs):
     a = {tuple(r) for r in simhash.near_duplicates(docs).collect()}
     assert {tuple(r) for r in simhash.near_duplicates(docs, tile=16).collect()} == a
