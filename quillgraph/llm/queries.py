@@ -50,7 +50,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     turned = chat.rotate_perspectives(read_table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["first"].cast("string"), m["last"].cast("string"))), ";")
-    return turned.select("conv_id", "part", "speaker", "n_turns", "n_own", "text", spans.alias("mask"))
+    return turned.select("conv_id", "part", "speaker", "start", "n_turns", "n_own", "text", spans.alias("mask"))
 
 
 def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

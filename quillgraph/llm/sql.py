@@ -4,7 +4,10 @@ from __future__ import annotations
 
 OP2 = r"""
 with sized as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+         md5(coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')) as key,
+         row_number() over (partition by doc_id, text) as occurrence
+  from documents
 ), sources as (
   select source, sum(size)::bigint as source_size, row_number() over (order by source is null, source) - 1 as k from sized group by source
 ), ranked as (
@@ -23,7 +26,7 @@ with sized as (
 ), rates as (
   select d.doc_id, d.size, t.source_size, t.target,
          case when t.source_size > 0 then t.target / t.source_size else 0 end as rate,
-         ('0x' || substr(md5('17:' || coalesce(d.doc_id::varchar, '')), 1, 13))::bigint / 4503599627370496.0::double as draw
+         ('0x' || substr(md5('17:' || d.key || ':' || d.occurrence), 1, 13))::bigint / 4503599627370496.0::double as draw
   from sized d join targets t on d.source is not distinct from t.source
 )
 select doc_id, size, source_size, target,
@@ -33,7 +36,7 @@ from rates
 
 OP9 = """
 with turns as (
-  select conv_id, floor(turn / 256)::bigint as part, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations
+  select conv_id, floor(turn / 4096)::bigint as part, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations
 ), people as (
   select distinct conv_id, role as speaker from turns
 ), seen as (
@@ -42,10 +45,10 @@ with turns as (
   from turns t join people p on t.conv_id is not distinct from p.conv_id
 ), placed as (
   select *, head || text || '<|im_end|>' || chr(10) as piece,
-         sum(length(head) + length(text) + 11) over (partition by conv_id, part, speaker order by turn nulls first, role, text rows unbounded preceding) as last
+         sum(length(head) + length(text) + 11) over (partition by conv_id, speaker order by turn nulls first, role, text rows unbounded preceding) as last
   from seen
 )
-select conv_id, part, speaker, count(*)::bigint as n_turns, count(*) filter (where role = speaker)::bigint as n_own,
+select conv_id, part, speaker, min(last - length(piece))::bigint as start, count(*)::bigint as n_turns, count(*) filter (where role = speaker)::bigint as n_own,
        string_agg(piece, '' order by turn nulls first, role, text) as text,
        coalesce(string_agg((last - length(text) - 11)::bigint::varchar || '-' || last::bigint::varchar, ';' order by last) filter (where role = speaker), '') as mask
 from placed group by conv_id, part, speaker
