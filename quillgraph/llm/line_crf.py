@@ -4,7 +4,7 @@ A line is described by the shares of its kinds of characters, its length, how it
 repeat and whether it equals an earlier line. Viterbi decoding labels the whole sequence
 of a document's lines; the share of characters in lines of content decides whether the
 document stays. The field is fitted by maximum likelihood (forward and backward sums) on
-lines of at most ``max_labelled`` labelled documents, in windows of 48 lines, where a
+lines of at most ``max_labelled`` labelled documents and ``SAMPLE_BYTES`` of features, in windows of 48 lines, where a
 document's label stands for its lines'. Executors compute the features of these.
 
 Besides, plain rules count words and fail documents that are short or repeat themselves.
@@ -26,9 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.byte_classes import N_KINDS, kind_shares
-from quillgraph.llm.mil_quality import training_documents
+from quillgraph.llm.mil_quality import training_documents, training_sample
 
 MAX_LABELLED = 1500
+#: Bytes of lines' features that the driver takes; fitting holds some twenty times as much.
+SAMPLE_BYTES = 8 << 20
 CONTENT_SHARE = 0.5
 WINDOW = 48
 FEATURES = N_KINDS + 6
@@ -153,13 +155,12 @@ def fit_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", max_la
                     rows.append({"doc_id": doc_id, "y": y, "x": line_features(lines, [len(lines)]).astype(np.float16).tobytes()})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("x", pa.binary())]))
 
-    found = training_documents(docs, labels, label, max_labelled, False).mapInArrow(sequences, "doc_id long, y int, x binary").toArrow().to_pylist()
+    found = training_sample(training_documents(docs, labels, label, max_labelled, False).mapInArrow(sequences, "doc_id long, y int, x binary"), max_labelled, SAMPLE_BYTES)
     if not found:
         return prior_field()
-    found.sort(key=lambda r: (r["doc_id"], r["y"], r["x"]))
-    x = [np.frombuffer(r["x"], np.float16).reshape(-1, FEATURES) for r in found]
+    x = [np.frombuffer(v, np.float16).reshape(-1, FEATURES) for _, _, v in found]
     counts = [min(WINDOW, len(v) - k) for v in x for k in range(0, len(v), WINDOW)]
-    y = np.concatenate([np.full(len(v), int(r["y"] > 0)) for v, r in zip(x, found)])
+    y = np.concatenate([np.full(len(v), int(k > 0)) for v, (_, k, _) in zip(x, found)])
     return fit_field(np.concatenate(x).astype(np.float64), np.array(counts), y)
 
 

@@ -5,7 +5,7 @@ weights, learned from the documents' labels alone, say how much each counts; a l
 unit scores the weighted sum of the encodings. The whole text is scored.
 
 The model is fitted on the driver on at most ``max_labelled`` labelled documents, taken in
-order of a hash of the id; executors compute their passages' features, so that no text
+order of a hash of the id while their features come to no more than ``SAMPLE_BYTES``; executors compute these, so that no text
 comes to the driver. Labels are looked up by ``doc_id``; documents held out
 (crc32 of the id as text, modulo 5, is 0) are never learned from. Of repeated labels the
 smallest counts; null labels count as none. With labels of one kind only, or none, every
@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.byte_classes import N_KINDS, kind_shares
-from quillgraph.llm.common import id_crc
+from quillgraph.llm.common import id_crc, materialize
 
 PASSAGE_WORDS = 64
 #: Documents at most that the model is fitted on.
 MAX_LABELLED = 6000
+#: Bytes of features that the driver takes; a document with more by itself isn't learned from.
+SAMPLE_BYTES = 96 << 20
 THRESHOLD = 0.3
 FEATURES = N_KINDS + N_KINDS * N_KINDS + 4
 HIDDEN, GATE = 24, 12
@@ -118,7 +120,7 @@ def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, seed: int = 5, epochs:
 
 
 def training_documents(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int, hold_out: bool) -> DataFrame:
-    """``text, y`` of the first labelled documents by a hash of the id."""
+    """``doc_id, text, y`` of the first labelled documents by a hash of the id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna()
     known = known.where(id_crc() % 5 != 0) if hold_out else known
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
@@ -126,6 +128,25 @@ def training_documents(docs: DataFrame, labels: DataFrame, label: str, max_label
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(F.broadcast(known), "doc_id").select("doc_id", "text", "y")
 
 
+def training_sample(features: DataFrame, max_labelled: int, most_bytes: int = SAMPLE_BYTES) -> list[tuple[int, int, bytes]]:
+    """``doc_id, y, x`` of the rows that are learned from, on the driver: the first by the hash, within both bounds. Equal rows are learned from once.
+
+    Only sizes are collected to choose them.
+    """
+    kept = materialize(features.withColumn("h", F.xxhash64("x")).dropDuplicates(["doc_id", "y", "h"]), "features")
+    first = kept.select("doc_id", "y", "h", F.octet_length("x").alias("n")).orderBy(F.xxhash64(F.lit("train"), "doc_id"), "doc_id", "h").limit(max_labelled).collect()
+    total, chosen = 0, []
+    for r in first:
+        if total + r["n"] <= most_bytes:
+            total += r["n"]
+            chosen.append((r["doc_id"], r["y"], r["h"]))
+    if not chosen:
+        return []
+    keys = features.sparkSession.createDataFrame(chosen, "doc_id long, y int, h long")
+    found = kept.join(F.broadcast(keys), ["doc_id", "y", "h"], "left_semi").select("doc_id", "y", "x").toArrow()
+    return sorted(zip(*(c.to_pylist() for c in found.columns)))
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED) -> Model:
     """Fits the model on ``docs(doc_id, text)`` that ``labels(doc_id, <label>)`` marks 0 or 1."""
 
@@ -137,10 +158,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_
                 rows = np.split(x.astype(np.float16), np.cumsum(counts)[:-1])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "y", "x"])
 
-    sample = training_documents(docs, labels, label, max_labelled, True).mapInArrow(bags, "doc_id long, y int, x binary").toArrow().to_pydict()
-    order = sorted(range(len(sample["y"])), key=lambda i: (sample["doc_id"][i], sample["y"][i], sample["x"][i]))
-    x = [np.frombuffer(sample["x"][i], np.float16).reshape(-1, FEATURES) for i in order]
-    y = np.array([sample["y"][i] for i in order], np.float32).clip(0, 1)
+    sample = training_sample(training_documents(docs, labels, label, max_labelled, True).mapInArrow(bags, "doc_id long, y int, x binary"), max_labelled)
+    x = [np.frombuffer(v, np.float16).reshape(-1, FEATURES) for _, _, v in sample]
+    y = np.array([k for _, k, _ in sample], np.float32).clip(0, 1)
     if not x:
         return Model(0.5, np.zeros(FEATURES), np.ones(FEATURES), None)
     return fit(np.concatenate(x).astype(np.float32), np.array([len(v) for v in x]), y)

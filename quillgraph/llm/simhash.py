@@ -11,6 +11,7 @@ fingerprints; components are found from those.
 
 Null and empty texts have fingerprint 0 and are linked like any other. Texts with fewer
 words than a shingle are one shingle. Copies share a fingerprint, so one of each is compared.
+A text's hash tells rows of one id apart where one document of a component is kept.
 Repeated rows are members of one component; rows of one id with different texts are linked by their texts alone. A null
 id is never a component's id, unless all its ids are null. An empty table gives an empty result. Other columns are ignored.
 """
@@ -67,14 +68,15 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE, seed: int = SEED, bi
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, bits: int = 64) -> DataFrame:
-    """``doc_id, fp``: the fingerprint as bytes."""
+    """``doc_id, text_hash, fp``: XXH64 of the text as Spark has it, and the fingerprint as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(words_lower(x.as_py()), shingle, seed, bits) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], ["doc_id", "fp"])
+            fps = [fingerprint(words_lower(x.as_py()), shingle, seed, bits) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary())], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp binary")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, fp binary")
 
 
 def matrix(fps: bytes, words: int) -> np.ndarray:
@@ -228,35 +230,38 @@ def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE,
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS, tile: int = TILE, bits: int = 64) -> DataFrame:
-    """``doc_id, fp, component_id`` of every document. ``bits`` is a multiple of 64."""
+    """``doc_id, text_hash, fp, component, component_id`` of every document; ``component`` is a number, ``component_id`` its least id. ``bits`` is a multiple of 64."""
     marked = materialize(fingerprints(docs, shingle, seed, bits), "fingerprints")
     nodes = materialize(_nodes(marked, bits // 64), "nodes")
     # The least node of a component has its least id.
     stars = connected_components(fingerprint_links(nodes, radius, tile, bits // 64)).select(F.col("a").alias("node"), F.col("b").alias("root"))
-    linked = stars.join(nodes.select(F.col("node").alias("root"), F.col("first").alias("component_id")), "root").select("node", "component_id", F.lit(True).alias("moved"))
-    classes = nodes.join(linked, "node", "left").select("fp", F.when(F.col("moved"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"))
-    return marked.join(materialize(classes, "classes"), "fp").select("doc_id", "fp", "component_id")
+    linked = stars.join(nodes.select(F.col("node").alias("root"), F.col("first").alias("least")), "root")
+    classes = nodes.join(linked, "node", "left").select("fp", F.coalesce("root", "node").alias("component"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
+    return marked.join(materialize(classes, "classes"), "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
 
 
 def keep_first(docs: DataFrame, **parameters) -> DataFrame:
-    """One document of each component: that with its least id, once if it has repeated rows.
+    """One document of each component: that with its least id (null last), of its texts that with the least hash, once if it has repeated rows.
 
-    The ids that go, and those of repeated rows, are few beside the texts; they are broadcast
-    up to ``BROADCAST_IDS`` and joined by a shuffle beyond. Rows without an id stay.
+    Rows that go, and repeated ones, are few beside the texts; their ids and texts' hashes are broadcast
+    up to ``BROADCAST_IDS`` and joined by a shuffle beyond.
     """
-    classes = near_duplicates(docs, **parameters)
-    classes = materialize(classes.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("n")).where("least <> doc_id or n > 1"), "to-go")
-
-    def marked(condition: str) -> DataFrame:
-        ids = classes.where(condition).select(F.col("doc_id").alias("_id"))
-        return F.broadcast(ids) if classes.count() <= BROADCAST_IDS else ids
-
-    stay = docs.join(marked("least <> doc_id"), F.col("doc_id") == F.col("_id"), "left_anti")
-    repeated = "n > 1 and least = doc_id"
-    if not classes.where(repeated).limit(1).count():
+    rows = materialize(near_duplicates(docs, **parameters).groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n")), "members")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
+    groups = rows.groupBy("component").agg(F.min(own).alias("stays"), F.sum("n").alias("all")).where("all > 1").select("component", "stays")
+    marked = rows.join(groups, "component").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), (F.col("stays") == own).alias("stays"), "n")
+    marked = materialize(marked.where("not stays or n > 1"), "to-go")
+
+    def some(condition: str) -> DataFrame:
+        keys = marked.where(condition).select("_id", "_hash")
+        return F.broadcast(keys) if marked.count() <= BROADCAST_IDS else keys
+
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash"))
+    stay = docs.join(some("not stays"), same, "left_anti")
+    if not marked.where("stays").limit(1).count():
         return stay
-    once = stay.join(marked(repeated), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return stay.join(marked(repeated), F.col("doc_id") == F.col("_id"), "left_anti").unionByName(once)
+    once = stay.join(some("stays"), same, "left_semi").withColumn("_text", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return stay.join(some("stays"), same, "left_anti").unionByName(once)
 
 
 def hex_fingerprint(fp: str = "fp"):

@@ -68,7 +68,7 @@ def test_near_duplicates_of_odd_rows(spark, odd, none):
     assert simhash.near_duplicates(none).count() == 0
     kept = simhash.keep_first(odd)
     assert kept.columns == odd.columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted({c for _, _, c in want if c is not None} | {None}, key=str)
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted(({c for _, _, c in want if c is not None}) | {None}, key=str)
     assert simhash.keep_first(none).count() == 0
 
 
@@ -115,8 +115,18 @@ def test_rows_without_an_id_link_nothing_by_it(spark):
 
 
 def test_small_tiles_give_the_same(spark, docs):
-    a = {tuple(r) for r in simhash.near_duplicates(docs).collect()}
-    assert {tuple(r) for r in simhash.near_duplicates(docs, tile=16).collect()} == a
+    a = {tuple(r) for r in simhash.near_duplicates(docs).drop("component").collect()}
+    assert {tuple(r) for r in simhash.near_duplicates(docs, tile=16).drop("component").collect()} == a
+
+
+def test_one_of_each_group_stays(spark):
+    """Null ids go with others, rows of one id and several texts are told apart, and repeated rows stay once."""
+    words = [f"w{k}" for k in range(300)]
+    one, two, three = (" ".join(words[k : k + 100]) for k in (0, 100, 200))
+    rows = [(None, one), (4, one), (4, two), (4, two), (4, two), (9, two), (None, three), (None, three + " more"), (5, "a b c d e f")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, bits=256, radius=46).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept if r["doc_id"]) == sorted([(4, one), (4, two), (5, "a b c d e f")])
+    assert len(kept) == 4 and [r["text"].startswith(three) for r in kept if r["doc_id"] is None] == [True]
 
 
 def test_connected_components(spark):
@@ -191,7 +201,8 @@ def test_pipeline_stages(spark, sf, docs):
     one = corpus_pipeline.quality_classifier(spark, docs, sf)
     assert one.columns == docs.columns and {r["doc_id"] for r in one.collect()} == good
     one = one.cache()
-    field = line_crf.fit_rules(one, labels)
+    field = line_crf.fit_rules(docs, labels)
+    assert not np.allclose(field.emit, line_crf.prior_field().emit)  # labels of both kinds are learned from
     stay = {r["doc_id"] for r in line_crf.apply_rules(one, field).where("kept").collect()}
     two = corpus_pipeline.quality_rules(spark, one, sf)
     assert {r["doc_id"] for r in two.collect()} == stay
@@ -200,10 +211,49 @@ def test_pipeline_stages(spark, sf, docs):
     assert all(i in stay for i, q in marked.items() if q == 1 and i not in failed)  # clean documents stay
     two = two.cache()
     rows = two.select("doc_id", "text").collect()
-    fps = [brute_fingerprint(r["text"]) for r in rows]
+    fps = [brute_fingerprint(r["text"], 5, 256) for r in rows]
     three = corpus_pipeline.near_duplicates(spark, two, sf)
-    assert sorted(r["doc_id"] for r in three.collect()) == sorted(set(brute_components([r["doc_id"] for r in rows], fps)))
+    assert sorted(r["doc_id"] for r in three.collect()) == sorted(set(brute_components([r["doc_id"] for r in rows], fps, corpus_pipeline.RADIUS)))
     four = corpus_pipeline.source_mixture(spark, three, sf)
     assert four.columns == docs.columns
     assert four.count() == mixing.mixing_plan(three).agg({"copies": "sum"}).first()[0]
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_pipeline_links_near_copies(spark):
+    """Of texts that share 0.8 of their five-word shingles or more at least 0.9 go; texts that share less than half stay."""
+    rng = np.random.default_rng(8)
+    rows, near = [], 0
+    for k in range(200):
+        words = [f"w{x}" for x in rng.integers(0, 5000, rng.integers(80, 400))]
+        copy = list(words)
+        for at in rng.choice(len(words), rng.integers(1, max(2, len(words) // 40)), replace=False):
+            copy[at] = "changed"
+        other = [f"v{x}" if rng.random() < 0.25 else y for x, y in zip(rng.integers(0, 5000, len(words)), words)]
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(copy)), (3 * k + 2, " ".join(other))]
+        a, b, c = (shingles(t) for _, t in rows[-3:])
+        assert len(a & c) < 0.5 * len(a | c)
+        near += (same := len(a & b) >= 0.8 * len(a | b))
+        if not same:
+            rows[-2] = (3 * k + 1, f"alone{k} " * 60)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert near > 100 and all(3 * k in kept and 3 * k + 2 in kept for k in range(200))
+    assert len(rows) - len(kept) >= 0.9 * near
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, none, tmp_path):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (4, 1, 0), (5, 0, 0), (5, 1, 0), (8, 1, 1), (None, 1, 0), (9, None, None)], "doc_id long, quality int, toxic int")
+    for name, docs, marks in (("odd", odd, labels), ("empty", none, labels.limit(0)), ("unlabelled", odd, labels.limit(0))):
+        folder = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{folder}/documents.parquet")
+        marks.write.parquet(f"{folder}/labels.parquet")
+        table = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, table, folder)
+            assert out.columns == table.columns and {r["doc_id"] for r in out.collect()} <= {r["doc_id"] for r in odd.collect()}
+        assert {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()} <= {r["doc_id"] for r in odd.collect()}
