@@ -135,6 +135,6 @@ def similar_pairs(df: DataFrame, low: float, high: float, project: str = "projec
     left = blocks.select(F.col("k").alias("ka"), "p", F.col("ids").alias("ia"), F.col("m").alias("ma"))
     right = blocks.select(F.col("k").alias("kb"), F.col("ids").alias("ib"), F.col("m").alias("mb"))
     met = pairs.join(left, "ka").join(right, "kb").withColumn("same", F.col("ka") == F.col("kb"))
-    n = blocks.count()
-    tasks = max(4 * df.sparkSession.sparkContext.defaultParallelism, n * (n + 1) // 2 // TASK_PAIRS)
+    n = blocks.groupBy("p").count().agg(F.coalesce(F.sum(F.col("count") * (F.col("count") + 1) / 2), F.lit(0))).first()[0]
+    tasks = max(4 * df.sparkSession.sparkContext.defaultParallelism, int(n) // TASK_PAIRS)
     return met.repartition(tasks, "ka", "kb").select("p", "ia", "ma", "ib", "mb", "same").mapInArrow(multiply, "project_id long, a long, b long, sim double")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillgraph.sources.store import stored
+
 
 class NotFound(LookupError):
     """There is no such row for this user."""
@@ -98,10 +100,11 @@ def ensure_user(users: DataFrame, user_id: str, email: str | None = None, name:
 
 
 def numbered(rows: DataFrame, start: int, *order: str) -> DataFrame:
-    """Rows with ids from ``start``. Ids are dealt by ranges, so that no task orders all rows."""
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    """Rows with ids from ``start``. Ids are dealt by ranges, so that no task orders all rows. The ranges are stored once, as they are read twice."""
+    ranged = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()), "ranges")
     base = ranged.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
     before = base.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    # A row for each task.
     return ranged.join(F.broadcast(before), "_p").withColumn("id", F.lit(start) + F.col("_before") + F.col("_m") - F.col("_first")).drop("_p", "_m", "_n", "_first", "_before")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillgraph.functions.vectors import dot, l2_normalize, mean_vectors, similar_pairs
+from quillgraph.operators.consensus import with_totals
 from quillgraph.params import DEFAULTS, Params
 from quillgraph.sources.store import stored
 
@@ -378,6 +379,7 @@ def _large_kmeans(rows: DataFrame, p: Params) -> DataFrame:
     n = rows.count()
     model = KMeans(k=kmeans_k(n, adaptive_size(n, p.min_cluster_size)), seed=42, featuresCol="v", predictionCol="c").fit(rows.withColumn("v", array_to_vector(l2_normalize(F.col("embedding"), 1e-10))))
     labelled = model.transform(rows.withColumn("v", array_to_vector(l2_normalize(F.col("embedding"), 1e-10))))
+    # Ten clusters at most.
     order = labelled.groupBy("c").agg(F.min("id").alias("least")).withColumn("cluster_label", (F.row_number().over(W.orderBy("least")) - 1).cast("int"))
     return labelled.join(F.broadcast(order.select("c", "cluster_label")), "c").select("project_id", "id", "cluster_label")
 
@@ -403,7 +405,7 @@ def reassign_noise(concepts: DataFrame, dim: int | None = None) -> DataFrame:
 def cluster_summary(concepts: DataFrame, dim: int | None = None) -> DataFrame:
     """``project_id, cluster_label, n, avg_generality, cohesion``: cohesion is the mean product with the raw centroid."""
     means = centroids(concepts, dim=dim).drop("n")
-    joined = concepts.join(F.broadcast(means), ["project_id", "cluster_label"])
+    joined = concepts.join(means, ["project_id", "cluster_label"])
     return joined.groupBy("project_id", "cluster_label").agg(F.count("*").alias("n"), F.round(F.avg("generality_score"), 4).alias("avg_generality"), F.round(F.avg(dot(F.col("embedding"), F.col("centroid"))), 4).alias("cohesion"))
 
 
@@ -421,13 +423,18 @@ def children(concepts: DataFrame) -> DataFrame:
     return concepts.where("parent_concept_id is not null").groupBy(F.col("parent_concept_id").alias("id")).agg(F.array_sort(F.collect_list("id")).alias("children"))
 
 
-def generality(concepts: DataFrame, frequencies: DataFrame, total_docs: int, dim: int | None = None) -> DataFrame:
-    """``project_id, id, generality``: 0.4 share of documents + 0.3 share of the most claims + 0.2 former generality + 0.1 product with the centroid."""
-    most = frequencies.agg(F.coalesce(F.max("n_claims"), F.lit(1)).alias("most"))
+def generality(concepts: DataFrame, frequencies: DataFrame, total_docs: int | DataFrame, dim: int | None = None) -> DataFrame:
+    """``project_id, id, generality``: 0.4 share of documents + 0.3 share of the most claims + 0.2 former generality + 0.1 product with the centroid.
+
+    Documents and the most claims are those of the concept's project; ``total_docs`` may be a table ``project_id, total_docs``.
+    """
+    counted = concepts.join(frequencies.withColumnRenamed("concept_id", "id"), "id", "left")
+    most = counted.groupBy("project_id").agg(F.greatest(F.coalesce(F.max("n_claims"), F.lit(1)), F.lit(1)).alias("most"))
     means = centroids(concepts, dim=dim).drop("n")
-    joined = concepts.join(frequencies.withColumnRenamed("concept_id", "id"), "id", "left").join(F.broadcast(means), ["project_id", "cluster_label"], "left").crossJoin(F.broadcast(most))
-    docs = F.coalesce("n_docs", F.lit(0)) / F.lit(max(total_docs, 1))
-    score = 0.4 * docs + 0.3 * (F.coalesce("n_claims", F.lit(0)) / F.col("most")) + 0.2 * former_generality(F.col("generality_score")) + 0.1 * F.coalesce(dot(F.col("embedding"), F.col("centroid")), F.lit(0.0))
+    joined = with_totals(counted.join(means, ["project_id", "cluster_label"], "left").join(most, "project_id"), total_docs)
+    docs = F.coalesce("n_docs", F.lit(0)) / F.greatest(F.col("total_docs"), F.lit(1))
+    central = F.greatest(F.coalesce(dot(F.col("embedding"), F.col("centroid")), F.lit(0.0)), F.lit(0.0))
+    score = 0.4 * docs + 0.3 * (F.coalesce("n_claims", F.lit(0)) / F.col("most")) + 0.2 * former_generality(F.col("generality_score")) + 0.1 * central
     return joined.select("project_id", "id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 4).alias("generality"))
 
 
@@ -436,12 +443,12 @@ def former_generality(g: Column) -> Column:
     return F.coalesce(F.nullif(g, F.lit(0.0)), F.lit(0.5))
 
 
-def bridge_pairs(concepts: DataFrame, threshold: float = DEFAULTS.bridge_similarity, most: int | None = DEFAULTS.bridge_max_concepts) -> DataFrame:
-    """``project_id, a, b, sim``: similar pairs of different clusters; projects with more than ``most`` concepts have none."""
+def bridge_pairs(concepts: DataFrame, threshold: float = DEFAULTS.bridge_similarity, most: int | None = None) -> DataFrame:
+    """``project_id, a, b, sim``: similar pairs of different clusters. With ``most`` (such as ``bridge_max_concepts``), larger projects have none."""
     rows = concepts
     if most is not None:
         sizes = concepts.groupBy("project_id").count().where(F.col("count") <= most).select("project_id")
-        rows = concepts.join(F.broadcast(sizes), "project_id", "left_semi")
+        rows = concepts.join(sizes, "project_id", "left_semi")
     labels = rows.select("project_id", F.col("id").alias("a"), F.col("cluster_label").alias("la"))
     pairs = similar_pairs(rows, threshold, float("inf"))
     return pairs.join(labels, ["project_id", "a"]).join(labels.select("project_id", F.col("a").alias("b"), F.col("la").alias("lb")), ["project_id", "b"]).where("la <> lb").select("project_id", "a", "b", "sim")

@@ -63,12 +63,23 @@ def project_health(documents: DataFrame, concepts: DataFrame) -> DataFrame:
     return joined.withColumn("health", F.round(health, 4))
 
 
-def coverage(concepts: DataFrame, claims: DataFrame, total_docs: int | Column) -> DataFrame:
-    """``project_id, id, n_docs, coverage_score``: documents with a claim over all, 1 at most, 0 without documents."""
-    total = F.lit(total_docs) if isinstance(total_docs, int) else total_docs
+def with_totals(rows: DataFrame, total_docs: int | DataFrame) -> DataFrame:
+    """Rows with ``total_docs``: one number for all, or that of each project (0 where it has none)."""
+    if isinstance(total_docs, DataFrame):
+        return rows.join(total_docs.select("project_id", "total_docs"), "project_id", "left").withColumn("total_docs", F.coalesce("total_docs", F.lit(0)))
+    return rows.withColumn("total_docs", F.lit(total_docs))
+
+
+def document_totals(documents: DataFrame) -> DataFrame:
+    """``project_id, total_docs``."""
+    return documents.groupBy("project_id").agg(F.count("*").alias("total_docs"))
+
+
+def coverage(concepts: DataFrame, claims: DataFrame, total_docs: int | DataFrame) -> DataFrame:
+    """``project_id, id, n_docs, coverage_score``: documents with a claim over all of the project, 1 at most, 0 without documents."""
     n = claims.groupBy(F.col("concept_id").alias("id")).agg(F.count_distinct("document_id").alias("n_docs"))
-    joined = concepts.select("project_id", "id").join(n, "id", "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(0)))
-    return joined.withColumn("coverage_score", F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("n_docs"), total), F.lit(0.0))))
+    joined = with_totals(concepts.select("project_id", "id").join(n, "id", "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(0))), total_docs)
+    return joined.withColumn("coverage_score", F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("n_docs"), F.col("total_docs")), F.lit(0.0)))).drop("total_docs")
 
 
 def frequencies(claims: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillgraph.functions.vectors import dot, mean_vectors, midpoint
+from quillgraph.operators.consensus import with_totals
 from quillgraph.params import DEFAULTS, Params
 
 # What is suggested for a gap.
@@ -31,17 +32,17 @@ def clear_gaps(concepts: DataFrame) -> DataFrame:
     return out.withColumn("is_gap", F.lit(False))
 
 
-def weak_coverage(concepts: DataFrame, total_docs: int, p: Params = DEFAULTS) -> DataFrame:
-    """``project_id, id, name, approx_docs, suggestions``: general concepts that few documents cover; none in small collections."""
+def weak_coverage(concepts: DataFrame, total_docs: int | DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """``project_id, id, name, approx_docs, suggestions``: general concepts that few documents of the project cover; none in small collections."""
     cover, general = F.coalesce("coverage_score", F.lit(0.0)), F.coalesce("generality_score", F.lit(0.0))
-    weak = (cover < p.weak_coverage) & (general > p.weak_generality) & ~F.coalesce(F.col("is_synthetic_gap"), F.lit(False)) & F.lit(total_docs >= p.weak_min_docs)
-    docs = F.greatest(F.lit(1), F.bround(cover * total_docs)).cast("long")
-    found = concepts.where(weak).withColumn("approx_docs", docs)
-    suggestions = F.array(F.format_string(SEARCH, "name"), F.format_string(FEW, F.col("approx_docs"), F.lit(total_docs), F.col("name")))
+    weak = (cover < p.weak_coverage) & (general > p.weak_generality) & ~F.coalesce(F.col("is_synthetic_gap"), F.lit(False)) & (F.col("total_docs") >= p.weak_min_docs)
+    docs = F.greatest(F.lit(1), F.bround(cover * F.col("total_docs"))).cast("long")
+    found = with_totals(concepts, total_docs).where(weak).withColumn("approx_docs", docs)
+    suggestions = F.array(F.format_string(SEARCH, "name"), F.format_string(FEW, F.col("approx_docs"), F.col("total_docs"), F.col("name")))
     return found.select("project_id", "id", "name", "approx_docs", suggestions.alias("suggestions"))
 
 
-def flag_weak(concepts: DataFrame, total_docs: int, p: Params = DEFAULTS) -> DataFrame:
+def flag_weak(concepts: DataFrame, total_docs: int | DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Concepts, those with weak coverage marked in place."""
     weak = weak_coverage(concepts, total_docs, p).select("id", F.col("suggestions").alias("_s"))
     out, hit = concepts.join(weak, "id", "left"), F.col("_s").isNotNull()
@@ -54,8 +55,8 @@ def flag_weak(concepts: DataFrame, total_docs: int, p: Params = DEFAULTS) -> Dat
 def connected_clusters(relationships: DataFrame, concepts: DataFrame) -> DataFrame:
     """``project_id, a, b``: pairs of clusters (a < b) that a relationship joins."""
     label = concepts.where("cluster_label is not null").select("project_id", F.col("id").alias("source_concept_id"), F.col("cluster_label").alias("la"))
-    other = label.select(F.col("source_concept_id").alias("target_concept_id"), F.col("la").alias("lb"))
-    both = relationships.join(label, "source_concept_id").join(other, "target_concept_id").where("la <> lb")
+    other = label.select("project_id", F.col("source_concept_id").alias("target_concept_id"), F.col("la").alias("lb"))
+    both = relationships.select("source_concept_id", "target_concept_id").join(label, "source_concept_id").join(other, ["project_id", "target_concept_id"]).where("la <> lb")
     return both.select("project_id", F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
 
 

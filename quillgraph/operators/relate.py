@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,25 +36,54 @@ def top_pairs(pairs: DataFrame, n: int = 500) -> DataFrame:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def mentions(concepts: DataFrame, chunks: DataFrame, largest: int = 2_000) -> DataFrame:
-    """``concept_id, chunk_id``: chunks that contain a concept's name, whatever the case.
+#: Bytes of names that a worker's automaton is built from; more are matched in as many passes over the texts as it takes.
+NAME_BYTES = 16 << 20
+_AUTOMATA: dict = {}
+
+
+def _automaton(key: str, names: list[tuple[int, str]]):
+    """The worker's automaton of these names; it keeps one."""
+    if key not in _AUTOMATA:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for i, name in names:
+            found.add_word(name, i)
+        found.make_automaton()
+        _AUTOMATA.clear()
+        _AUTOMATA[key] = found
+    return _AUTOMATA[key]
 
-    Names are few beside chunks and are matched with each text, equal ones once; blank names match none. Up to
-    ``largest`` names they are broadcast. Beyond, a text meets the names that begin with one of its words.
+
+def mentions(concepts: DataFrame, chunks: DataFrame, most_bytes: int = NAME_BYTES) -> DataFrame:
+    """``concept_id, chunk_id``: chunks that contain a concept's name, whatever the case; blank names match none.
+
+    Equal names are looked for once. Each worker builds an automaton of all names and reads its texts once; texts
+    aren't shuffled. Names of more than ``most_bytes`` in all are parted by a hash, and each part reads the texts.
     """
-    named = concepts.select(F.col("id").alias("concept_id"), F.lower(F.trim("name")).alias("name")).where("name <> ''")
-    names = named.select("name").distinct()
-    texts = chunks.select(F.col("id").alias("chunk_id"), F.lower("content").alias("content"))
-    if names.limit(largest + 1).count() <= largest:
-        seen = texts.join(F.broadcast(names), F.contains(F.col("content"), F.col("name"))).select("name", "chunk_id")
-    else:
-        # A name within a text begins somewhere; three characters that it begins with are a key. Shorter names are broadcast.
-        long, short = names.where("length(name) >= 3"), names.where("length(name) < 3")
-        at = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("content") - 2, F.lit(1))), lambda i: F.substr(F.col("content"), i, F.lit(3)))))
-        keyed = texts.withColumn("key", at).join(long.withColumn("key", F.left("name", F.lit(3))), "key").where(F.contains("content", "name"))
-        rest = texts.join(F.broadcast(short), F.contains(F.col("content"), F.col("name")))
-        seen = keyed.select("name", "chunk_id").union(rest.select("name", "chunk_id")).distinct()
-    return seen.join(named, "name").select("concept_id", "chunk_id")
+    named = concepts.select(F.col("id").cast("long").alias("concept_id"), F.lower(F.trim("name")).alias("name")).where("name <> ''")
+    names = stored(named.groupBy("name").agg(F.min("concept_id").alias("name_id")), "names")
+    texts = chunks.select(F.col("id").cast("long").alias("chunk_id"), F.lower("content").alias("content")).where("content is not null")
+    size = names.agg(F.coalesce(F.sum(F.octet_length("name")), F.lit(0))).first()[0]
+    parts, spark, out = max(1, -(-size // most_bytes)), concepts.sparkSession, None
+    for part in range(parts):
+        own = [tuple(r) for r in names.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == part).select("name_id", "name").collect()]
+        shared, key = spark.sparkContext.broadcast(own), uuid.uuid4().hex
+
+        def find(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(key, shared.value) if shared.value else None
+            for batch in batches if automaton else ():
+                ids, where = [], []
+                for chunk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    met = {i for _, i in automaton.iter(text)}
+                    ids += met
+                    where += [chunk] * len(met)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(where, pa.int64())], ["name_id", "chunk_id"])
+
+        seen = texts.mapInArrow(find, "name_id long, chunk_id long")
+        out = seen if out is None else out.unionByName(seen)
+    owners = named.join(names, "name").select("name_id", "concept_id")
+    return out.join(owners, "name_id").select("concept_id", "chunk_id")
 
 
 def cooccurrence(mentioned: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -109,10 +142,11 @@ def strength(sim: Column, co: Column, max_co: Column, shared: Column, confidence
     return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), s)), 4)
 
 
-def score_pairs(pairs: DataFrame, co: DataFrame, shared: DataFrame, mentioned: DataFrame) -> DataFrame:
-    """Pairs with ``co_occurrence, shared_docs, strength``; ``pairs`` has ``confidence``. The most mentions of a single concept scale co-occurrence."""
-    most = mentioned.groupBy("concept_id").count().agg(F.greatest(F.coalesce(F.max("count"), F.lit(1)), F.lit(1)).alias("max_co"))
-    joined = pairs.join(co, ["a", "b"], "left").join(shared, ["a", "b"], "left").crossJoin(F.broadcast(most)).na.fill(0, ["co_occurrence", "shared_docs"])
+def score_pairs(pairs: DataFrame, co: DataFrame, shared: DataFrame, mentioned: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Pairs with ``co_occurrence, shared_docs, strength``; ``pairs`` has ``confidence``. The most mentions of a single concept of the project scale co-occurrence."""
+    counts = mentioned.groupBy("concept_id").count().join(concepts.select(F.col("id").alias("concept_id"), "project_id"), "concept_id")
+    most = counts.groupBy("project_id").agg(F.max("count").alias("max_co"))
+    joined = pairs.join(co, ["a", "b"], "left").join(shared, ["a", "b"], "left").join(most, "project_id", "left").na.fill(0, ["co_occurrence", "shared_docs"]).na.fill(1, ["max_co"])
     has = F.when(F.col("shared_docs") > 0, 1.0).otherwise(0.0)
     return joined.withColumn("strength", strength(F.col("sim"), F.col("co_occurrence"), F.col("max_co"), has, F.col("confidence"))).drop("max_co")
 
@@ -176,5 +210,5 @@ def detect(concepts: DataFrame, chunks: DataFrame, claims: DataFrame, relationsh
     else:
         pairs = classify(pairs)
     pairs, seen = stored(pairs, "classified"), stored(mentions(concepts, chunks), "mentions")  # a model is asked once; texts are searched once
-    scored = score_pairs(pairs, cooccurrence(seen, pairs), shared_documents(claims, pairs), seen)
+    scored = score_pairs(pairs, cooccurrence(seen, pairs), shared_documents(claims, pairs), seen, concepts)
     return dedupe_relationships(resolve_direction(scored).withColumn("seq", F.col("rank").cast("long")))

@@ -28,6 +28,27 @@ def merge_threshold(n: Column, p: Params = DEFAULTS) -> Column:
     return F.when(n < p.small_project, p.merge_similarity_small).otherwise(p.merge_similarity)
 
 
+class Known:
+    """Unit vectors with their owners, in a matrix that doubles when it is full."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.owners, self.rows = threshold, [], np.empty((0, 0))
+
+    def add(self, owner: int, x: np.ndarray) -> None:
+        n = len(self.owners)
+        if n == len(self.rows):
+            grown = np.empty((max(16, 2 * n), len(x)))
+            grown[:n] = self.rows[:n] if n else 0
+            self.rows = grown
+        self.rows[n] = x
+        self.owners.append(owner)
+
+    def first(self, x: np.ndarray) -> int | None:
+        """The first owner whose vector is similar enough."""
+        hit = np.flatnonzero(self.rows[: len(self.owners)] @ x >= self.threshold) if self.owners else ()
+        return self.owners[hit[0]] if len(hit) else None
+
+
 def average_linkage(x: np.ndarray, threshold: float) -> np.ndarray:
     """Groups of unit vectors, merged while the mean distance of two groups is below 1 - ``threshold``.
 
@@ -66,7 +87,7 @@ def merge_similar(concepts: DataFrame, threshold: float | None = None, p: Params
     keyed = concepts.withColumn("clean", name_key()).join(groups, ["project_id", "clean"])
     means = mean_vectors(keyed, ["project_id", "group_id"], normalize=True).select("project_id", F.col("group_id").alias("id"), F.col("centroid").alias("embedding"))
     size = concepts.groupBy("project_id").agg(F.count("*").alias("size"))
-    means = means.join(F.broadcast(size), "project_id").withColumn("t", F.lit(threshold) if threshold is not None else merge_threshold(F.col("size"), p))
+    means = means.join(size, "project_id").withColumn("t", F.lit(threshold) if threshold is not None else merge_threshold(F.col("size"), p))
     lowest = threshold if threshold is not None else min(p.merge_similarity, p.merge_similarity_small)
     pairs = similar_pairs(means, lowest, float("inf")).select("a", "b")
     parts = label_components(pairs)
@@ -142,19 +163,17 @@ def greedy_merge(rows: DataFrame, threshold: float = DEFAULTS.merge_similarity)
         pdf = pdf.sort_values("id")
         seeds: list[int] = []
         by_name: dict[str, int] = {}
-        vectors, owners, out = [], [], []
+        seen, out = Known(threshold), []
         for i, clean, v in zip(pdf["id"], pdf["clean"], pdf["embedding"]):
             to = by_name.get(clean)
             x = None if v is None else np.asarray(v, float) / max(float(np.linalg.norm(v)), 1e-10)
-            if to is None and x is not None and vectors:
-                hit = np.flatnonzero(np.array(vectors) @ x >= threshold)
-                to = owners[hit[0]] if len(hit) else None
+            if to is None and x is not None:
+                to = seen.first(x)
             if to is None:
                 to = i
                 seeds.append(i)
                 if x is not None:
-                    vectors.append(x)
-                    owners.append(i)
+                    seen.add(i, x)
             by_name.setdefault(clean, to)
             out.append(to)
         return pd.DataFrame({"project_id": pdf["project_id"], "id": pdf["id"], "group_id": out})
@@ -212,20 +231,18 @@ def match_concepts(new: DataFrame, existing: DataFrame, threshold: float = DEFAU
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["fresh", "id"])
         known: dict[str, int] = {}
-        vectors, owners, out = [], [], []
+        seen, out = Known(threshold), []
         for i, clean, v, fresh in zip(pdf["id"], pdf["clean"], pdf["embedding"], pdf["fresh"]):
             x = None if v is None else np.asarray(v, float) / max(float(np.linalg.norm(v)), 1e-10)
             to = known.get(clean) if fresh else None
-            if fresh and to is None and x is not None and vectors:
-                hit = np.flatnonzero(np.array(vectors) @ x >= threshold)
-                to = owners[hit[0]] if len(hit) else None
+            if fresh and to is None and x is not None:
+                to = seen.first(x)
             if fresh:
                 out.append((pdf["project_id"].iat[0], i, i if to is None else to, to is None))
             if to is None:
                 known.setdefault(clean, i)
                 if x is not None:
-                    vectors.append(x)
-                    owners.append(i)
+                    seen.add(i, x)
         return pd.DataFrame(out, columns=["project_id", "id", "concept_id", "is_new"])
 
     matched = both.groupBy("project_id").applyInPandas(run, "project_id long, id long, concept_id long, is_new boolean")

@@ -9,13 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillgraph.functions import jsonfix, layout, text
 from quillgraph.operators import catalog, cluster, consensus, gaps, graphmap, relate, resolve, search
 from quillgraph.sources import views
 from quillgraph.sources.store import stored
-from quillgraph.sources.views import TOTAL_DOCS, with_views
+from quillgraph.sources.views import TOTAL_DOCS_SQL, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -144,9 +145,9 @@ def project_health(spark, sf):
     return consensus.project_health(views.docs(spark, sf), rows).select("project_id", "documents", "concepts", "gaps", _r("avg_consensus"), "health")
 
 
-@register(f"select c.project_id, c.id, count(distinct document_id) as n_docs, round(least(1.0, count(distinct document_id) / {TOTAL_DOCS}.0), 6)::double as coverage_score from concepts c left join claims k on k.concept_id = c.id group by all", "concepts", "claims")
+@register(f"select project_id, id, n_docs, round(least(1.0, n_docs::double / {TOTAL_DOCS_SQL}), 6)::double as coverage_score from (select c.project_id, c.id, count(distinct document_id) as n_docs from concepts c left join claims k on k.concept_id = c.id group by all)", "concepts", "claims")
 def coverage_by_concept(spark, sf):
-    return consensus.coverage(views.concepts(spark, sf), views.claims(spark, sf), TOTAL_DOCS).select("project_id", "id", "n_docs", _r("coverage_score"))
+    return consensus.coverage(views.concepts(spark, sf), views.claims(spark, sf), views.totals(spark)).select("project_id", "id", "n_docs", _r("coverage_score"))
 
 
 @register("select concept_id, count(*) as n_claims, count(distinct document_id) as n_docs from claims group by all", "claims")
@@ -276,8 +277,8 @@ def _map_rows(spark, sf):
 
 MAPPED = """m as (select *, id % 10 = 9 as is_gap, (id * 7 % 100) / 100.0::double as coverage_score, case when id % 4 <> 0 then id - id % 4 end as parent_concept_id,
   case when id % 20 = 9 then ['critical', 'important', 'nice_to_have'][id % 3 + 1] end as importance, case when id % 30 = 9 then 'bridging' end as gap_subtype from concepts),
-ranked as (select *, case when is_gap then row_number() over (partition by is_gap order by case importance when 'critical' then 0 when 'nice_to_have' then 2 else 1 end, id)
-  else row_number() over (partition by is_gap order by 0.4::double * coverage_score + 0.3::double * generality_score + 0.3::double * case when parent_concept_id is null then 1.0 else 0.0 end desc, id) end as k from m),
+ranked as (select *, case when is_gap then row_number() over (partition by project_id, is_gap order by case importance when 'critical' then 0 when 'nice_to_have' then 2 else 1 end, id)
+  else row_number() over (partition by project_id, is_gap order by 0.4::double * coverage_score + 0.3::double * generality_score + 0.3::double * case when parent_concept_id is null then 1.0 else 0.0 end desc, id) end as k from m),
 shown as (select * from ranked where k <= case when is_gap then 3 else 20 end)"""
 
 
@@ -391,7 +392,7 @@ def llm_json_repair(spark, sf):
 
 # --- relationships -----------------------------------------------------------
 
-PAIRS = "pairs as (select 1 as project_id, a.id as a, b.id as b, list_cosine_similarity(a.embedding, b.embedding) as sim from concepts a join concepts b on a.id < b.id where list_cosine_similarity(a.embedding, b.embedding) between 0.3 and 0.85)"
+PAIRS = "pairs as (select a.project_id, a.id as a, b.id as b, list_cosine_similarity(a.embedding, b.embedding) as sim from concepts a join concepts b on a.project_id = b.project_id and a.id < b.id where list_cosine_similarity(a.embedding, b.embedding) between 0.3 and 0.85)"
 
 
 def _pairs(spark, sf):
@@ -403,7 +404,7 @@ def candidate_pairs_window(spark, sf):
     return _pairs(spark, sf).select("a", "b", _r("sim"))
 
 
-@register(f"with {PAIRS} select a, b, round(sim, 6) as sim from pairs order by pairs.sim desc, a, b limit 500", "concepts")
+@register(f"with {PAIRS} select a, b, round(sim, 6) as sim from pairs qualify row_number() over (partition by project_id order by pairs.sim desc, a, b) <= 500", "concepts")
 def candidate_pairs_topn(spark, sf):
     return relate.top_pairs(_pairs(spark, sf), 500).select("a", "b", _r("sim"))
 
@@ -429,12 +430,14 @@ def type_counts(spark, sf):
 
 
 def _named(spark, sf):
-    """The hundred first words that documents of project 3 hold as concepts, and those documents as chunks."""
-    names = views.table(spark, sf, "part").where(F.col("p_partkey") <= 200).select(F.col("p_partkey").alias("id"), F.substring(F.element_at(F.split("p_name", " "), 1), 1, 3).alias("name"))
-    return names, views.docs(spark, sf).where(F.col("project_id") == 3).select("id", F.col("content_text").alias("content"))
+    """The distinct first two letters of all parts' names as concepts, under their least keys, and all documents as chunks."""
+    names = views.table(spark, sf, "part").groupBy(F.substring("p_name", 1, 2).alias("name")).agg(F.min("p_partkey").alias("id"))
+    return names, views.docs(spark, sf).select("id", F.col("content_text").alias("content"))
 
 
-MENTIONS = "named as (select p_partkey as id, lower(trim(substr(string_split(p_name, ' ')[1], 1, 3))) as name from part where p_partkey <= 200), seen as (select n.id as concept_id, d.id as chunk_id from named n join docs d on d.project_id = 3 and n.name <> '' and contains(lower(d.content_text), n.name))"
+MENTIONS = "named as (select min(p_partkey) as id, lower(trim(substr(p_name, 1, 2))) as name from part group by substr(p_name, 1, 2)), seen as (select n.id as concept_id, d.id as chunk_id from named n join docs d on n.name <> '' and contains(lower(d.content_text), n.name))"
+#: Each concept and the next, by id.
+NEXT = "next as (select id as a, lead(id) over (order by id) as b from named)"
 
 
 @register(f"with {MENTIONS} select concept_id, count(*) as n, min(chunk_id) as first_chunk from seen group by all", "docs")
@@ -442,33 +445,23 @@ def mention_index(spark, sf):
     return relate.mentions(*_named(spark, sf)).groupBy("concept_id").agg(F.count("*").alias("n"), F.min("chunk_id").alias("first_chunk"))
 
 
-def _all_named(spark, sf):
-    """All parts' names as concepts, and all documents as chunks."""
-    return views.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), views.docs(spark, sf).select("id", F.col("content_text").alias("content"))
-
-
-ALL_MENTIONS = "named as (select p_partkey as id, lower(trim(p_name)) as name from part), words as (select distinct name from named where name <> ''), found as (select w.name, d.id as chunk_id from words w join docs d on contains(lower(d.content_text), w.name)), seen as (select n.id as concept_id, f.chunk_id from named n join found f on f.name = n.name)"
-
-
-@register(f"with {ALL_MENTIONS} select concept_id, count(*) as n, min(chunk_id) as first_chunk from seen group by all", "docs")
-def mention_index_all(spark, sf):
-    """Without the bounds of ``mention_index``, whose SQL is fixed. The invented documents may mention no part."""
-    return relate.mentions(*_all_named(spark, sf)).groupBy("concept_id").agg(F.count("*").alias("n"), F.min("chunk_id").alias("first_chunk"))
-
-
-@register(f"with {PAIRS}, {ALL_MENTIONS} select a, b, count(distinct x.chunk_id) as co_occurrence from pairs join seen x on x.concept_id = a join seen y on y.concept_id = b and y.chunk_id = x.chunk_id group by all", "concepts", "docs")
-def cooccurrence_counts_all(spark, sf):
-    """All candidate pairs of concepts, with parts' names."""
-    return relate.cooccurrence(relate.mentions(*_all_named(spark, sf)), _pairs(spark, sf))
+@register(f"with {MENTIONS}, {NEXT} select a, b, count(distinct x.chunk_id) as co_occurrence from next join seen x on x.concept_id = a join seen y on y.concept_id = b and y.chunk_id = x.chunk_id group by all", "docs")
+def cooccurrence_counts(spark, sf):
+    names, chunks = _named(spark, sf)
+    pairs = names.select(F.col("id").alias("a"), F.lead("id").over(W.orderBy("id")).alias("b")).where("b is not null")  # a few names
+    return relate.cooccurrence(stored(relate.mentions(names, chunks)), pairs)
 
 
-def _some_pairs(spark):
-    return spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+@register(f"with {MENTIONS}, {NEXT}, met as (select a, b, x.chunk_id, row_number() over (partition by a, b order by x.chunk_id) as k from next join seen x on x.concept_id = a join seen y on y.concept_id = b and y.chunk_id = x.chunk_id) select a, b, string_agg(replace(left(content_text, 150), chr(10), ' '), '|' order by k) as previews from met join docs d on d.id = chunk_id where k <= 3 group by all", "docs")
+def evidence_previews(spark, sf):
+    names, chunks = _named(spark, sf)
+    pairs = names.select(F.col("id").alias("a"), F.lead("id").over(W.orderBy("id")).alias("b")).where("b is not null")
+    return relate.evidence(pairs, stored(relate.mentions(names, chunks)), chunks).select("a", "b", F.array_join("previews", "|").alias("previews"))
 
 
-@register(f"with {MENTIONS} select x.concept_id as a, y.concept_id as b, count(distinct x.chunk_id) as co_occurrence from seen x join seen y on x.chunk_id = y.chunk_id and y.concept_id = x.concept_id + 1 where x.concept_id between 1 and 199 group by all", "docs")
-def cooccurrence_counts(spark, sf):
-    return relate.cooccurrence(relate.mentions(*_named(spark, sf)), _some_pairs(spark))
+@register("select id, concept_id, claim_type from claims qualify row_number() over (partition by concept_id order by id) <= 4", "claims")
+def claims_for_prompt(spark, sf):
+    return relate.claims_for_prompt(views.claims(spark, sf)).select("id", "concept_id", "claim_type")
 
 
 @register(f"with {PAIRS}, s as (select distinct concept_id, document_id from claims) select a, b, count(*) as shared_docs from pairs join s x on x.concept_id = a join s y on y.concept_id = b and y.document_id = x.document_id group by all", "concepts", "claims")
@@ -478,15 +471,15 @@ def shared_docs(spark, sf):
 
 @register(
     f"""with {PAIRS}, {RULES}, s as (select distinct concept_id, document_id from claims), m as (select concept_id, document_id as chunk_id from s),
-    co as (select a, b, count(*) as n from pairs join s x on x.concept_id = a join s y on y.concept_id = b and y.document_id = x.document_id group by all), most as (select greatest(max(n), 1) as most from (select count(*) as n from m group by concept_id))
-    select t.a, t.b, round(least(1.0, greatest(0.0, 0.3 * sim + 0.25 * coalesce(co.n, 0) / most + 0.25 * case when coalesce(co.n, 0) > 0 then 1.0 else 0.0 end + 0.2 * 0.9)), 4)::double as strength from typed t left join co on co.a = t.a and co.b = t.b, most""",
+    co as (select a, b, count(*) as n from pairs join s x on x.concept_id = a join s y on y.concept_id = b and y.document_id = x.document_id group by all), most as (select project_id, max(n) as most from (select concept_id, count(*) as n from m group by concept_id) c join concepts on id = concept_id group by project_id)
+    select t.a, t.b, round(least(1.0, greatest(0.0, 0.3 * sim + 0.25 * coalesce(co.n, 0) / coalesce(most, 1) + 0.25 * case when coalesce(co.n, 0) > 0 then 1.0 else 0.0 end + 0.2 * 0.9)), 4)::double as strength from typed t left join co on co.a = t.a and co.b = t.b left join most on most.project_id = t.project_id""",
     "concepts", "claims",
 )
 def relationship_strength(spark, sf):
     """Documents with claims stand for the chunks that mention a concept."""
     claims, pairs = views.claims(spark, sf), stored(_pairs(spark, sf)).withColumn("confidence", F.lit(0.9))
     seen = claims.select("concept_id", F.col("document_id").alias("chunk_id")).distinct()
-    return relate.score_pairs(pairs, relate.cooccurrence(seen, pairs), relate.shared_documents(claims, pairs), seen).select("a", "b", "strength")
+    return relate.score_pairs(pairs, relate.cooccurrence(seen, pairs), relate.shared_documents(claims, pairs), seen, views.concepts(spark, sf)).select("a", "b", "strength")
 
 
 @register(
@@ -498,21 +491,9 @@ def relationship_importance(spark, sf):
     return relate.importance(_relationships(spark, sf), _map_rows(spark, sf)).select("id", _r("importance"))
 
 
-@register(
-    f"""with {REL}, d as (select least(source_concept_id, target_concept_id) as a, greatest(source_concept_id, target_concept_id) as b, * from rel where relationship_type <> 'builds_on' and id % 3 = 0)
-    select a, b, count(*) as n, arg_max(relationship_type, (confidence, -id)) as type, max(confidence) as confidence from d group by all""",
-)
-def relationship_dedup(spark, sf):
-    """Without ``extends``, the first of the greatest confidence stays."""
-    rows = _relationships(spark, sf).where((F.col("relationship_type") != "builds_on") & (F.col("id") % 3 == 0))
-    detected = rows.select(F.col("id").alias("seq"), "source_concept_id", "target_concept_id", F.col("relationship_type").alias("type"), F.lit("a_to_b").alias("direction"), "confidence", "strength")
-    n = detected.groupBy(F.least("source_concept_id", "target_concept_id").alias("a"), F.greatest("source_concept_id", "target_concept_id").alias("b")).agg(F.count("*").alias("n"))
-    return relate.dedupe_relationships(detected).join(n, ["a", "b"]).select("a", "b", "n", "type", "confidence")
-
-
 @register()
-def relationship_dedup_all(spark, sf):
-    """All relationships, ``builds_on`` as ``extends`` that points to the larger id or back. SQL can't fold them in order; ``relationship_dedup`` keeps the bounds of its SQL."""
+def relationship_dedup(spark, sf):
+    """All relationships, ``builds_on`` as ``extends`` that points to the larger id or back. SQL can't fold them in order; tests do."""
     kind = F.when(F.col("relationship_type") == "builds_on", "extends").otherwise(F.col("relationship_type"))
     direction = F.when(F.col("source_concept_id") <= F.col("target_concept_id"), "a_to_b").otherwise("b_to_a")
     detected = _relationships(spark, sf).select(F.col("id").alias("seq"), "source_concept_id", "target_concept_id", kind.alias("type"), direction.alias("direction"), "confidence", "strength")
@@ -521,43 +502,43 @@ def relationship_dedup_all(spark, sf):
 
 # --- clusters ----------------------------------------------------------------
 
-CENTROIDS = """means as (select cluster_label, list(x order by i) as centroid from (select cluster_label, i, avg(x) as x from (select cluster_label, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from concepts) group by all) group by all)"""
+CENTROIDS = """means as (select project_id, cluster_label, list(x order by i) as centroid from (select project_id, cluster_label, i, avg(x) as x from (select project_id, cluster_label, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from concepts) group by all) group by all)"""
 
 
 @register(f"with {PAIRS.replace('between 0.3 and 0.85', '>= 0.45')} select a, b, round(sim, 6) as sim from pairs join concepts x on x.id = a join concepts y on y.id = b where x.cluster_label <> y.cluster_label", "concepts")
 def bridge_pairs(spark, sf):
-    return cluster.bridge_pairs(views.concepts(spark, sf), 0.45, most=None).select("a", "b", _r("sim"))
+    return cluster.bridge_pairs(views.concepts(spark, sf), 0.45).select("a", "b", _r("sim"))
 
 
-@register(f"with {CENTROIDS} select cluster_label, round(centroid[1], 6) as first, round(centroid[64], 6) as last, round(sqrt(list_dot_product(centroid, centroid)), 6) as length from means", "concepts")
+@register(f"with {CENTROIDS} select project_id, cluster_label, round(centroid[1], 6) as first, round(centroid[64], 6) as last, round(sqrt(list_dot_product(centroid, centroid)), 6) as length from means", "concepts")
 def cluster_centroids(spark, sf):
     c = cluster.centroids(views.concepts(spark, sf), dim=DIM)
     length = F.sqrt(F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x * x))
-    return c.select("cluster_label", F.round(F.col("centroid")[0], 6).alias("first"), F.round(F.col("centroid")[63], 6).alias("last"), F.round(length, 6).alias("length"))
+    return c.select("project_id", "cluster_label", F.round(F.col("centroid")[0], 6).alias("first"), F.round(F.col("centroid")[63], 6).alias("last"), F.round(length, 6).alias("length"))
 
 
-@register(f"with {CENTROIDS} select c.cluster_label, count(*) as n, round(avg(generality_score), 4) as avg_generality, round(avg(list_dot_product(embedding, centroid)), 4) as cohesion from concepts c join means m on m.cluster_label = c.cluster_label group by all", "concepts")
+@register(f"with {CENTROIDS} select c.project_id, c.cluster_label, count(*) as n, round(avg(generality_score), 4) as avg_generality, round(avg(list_dot_product(embedding, centroid)), 4) as cohesion from concepts c join means m on m.project_id = c.project_id and m.cluster_label = c.cluster_label group by all", "concepts")
 def cluster_summary(spark, sf):
-    return cluster.cluster_summary(views.concepts(spark, sf), dim=DIM).select("cluster_label", "n", "avg_generality", "cohesion")
+    return cluster.cluster_summary(views.concepts(spark, sf), dim=DIM).select("project_id", "cluster_label", "n", "avg_generality", "cohesion")
 
 
-@register("with h as (select cluster_label, arg_max(id, (generality_score, -id)) as head from concepts group by all) select id, c.cluster_label, case when id <> head then head else -1 end as parent_concept_id from concepts c join h on h.cluster_label = c.cluster_label", "concepts")
+@register("with h as (select project_id, cluster_label, arg_max(id, (generality_score, -id)) as head from concepts group by all) select id, c.cluster_label, case when id <> head then head else -1 end as parent_concept_id from concepts c join h on h.project_id = c.project_id and h.cluster_label = c.cluster_label", "concepts")
 def cluster_heads_hierarchy(spark, sf):
     return cluster.hierarchy(views.concepts(spark, sf)).select("id", "cluster_label", F.coalesce("parent_concept_id", F.lit(-1)).alias("parent_concept_id"))
 
 
 @register(
-    f"""with {CENTROIDS}, f as (select concept_id, count(*) as n, count(distinct document_id) as d from claims group by all), most as (select coalesce(max(n), 1) as most from f)
-    select c.id, round(least(1.0, greatest(0.0, 0.4 * coalesce(d, 0) / {TOTAL_DOCS} + 0.3 * coalesce(n, 0) / most + 0.2 * coalesce(nullif(generality_score, 0), 0.5) + 0.1 * list_dot_product(embedding, centroid))), 4)::double as generality
-    from concepts c join means m on m.cluster_label = c.cluster_label left join f on f.concept_id = c.id, most""",
+    f"""with {CENTROIDS}, f as (select concept_id, count(*) as n, count(distinct document_id) as d from claims group by all), most as (select project_id, max(n) as most from f join concepts on id = concept_id group by project_id)
+    select c.id, round(least(1.0, greatest(0.0, 0.4 * coalesce(d, 0) / (case c.project_id when 1 then 100 else 60 end) + 0.3 * coalesce(n, 0) / coalesce(most, 1) + 0.2 * coalesce(nullif(generality_score, 0), 0.5) + 0.1 * greatest(list_dot_product(embedding, centroid), 0))), 4)::double as generality
+    from concepts c join means m on m.project_id = c.project_id and m.cluster_label = c.cluster_label left join f on f.concept_id = c.id left join most on most.project_id = c.project_id""",
     "concepts", "claims",
 )
 def generality_scores(spark, sf):
-    return cluster.generality(views.concepts(spark, sf), consensus.frequencies(views.claims(spark, sf)), TOTAL_DOCS, dim=DIM).select("id", "generality")
+    return cluster.generality(views.concepts(spark, sf), consensus.frequencies(views.claims(spark, sf)), views.totals(spark), dim=DIM).select("id", "generality")
 
 
 @register(
-    f"""with {CENTROIDS.replace('from concepts)', 'from concepts where cluster_label <> 9)')} , noise as (select c.id, arg_max(m.cluster_label, (list_dot_product(embedding, centroid), -m.cluster_label)) as cluster_label from concepts c, means m where c.cluster_label = 9 group by all)
+    f"""with {CENTROIDS.replace('from concepts)', 'from concepts where cluster_label <> 9)')} , noise as (select c.id, arg_max(m.cluster_label, (list_dot_product(embedding, centroid), -m.cluster_label)) as cluster_label from concepts c join means m on m.project_id = c.project_id where c.cluster_label = 9 group by all)
     select id, cluster_label from noise union all select id, cluster_label from concepts where cluster_label <> 9""",
     "concepts",
 )
@@ -566,30 +547,29 @@ def noise_reassign(spark, sf):
     return cluster.reassign_noise(rows, dim=DIM).select("id", "cluster_label")
 
 
-def _few_edges(spark, sf):
-    return _relationships(spark, sf).where((F.col("source_concept_id") < 10) & (F.col("target_concept_id") < 10))
-
-
 @register(
-    f"""with {CENTROIDS}, {REL}, e as (select distinct least(x.cluster_label, y.cluster_label) as a, greatest(x.cluster_label, y.cluster_label) as b from rel join concepts x on x.id = source_concept_id join concepts y on y.id = target_concept_id
-      where source_concept_id < 10 and target_concept_id < 10 and x.cluster_label <> y.cluster_label),
-    p as (select x.cluster_label as a, y.cluster_label as b, list_cosine_similarity(x.centroid, y.centroid) as sim from means x join means y on x.cluster_label < y.cluster_label)
-    select a, b, round(sim, 6) as sim from p where sim >= 0.1 and not exists (select 1 from e where e.a = p.a and e.b = p.b) order by p.sim desc, a, b limit 5""",
+    f"""with {CENTROIDS}, {REL}, e as (select distinct x.project_id, least(x.cluster_label, y.cluster_label) as a, greatest(x.cluster_label, y.cluster_label) as b from rel join concepts x on x.id = source_concept_id join concepts y on y.id = target_concept_id
+      where x.project_id = y.project_id and x.cluster_label <> y.cluster_label),
+    p as (select x.project_id, x.cluster_label as a, y.cluster_label as b, list_cosine_similarity(x.centroid, y.centroid) as sim from means x join means y on x.project_id = y.project_id and x.cluster_label < y.cluster_label)
+    select project_id, a, b, round(sim, 6) as sim from p where sim >= 0.1 and not exists (select 1 from e where e.project_id = p.project_id and e.a = p.a and e.b = p.b) qualify row_number() over (partition by project_id order by p.sim desc, a, b) <= 5""",
     "concepts",
 )
 def centroid_pairs_unconnected(spark, sf):
-    return gaps.bridge_candidates(views.concepts(spark, sf), _few_edges(spark, sf), 0.1, 5, dim=DIM).select("a", "b", _r("sim"))
+    """By all relationships; empty where every pair of clusters is connected, as with enough line items."""
+    return gaps.bridge_candidates(views.concepts(spark, sf), _relationships(spark, sf), 0.1, 5, dim=DIM).select("project_id", "a", "b", _r("sim"))
 
 
 @register(
-    f"""with {CENTROIDS}, {REL}, e as (select distinct least(x.cluster_label, y.cluster_label) as a, greatest(x.cluster_label, y.cluster_label) as b from rel join concepts x on x.id = source_concept_id join concepts y on y.id = target_concept_id where x.cluster_label <> y.cluster_label),
-    p as (select x.cluster_label as a, y.cluster_label as b, list_cosine_similarity(x.centroid, y.centroid) as sim from means x join means y on x.cluster_label < y.cluster_label)
-    select a, b, round(sim, 6) as sim from p where sim >= 0.1 and not exists (select 1 from e where e.a = p.a and e.b = p.b) order by p.sim desc, a, b limit 5""",
+    f"""with {CENTROIDS}, heads as (select project_id, cluster_label, arg_max(name, (generality_score, -id)) as head from concepts group by all),
+    p as (select x.project_id, x.cluster_label as a, y.cluster_label as b, list_cosine_similarity(x.centroid, y.centroid) as sim from means x join means y on x.project_id = y.project_id and x.cluster_label < y.cluster_label)
+    select p.project_id, a, b, round(sim, 6) as sim, h.head as head_a, k.head as head_b from p join heads h on h.project_id = p.project_id and h.cluster_label = a join heads k on k.project_id = p.project_id and k.cluster_label = b
+    where sim >= -1 qualify row_number() over (partition by p.project_id order by p.sim desc, a, b) <= 2""",
     "concepts",
 )
-def centroid_pairs_unconnected_all(spark, sf):
-    """By all relationships; the SQL of ``centroid_pairs_unconnected`` takes those among ids below 10. Empty where every pair is connected."""
-    return gaps.bridge_candidates(views.concepts(spark, sf), _relationships(spark, sf), 0.1, 5, dim=DIM).select("a", "b", _r("sim"))
+def bridge_heads(spark, sf):
+    """The two most similar pairs of clusters of each project, were there no relationships."""
+    none = _relationships(spark, sf).where("false")
+    return gaps.bridge_candidates(views.concepts(spark, sf), none, -1.0, 2, dim=DIM).select("project_id", "a", "b", _r("sim"), "head_a", "head_b")
 
 
 @register()
@@ -653,14 +633,14 @@ def fk_remap(spark, sf):
 
 
 @register(
-    f"""with c as (select c.id, c.name, generality_score, count(distinct document_id) / {TOTAL_DOCS}.0 as coverage from concepts c left join claims k on k.concept_id = c.id group by all)
-    select id, name, greatest(1, round(coverage * {TOTAL_DOCS}))::bigint as approx_docs from c where coverage < 0.2 and generality_score > 0.5""",
+    f"""with c as (select c.id, c.name, generality_score, {TOTAL_DOCS_SQL} as total, count(distinct document_id) / total::double as coverage from concepts c left join claims k on k.concept_id = c.id group by c.id, c.name, generality_score, project_id)
+    select id, name, greatest(1, round(coverage * total))::bigint as approx_docs from c where coverage < 0.2 and generality_score > 0.5""",
     "concepts", "claims",
 )
 def weak_coverage_gaps(spark, sf):
     c = views.concepts(spark, sf)
-    rows = c.join(consensus.coverage(c, views.claims(spark, sf), TOTAL_DOCS).select("id", "coverage_score"), "id").withColumn("is_synthetic_gap", F.lit(False))
-    return gaps.weak_coverage(rows, TOTAL_DOCS).select("id", "name", "approx_docs")
+    rows = c.join(consensus.coverage(c, views.claims(spark, sf), views.totals(spark)).select("id", "coverage_score"), "id").withColumn("is_synthetic_gap", F.lit(False))
+    return gaps.weak_coverage(rows, views.totals(spark)).select("id", "name", "approx_docs")
 
 
 @register(f"with {MAPPED} select id, false as is_gap, case when not is_gap then importance end as importance from m where id % 50 <> 9", "concepts")
@@ -669,15 +649,15 @@ def clear_gaps(spark, sf):
     return gaps.clear_gaps(rows).select("id", "is_gap", "importance")
 
 
-@register("with r as (select id, name, row_number() over (order by generality_score desc, id) as rank from concepts) select id, name, rank from r where rank <= 15", "concepts")
+@register("with r as (select id, name, row_number() over (partition by project_id order by generality_score desc, id) as rank from concepts) select id, name, rank from r where rank <= 15", "concepts")
 def representative_concepts(spark, sf):
     rows = views.concepts(spark, sf).withColumn("coverage_score", F.col("generality_score"))
     return gaps.representatives(rows).select("id", "name", F.col("rank").cast("long").alias("rank"))
 
 
-@register("with r as (select name, row_number() over (order by generality_score desc, id) as rank from concepts) select string_agg(name, ', ' order by rank) as domain from r where rank <= 5", "concepts")
+@register("with r as (select project_id, name, row_number() over (partition by project_id order by generality_score desc, id) as rank from concepts) select project_id, string_agg(name, ', ' order by rank) as domain from r where rank <= 5 group by project_id", "concepts")
 def inferred_domain(spark, sf):
-    return gaps.domain(views.concepts(spark, sf)).select("domain")
+    return gaps.domain(views.concepts(spark, sf)).select("project_id", "domain")
 
 
 @register(

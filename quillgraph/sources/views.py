@@ -27,11 +27,11 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"),
-        F.lit(1).alias("project_id"),
+        F.when(F.col("vec_id") % 3 == 0, 2).otherwise(1).alias("project_id"),
         F.concat(F.lit("concept_"), F.col("vec_id").cast("string")).alias("name"),
         F.col("embedding").cast("array<double>").alias("embedding"),
         F.col("label").alias("cluster_label"),
-        ((F.col("vec_id") % 100) / F.lit(100.0)).alias("generality_score"),
+        ((F.col("vec_id") % 101) / F.lit(101.0)).alias("generality_score"),
     )
 
 
@@ -47,12 +47,19 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Documents that the claims speak of.
-TOTAL_DOCS = 100
+#: Documents that the claims speak of, in projects 1 and 2 of the concepts; and as SQL.
+TOTAL_DOCS = {1: 100, 2: 60}
+TOTAL_DOCS_SQL = "case project_id when 1 then 100 else 60 end"
+
+
+def totals(spark: SparkSession) -> DataFrame:
+    """``project_id, total_docs``."""
+    return spark.createDataFrame(list(TOTAL_DOCS.items()), "project_id int, total_docs long")
+
 
 SQL = {
     "docs": "select doc_id as id, substr(source, 4)::int as project_id, 'doc_' || doc_id as filename, lang as file_type, text as content_text, length(text) <= 8000 as is_small from documents",
-    "concepts": "select vec_id as id, 1 as project_id, 'concept_' || vec_id as name, embedding::double[] as embedding, label as cluster_label, (vec_id % 100) / 100.0::double as generality_score from embeddings",
+    "concepts": "select vec_id as id, case when vec_id % 3 = 0 then 2 else 1 end as project_id, 'concept_' || vec_id as name, embedding::double[] as embedding, label as cluster_label, (vec_id % 101) / 101.0::double as generality_score from embeddings",
     "claims": "select event_id as id, (props->>'$.k')::bigint as document_id, user_id as concept_id, case event_type when 'purchase' then 'supports' when 'view' then 'extends' when 'click' then 'complements' when 'error' then 'contradicts' else 'other' end as claim_type, least(greatest(value / 100.0, 0.0), 1.0)::double as confidence from events",
 }
 

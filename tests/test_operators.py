@@ -43,15 +43,15 @@ def test_dedupe_merges_opposite_extends(spark):
 
 
 def test_unconnected_clusters_by_all_relationships(spark, tmp_path):
-    from quillgraph.plans.queries import centroid_pairs_unconnected_all
+    from quillgraph.plans.queries import centroid_pairs_unconnected
 
-    spark.createDataFrame([(i, [x, y] + [0.0] * 62, k) for i, x, y, k in ((20, 1.0, 0.0, 0), (35, 0.8, 0.6, 1), (40, 0.6, 0.8, 2))], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, [x, y] + [0.0] * 62, k) for i, x, y, k in ((20, 1.0, 0.0, 0), (35, 0.8, 0.6, 1), (40, 0.6, 0.8, 2), (30, 1.0, 0.0, 0), (33, 0.8, 0.6, 1))], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     spark.createDataFrame([(1, 1, 20, 5, 10.0, 0.1)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
-    assert [(r["a"], r["b"]) for r in centroid_pairs_unconnected_all(spark, str(tmp_path)).collect()] == [(1, 2), (0, 2)]  # 20 and 35 are joined
+    assert [(r["a"], r["b"]) for r in centroid_pairs_unconnected(spark, str(tmp_path)).collect()] == [(1, 2), (0, 2), (0, 1)]  # 20 and 35 are joined; 30 and 33 are another project's
 
 
 def test_dedup_query_folds_all_relationships(spark, sf):
-    from quillgraph.plans.queries import _relationships, relationship_dedup_all
+    from quillgraph.plans.queries import _relationships, relationship_dedup
 
     want = {}
     for r in sorted(_relationships(spark, sf).collect(), key=lambda r: r["id"]):
@@ -62,7 +62,7 @@ def test_dedup_query_folds_all_relationships(spark, sf):
             want[min(s, t), max(s, t)] = ["complements", "bidirectional", (best[2] + new[2]) / 2, (best[3] + new[3]) / 2, True]
         elif best is not new and new[2] > best[2]:
             want[min(s, t), max(s, t)] = new
-    got = {(r["a"], r["b"]): r for r in relationship_dedup_all(spark, sf).collect()}
+    got = {(r["a"], r["b"]): r for r in relationship_dedup(spark, sf).collect()}
     assert got.keys() == want.keys()
     for k, (kind, direction, confidence, strength, merged) in want.items():
         assert (got[k]["type"], got[k]["direction"], got[k]["merged_extends"]) == (kind, direction, merged)
@@ -81,17 +81,53 @@ def test_mentions_both_ways(spark):
     chunks = spark.createDataFrame([(10, "On DEEP NETS and ML"), (11, "nothing"), (12, "x")], "id long, content string")
     want = {(1, 10), (3, 10), (4, 10)}
     assert {tuple(r) for r in relate.mentions(concepts, chunks).collect()} == want
-    assert {tuple(r) for r in relate.mentions(concepts, chunks, largest=1).collect()} == want
+    assert {tuple(r) for r in relate.mentions(concepts, chunks, most_bytes=4).collect()} == want
 
 
 def test_mention_queries_take_all_names_and_documents(spark, tmp_path):
-    from quillgraph.plans.queries import cooccurrence_counts_all, mention_index_all
+    from quillgraph.plans.queries import cooccurrence_counts, mention_index
 
     spark.createDataFrame([(1, "blue rod"), (250, "Red Bolt"), (251, "red bolt"), (300, "old nut")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
     spark.createDataFrame([(7, "a red BOLT, a blue rod", "en", "src3"), (8, "red bolt", "en", "src5"), (9, "red nut", "en", "src3")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, [1.0, 0.0], 0), (251, [0.5, 0.866], 1), (300, [0.6, 0.8], 1)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    assert {tuple(r) for r in mention_index_all(spark, str(tmp_path)).collect()} == {(1, 1, 7), (250, 2, 7), (251, 2, 7)}
-    assert {(r["a"], r["b"], r["co_occurrence"]) for r in cooccurrence_counts_all(spark, str(tmp_path)).collect()} == {(1, 251, 1)}
+    assert {tuple(r) for r in mention_index(spark, str(tmp_path)).collect()} == {(1, 1, 7), (250, 3, 7), (251, 3, 7), (300, 2, 7)}
+    assert {(r["a"], r["b"], r["co_occurrence"]) for r in cooccurrence_counts(spark, str(tmp_path)).collect()} == {(1, 250, 1), (250, 251, 3), (251, 300, 2)}
+
+
+def test_projects_do_not_touch_each_other(spark):
+    """Scores of one project are the same with and without another in the tables."""
+    rows = [(i, p, f"c{i}", None, [1.0, 0.1 * i], 0.5, 0.1) for i, p in ((1, 1), (2, 1), (3, 2), (4, 2))]
+    concepts = spark.createDataFrame(rows, CONCEPT).withColumn("cluster_label", F.lit(0)).withColumn("is_synthetic_gap", F.lit(False)).withColumn("generality_score", F.lit(0.6))
+    claims = spark.createDataFrame([(k, 10 + k % 3, c) for k, c in enumerate([1] * 4 + [2] * 2 + [3] * 50 + [4])], "id long, document_id long, concept_id long")
+    totals = spark.createDataFrame([(1, 5), (2, 500)], "project_id long, total_docs long")
+    one = concepts.where("project_id = 1")
+    pairs = spark.createDataFrame([(1, 1, 2, 0.5, 0.9), (2, 3, 4, 0.5, 0.9)], "project_id long, a long, b long, sim double, confidence double")
+    seen = claims.select("concept_id", F.col("id").alias("chunk_id"))
+
+    def scores(rows, pairs, totals):
+        made = {
+            "generality": cluster.generality(rows, consensus.frequencies(claims), totals, dim=2), "coverage": consensus.coverage(rows, claims, totals), "weak": gaps.weak_coverage(rows, totals).drop("suggestions"),
+            "strength": relate.score_pairs(pairs, relate.cooccurrence(seen, pairs), relate.shared_documents(claims, pairs), seen, rows),
+        }
+        return {k: sorted(map(tuple, df.where("project_id = 1").select(sorted(df.columns)).collect())) for k, df in made.items()}
+
+    both = scores(concepts, pairs, totals)
+    assert both == scores(one, pairs.where("project_id = 1"), 5) and all(both.values())
+
+
+def test_tasks_of_pairs_grow_with_pairs(spark):
+    """Many small projects ask for no more tasks than they have pairs of blocks."""
+    from quillgraph.functions.vectors import similar_pairs
+
+    rows = spark.range(400).select("id", F.floor(F.col("id") / 2).alias("project_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    pairs = similar_pairs(rows, 0.5, 2.0)
+    assert pairs.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism and pairs.count() == 200
+
+
+def test_bridges_of_large_projects(spark):
+    """501 concepts of two clusters have all their bridges; the limit is an option."""
+    rows = spark.range(501).select("id", F.lit(1).cast("long").alias("project_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"), (F.col("id") % 2).cast("int").alias("cluster_label"))
+    assert cluster.bridge_pairs(rows).count() == 251 * 250
+    assert cluster.bridge_pairs(rows, most=500).count() == 0
 
 
 def test_density_finds_blobs():
