@@ -104,8 +104,11 @@ def _nodes(marked: DataFrame, words: int) -> DataFrame:
     return numbered.mapInArrow(place, "fp binary, first long, node long, place binary")
 
 
-def _tiles(nodes: DataFrame, count: int, tile: int, words: int) -> DataFrame:
-    """Fingerprints, ordered by population counts, as rows of at most ``tile``."""
+def _tiles(nodes: DataFrame, count: int, tile: int, words: int, radius: int) -> DataFrame:
+    """Fingerprints, ordered by population counts, as rows of at most ``tile``, with the groups that links within the radius make of them.
+
+    ``roots`` has for each place that of its group's first.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
@@ -114,9 +117,11 @@ def _tiles(nodes: DataFrame, count: int, tile: int, words: int) -> DataFrame:
         def row(table: pa.Table) -> pa.RecordBatch:
             nonlocal made
             fps = b"".join(table.column(0).to_pylist())
-            pops = _pops(matrix(fps, words)).sum(1)
+            rows = matrix(fps, words)
+            pops, groups = _pops(rows).sum(1), Forest(np.arange(len(rows)))
+            tile_links(rows, rows, groups, radius)
             made += 1
-            return pa.RecordBatch.from_pylist([{"tile": base + made, "lo": int(pops.min()), "hi": int(pops.max()), "fps": fps, "ids": table.column(1).to_numpy().astype("<i8").tobytes()}])
+            return pa.RecordBatch.from_pylist([{"tile": base + made, "lo": int(pops.min()), "hi": int(pops.max()), "fps": fps, "ids": table.column(1).to_numpy().astype("<i8").tobytes(), "roots": groups.find(np.arange(len(rows))).astype("<i4").tobytes()}])
 
         for batch in batches:
             held.append(batch)
@@ -129,14 +134,14 @@ def _tiles(nodes: DataFrame, count: int, tile: int, words: int) -> DataFrame:
             yield row(pa.Table.from_batches(held))
 
     dealt = nodes.repartitionByRange(max(1, -(-count // tile)), "place", "fp").sortWithinPartitions("place", "fp")
-    return dealt.select("fp", "node").mapInArrow(cut, "tile long, lo long, hi long, fps binary, ids binary")
+    return dealt.select("fp", "node").mapInArrow(cut, "tile long, lo long, hi long, fps binary, ids binary, roots binary")
 
 
 class Forest:
-    """Groups of 0..n-1; ``join`` takes arrays of links and says which of them joined two groups."""
+    """Groups of 0..n-1, at first those with the same root; ``join`` takes arrays of links and says which of them joined two groups."""
 
-    def __init__(self, n: int):
-        self.root = np.arange(n)
+    def __init__(self, roots: np.ndarray):
+        self.root = roots.astype(np.int64)
 
     def find(self, x: np.ndarray) -> np.ndarray:
         r = self.root[x]
@@ -183,9 +188,9 @@ def near_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, n
     return p, q
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, same: bool, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``a`` and ``b`` (rows of 64-bit words) of links that join groups; ``same`` if both are one tile."""
-    forest = Forest(len(a) if same else len(a) + len(b))
+def tile_links(a: np.ndarray, b: np.ndarray, forest: Forest, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``a`` and ``b`` (rows of 64-bit words) of links that join groups. ``forest`` holds the groups of both, or of one if both are the same tile."""
+    same = a is b
     shift = 0 if same else len(a)
     (alo, ahi), (blo, bhi) = _boxes(a), _boxes(b)
     left: list[np.ndarray] = []
@@ -207,26 +212,39 @@ def tile_links(a: np.ndarray, b: np.ndarray, same: bool, radius: int = RADIUS) -
 
 
 def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, words: int = 1) -> DataFrame:
-    """``a, b``: numbers of ``nodes(fp, node, place)`` whose links span the groups of fingerprints within the radius."""
-    tiles = materialize(_tiles(nodes, nodes.count(), tile, words), "tiles")
+    """``a, b``: numbers of ``nodes(fp, node, place)`` whose links span the groups of fingerprints within the radius.
+
+    Links within a tile come from its groups; two tiles add a link only where groups of theirs meet, so a large group has as many links
+    as members, and one more for each pair of its tiles.
+    """
+    tiles = materialize(_tiles(nodes, nodes.count(), tile, words, radius), "tiles")
     reach = tiles.select(F.col("tile").alias("t"), F.explode(F.sequence("lo", "hi")).alias("pop"))
     near = tiles.select(F.col("tile").alias("u"), F.explode(F.sequence(F.col("lo") - radius, F.col("hi") + radius)).alias("pop"))
-    pairs = materialize(reach.join(near, "pop").where("t <= u").select("t", "u").distinct(), "tile-pairs")
+    pairs = materialize(reach.join(near, "pop").where("t < u").select("t", "u").distinct(), "tile-pairs")
     met = pairs.count()
     tasks = max(1, min(met, max(4 * tiles.sparkSession.sparkContext.defaultParallelism, met // PAIRS)))
-    left = tiles.select(F.col("tile").alias("t"), F.col("fps").alias("fps_a"), F.col("ids").alias("ids_a"))
-    right = tiles.select(F.col("tile").alias("u"), F.col("fps").alias("fps_b"), F.col("ids").alias("ids_b"))
+    left = tiles.select(F.col("tile").alias("t"), *[F.col(c).alias(f"{c}_a") for c in ("fps", "ids", "roots")])
+    right = tiles.select(F.col("tile").alias("u"), *[F.col(c).alias(f"{c}_b") for c in ("fps", "ids", "roots")])
     dealt = pairs.join(left, "t").join(right, "u").repartition(tasks, "t", "u")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                t, u, fa, fb, ia, ib = (batch.column(k)[row].as_py() for k in range(6))
-                p, q = tile_links(matrix(fa, words), matrix(fb, words), t == u, radius)
-                ends = [np.frombuffer(ia, "<i8")[p], np.frombuffer(ib, "<i8")[q]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["a", "b"])
+                fa, ia, ra, fb, ib, rb = (batch.column(k)[row].as_py() for k in range(6))
+                roots = np.frombuffer(ra, "<i4")
+                forest = Forest(np.concatenate([roots, np.frombuffer(rb, "<i4") + len(roots)]))
+                p, q = tile_links(matrix(fa, words), matrix(fb, words), forest, radius)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ia, "<i8")[p]), pa.array(np.frombuffer(ib, "<i8")[q])], ["a", "b"])
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, roots in zip(batch.column(0), batch.column(1)):
+                ids, roots = np.frombuffer(ids.as_py(), "<i8"), np.frombuffer(roots.as_py(), "<i4")
+                moved = np.flatnonzero(roots != np.arange(len(roots)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[roots[moved]])], ["a", "b"])
 
-    return dealt.select("t", "u", "fps_a", "fps_b", "ids_a", "ids_b").mapInArrow(compare, "a long, b long")
+    across = dealt.select("fps_a", "ids_a", "roots_a", "fps_b", "ids_b", "roots_b").mapInArrow(compare, "a long, b long")
+    return tiles.select("ids", "roots").mapInArrow(within, "a long, b long").unionByName(across)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS, tile: int = TILE, bits: int = 64) -> DataFrame:

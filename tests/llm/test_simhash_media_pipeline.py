@@ -81,11 +81,18 @@ def test_tiles_find_every_group(radius):
     fps = fps[np.lexsort((fps, np.bitwise_count(fps)))]
     fps = fps[:, None]
     a, b = fps[: len(fps) // 2], fps[len(fps) // 2 :]
-    forest = simhash.Forest(len(fps))
-    for x, y, same, s, t in ((a, a, True, 0, 0), (b, b, True, len(a), len(a)), (a, b, False, 0, len(a))):
-        p, q = simhash.tile_links(x, y, same, radius)
+    forest, made = simhash.Forest(np.arange(len(fps))), []
+    one, two = simhash.Forest(np.arange(len(a))), simhash.Forest(np.arange(len(b)))
+    for x, groups, s in ((a, one, 0), (b, two, len(a))):
+        made.append(simhash.tile_links(x, x, groups, radius))
+        forest.join(made[-1][0] + s, made[-1][1] + s)
+    both = simhash.Forest(np.concatenate([one.find(np.arange(len(a))), two.find(np.arange(len(b))) + len(a)]))
+    before = len(np.unique(both.root))
+    made.append(simhash.tile_links(a, b, both, radius))
+    forest.join(made[-1][0], made[-1][1] + len(a))
+    assert len(made[-1][0]) == before - len(np.unique(both.find(np.arange(len(fps)))))  # a link for each two groups that meet
+    for (p, q), x, y in zip(made, (a, b, a), (a, b, b)):
         assert (np.bitwise_count(x[p] ^ y[q]).sum(1) <= radius).all() and len(p) < len(x) + len(y)
-        forest.join(p + s, q + t)
     got = forest.find(np.arange(len(fps)))
     want = brute_components(list(range(len(fps))), [int(f) for f in fps[:, 0]], radius)
     first = {}
