@@ -91,19 +91,25 @@ def allowed(value: Column, values: tuple[str, ...], default: str) -> Column:
     return F.when(low.isin(*values), low).otherwise(default)
 
 
-CONCEPTS = "array<struct<concept_name:string,description:string,specificity_level:string,confidence:string>>"
-CLAIMS = "array<struct<claim_text:string,related_concept:string,claim_type:string,confidence:string>>"
+CONCEPT = "struct<concept_name:string,description:string,specificity_level:string,confidence:string>"
+CLAIM = "struct<claim_text:string,related_concept:string,claim_type:string,confidence:string>"
+
+
+def _objects(rows: DataFrame, json: str, schema: str) -> DataFrame:
+    """Rows with ``position`` and ``_c`` for each element of an array that is an object; other elements are passed over."""
+    each = rows.select("*", F.posexplode(F.from_json(json, "array<string>")).alias("position", "_e")).where(F.startswith(F.ltrim("_e"), F.lit("{")))
+    return each.withColumn("_c", F.from_json("_e", schema)).drop("_e")
 
 
 def concept_rows(rows: DataFrame, json: str = "json") -> DataFrame:
     """Concepts of a model's answers, typed: blank names are dropped, unknown levels are ``medium``."""
-    each = rows.select("*", F.posexplode(F.from_json(json, CONCEPTS)).alias("position", "_c"))
+    each = _objects(rows, json, CONCEPT)
     out = each.withColumn("name", F.trim("_c.concept_name")).where("name <> ''")
     return out.select(*rows.columns, "position", "name", F.trim(F.coalesce("_c.description", F.lit(""))).alias("description"), allowed(F.col("_c.specificity_level"), ("broad", "medium", "specific"), "medium").alias("specificity_level"), clamp(F.col("_c.confidence")).alias("confidence"))
 
 
 def claim_rows(rows: DataFrame, json: str = "json") -> DataFrame:
     """Claims of a model's answers, typed: blank texts are dropped, unknown types are ``supports``."""
-    each = rows.select("*", F.posexplode(F.from_json(json, CLAIMS)).alias("position", "_c"))
+    each = _objects(rows, json, CLAIM)
     out = each.withColumn("claim_text", F.trim("_c.claim_text")).where("claim_text <> ''")
     return out.select(*rows.columns, "position", "claim_text", F.trim(F.coalesce("_c.related_concept", F.lit(""))).alias("related_concept"), allowed(F.col("_c.claim_type"), ("supports", "contradicts", "extends", "complements"), "supports").alias("claim_type"), clamp(F.col("_c.confidence")).alias("confidence"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -197,18 +197,13 @@ def importance(relationships: DataFrame, concepts: DataFrame) -> DataFrame:
     return both.withColumn("importance", 0.4 * F.coalesce("strength", F.lit(0.0)) + 0.3 * (F.col("c1") + F.col("c2")) / 2 + 0.3 * weight).drop("c1", "c2")
 
 
-def detect(concepts: DataFrame, chunks: DataFrame, claims: DataFrame, relationships: DataFrame, classify=None, p: Params = DEFAULTS) -> DataFrame:
+def detect(concepts: DataFrame, chunks: DataFrame, claims: DataFrame, relationships: DataFrame, classify: Callable[[DataFrame, DataFrame], DataFrame], p: Params = DEFAULTS) -> DataFrame:
     """New relationships: candidates that aren't stored, the most similar of each project, classified, scored, without duplicates.
 
-    ``classify`` maps pairs to pairs with ``type, direction, confidence``; by default rules stand in for a model.
+    ``classify`` maps pairs and concepts to pairs with ``type, direction, confidence``, and ``reasoning`` if it gives any.
     """
     pairs = stored(top_pairs(fresh_pairs(candidate_pairs(concepts, p), relationships), p.max_pairs), "pairs")
-    if classify is None:
-        named = {"parent_child": "supports", "prerequisite": "extends", "builds_on": "extends", "complements": "complements", "similar": "supports"}
-        to = F.create_map(*[F.lit(x) for kv in named.items() for x in kv])
-        pairs = classify_by_rules(pairs, concepts).select(*pairs.columns, to[F.col("type")].alias("type"), F.when((F.col("type") == "builds_on"), "b_to_a").otherwise("a_to_b").alias("direction"), F.col("rule_strength").alias("confidence"))
-    else:
-        pairs = classify(pairs)
+    pairs = classify(pairs, concepts)
     pairs, seen = stored(pairs, "classified"), stored(mentions(concepts, chunks), "mentions")  # a model is asked once; texts are searched once
     scored = score_pairs(pairs, cooccurrence(seen, pairs), shared_documents(claims, pairs), seen, concepts)
     return dedupe_relationships(resolve_direction(scored).withColumn("seq", F.col("rank").cast("long")))

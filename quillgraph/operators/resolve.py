@@ -191,21 +191,30 @@ def match_names(new: DataFrame, existing: DataFrame) -> DataFrame:
 def claim_targets(claims: DataFrame, concepts: DataFrame) -> DataFrame:
     """``claim_id, concept_id``: by the same clean name, else the first concept of the batch of which one name contains the other.
 
-    ``claims(claim_id, batch, related_concept)`` meet only concepts ``(id, batch, name)`` of their own batch, which a document bounds.
+    ``claims(claim_id, batch, related_concept)`` meet only concepts ``(id, batch, name)`` of their own batch, which a document bounds;
+    the first is that with the least ``position`` if there is one, else with the least id.
     """
     c = claims.withColumn("clean", clean_name(F.col("related_concept")))
-    k = concepts.select("batch", F.col("id").alias("concept_id"), clean_name(F.col("name")).alias("known")).where("known <> ''")
+    position = F.col("position") if "position" in concepts.columns else F.lit(0)
+    k = concepts.select("batch", F.col("id").alias("concept_id"), position.alias("position"), clean_name(F.col("name")).alias("known")).where("known <> ''")
     met = c.join(k, "batch").where((F.col("clean") == F.col("known")) | F.contains("clean", "known") | F.contains("known", "clean"))
-    return met.where("clean <> ''").groupBy("claim_id").agg(F.min_by("concept_id", F.struct((F.col("clean") != F.col("known")), "concept_id")).alias("concept_id"))
+    return met.where("clean <> ''").groupBy("claim_id").agg(F.min_by("concept_id", F.struct((F.col("clean") != F.col("known")), "position", "concept_id")).alias("concept_id"))
+
+
+def _last_wins(all_: Column, one: Column) -> Column:
+    """Two maps as one; of equal keys the second's value counts."""
+    kept = F.map_filter(all_, lambda k, _: ~F.array_contains(F.map_keys(one), k))
+    return F.when(one.isNull(), all_).otherwise(F.map_concat(kept, one))
 
 
 def merge_records(rows: DataFrame) -> DataFrame:
-    """One record per group: the first name, the longest description, means of scores; ``W`` order is the id."""
+    """One record per group: the first name by id, the longest description, means of scores, and ``metadata`` maps as one if there are any."""
     first = W.partitionBy("group_id").orderBy("id")
     ranked = rows.withColumn("_k", F.row_number().over(first))
     return ranked.groupBy("group_id").agg(
         F.min("id").alias("id"), F.min_by("name", "_k").alias("name"), F.max_by("description", F.struct(F.length("description"), -F.col("_k"))).alias("description"),
         F.avg("generality_score").alias("generality_score"), F.avg("coverage_score").alias("coverage_score"), F.avg("consensus_score").alias("consensus_score"),
+        *([F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("_k", "metadata"))), lambda s: s["metadata"]), F.create_map().cast("map<string,string>"), _last_wins).alias("metadata")] if "metadata" in rows.columns else []),
     )
 
 
@@ -239,10 +248,9 @@ def match_concepts(new: DataFrame, existing: DataFrame, threshold: float = DEFAU
                 to = seen.first(x)
             if fresh:
                 out.append((pdf["project_id"].iat[0], i, i if to is None else to, to is None))
-            if to is None:
-                known.setdefault(clean, i)
-                if x is not None:
-                    seen.add(i, x)
+            known.setdefault(clean, i if to is None else to)
+            if to is None and x is not None:
+                seen.add(i, x)
         return pd.DataFrame(out, columns=["project_id", "id", "concept_id", "is_new"])
 
     matched = both.groupBy("project_id").applyInPandas(run, "project_id long, id long, concept_id long, is_new boolean")

@@ -71,4 +71,42 @@ def prompt_context(found: DataFrame, chars: int = 400) -> DataFrame:
     """``context``: numbered snippets in order of similarity."""
     ranked = found.withColumn("n", F.row_number().over(W.orderBy(F.desc("similarity"), "id")))
     line = F.format_string("[%d] (%s) %s", F.col("n"), F.col("filename"), snippet(F.col("content"), chars))
-    return ranked.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda s: s["line"]), "\n").alias("context"))
+    return _joined(ranked, F.col("n"), line, "context")
+
+
+def _joined(rows: DataFrame, order: Column, line: Column, name: str) -> DataFrame:
+    """Lines, one below the other, of a few rows."""
+    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("n"), line.alias("line")))), lambda s: s["line"]), "\n").alias(name))
+
+
+def document_context(found: DataFrame, chars: int = 4000) -> DataFrame:
+    """``documents``: small documents in order of similarity."""
+    ranked = found.withColumn("n", F.row_number().over(W.orderBy(F.desc("similarity"), "id")))
+    return _joined(ranked, F.col("n"), F.format_string("[Full Doc %d] (%s) %s", F.col("n"), F.col("filename"), snippet(F.col("content"), chars)), "documents")
+
+
+def concept_lines(found: DataFrame, chars: int = 150) -> DataFrame:
+    """``concepts``: a line for each concept in order of similarity, with its consensus if it has one."""
+    ranked = found.withColumn("n", F.row_number().over(W.orderBy(F.desc("similarity"), "id")))
+    tag = F.when(F.col("consensus_score").isNotNull(), F.format_string(" [consensus: %.2f]", F.col("consensus_score"))).otherwise("")
+    return _joined(ranked, F.col("n"), F.concat(F.lit("- "), "name", tag, F.lit(": "), F.left(F.coalesce("description", F.lit("")), F.lit(chars))), "concepts")
+
+
+def claim_lines(claims: DataFrame, most: int = 12, chars: int = 200) -> DataFrame:
+    """``claims``: a line for each of the first claims, by id."""
+    some = claims.orderBy("id").limit(most)
+    return _joined(some, F.col("id"), F.format_string("- [%s] %s", F.col("claim_type"), F.left("claim_text", F.lit(chars))), "claims")
+
+
+def gap_lines(concepts: DataFrame, most: int = 5, chars: int = 120) -> DataFrame:
+    """``gaps``: a line for each of the first gaps, by id."""
+    some = concepts.where("is_gap").orderBy("id").limit(most)
+    line = F.format_string("- %s (%s): %s", F.col("name"), F.coalesce("gap_type", F.lit("None")), F.left(F.coalesce("description", F.lit("")), F.lit(chars)))
+    return _joined(some, F.col("id"), line, "gaps").withColumn("gaps", F.when(F.col("gaps") == "", "(no gaps detected)").otherwise(F.col("gaps")))
+
+
+def source_list(near: DataFrame, small: DataFrame) -> DataFrame:
+    """``sources``: file names of the chunks in order of similarity, then of small documents, each once."""
+    both = near.select(F.lit(0).alias("kind"), "similarity", "id", "filename").unionByName(small.select(F.lit(1).alias("kind"), "similarity", "id", "filename"))
+    listed = F.array_sort(F.collect_list(F.struct("kind", (-F.col("similarity")).alias("s"), "id", "filename")))
+    return both.agg(F.array_distinct(F.transform(listed, lambda r: r["filename"])).alias("sources"))

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable
 from threading import Thread
 
 from pyspark.sql import DataFrame
@@ -19,14 +18,19 @@ from quillgraph.functions.vectors import mean_vectors
 from quillgraph.operators import catalog, cluster, consensus, gaps, graphmap, relate, resolve, search
 from quillgraph.operators.catalog import numbered
 from quillgraph.params import DEFAULTS, Params
-from quillgraph.plans.models import Embedder, HashedWords, extract_claims, extract_concepts, template_answer
+from quillgraph.plans.models import GENERALITY, Classifier, Embedder, Extractor, HashedWords, KeywordExtractor, NoSuggestions, NoWriter, RuleClassifier, Suggester, Writer, template_answer
 from quillgraph.sources.parsers import PARSERS, parse_files
 from quillgraph.sources.store import Store
 
 
 class Engine:
-    def __init__(self, store: Store, embedder: Embedder | None = None, params: Params = DEFAULTS):
+    def __init__(
+        self, store: Store, embedder: Embedder | None = None, params: Params = DEFAULTS, extractor: Extractor | None = None, classifier: Classifier | None = None, suggester: Suggester | None = None,
+        writer: Writer | None = None,
+    ):
         self.store, self.embedder, self.p = store, embedder or HashedWords(), params
+        self.extractor, self.classifier = extractor or KeywordExtractor(), classifier or RuleClassifier()
+        self.suggester, self.writer = suggester or NoSuggestions(), writer or NoWriter()
         self.spark = store.spark
         self._runs: dict[int | None, dict] = {}
 
@@ -63,12 +67,12 @@ class Engine:
         docs = self.store.read("documents")
         good = numbered(parsed.where("status = 200"), catalog.next_id(docs), "filename").withColumn("project_id", F.lit(project_id)).withColumn("created_at", F.current_timestamp())
         good = self._kept(good)
-        self.store.write("documents", docs.unionByName(good, allowMissingColumns=True).select(*docs.columns))
+        self.store.append("documents", good)
         chunks = self.store.read("chunks")
         large = section_chunks(good.where("not is_small"), self.p.chunk_words, self.p.overlap_words)
         small = good.where("is_small").select("id", F.lit(0).cast("long").alias("chunk_index"), F.col("content_text").alias("content"), F.lit("").alias("section_title"), F.lit(1).alias("section_level"), F.lit(None).cast("int").alias("page_num"), word_count(F.col("content_text")).cast("long").alias("n_words"))
         new = numbered(large.unionByName(small).withColumnRenamed("id", "document_id"), catalog.next_id(chunks), "document_id", "chunk_index")
-        self.store.write("chunks", chunks.unionByName(new, allowMissingColumns=True).select(*chunks.columns))
+        self.store.append("chunks", new)
         return parsed.select("filename", "status", "reason")
 
     def _kept(self, rows: DataFrame) -> DataFrame:
@@ -107,27 +111,63 @@ class Engine:
     # knowledge
 
     def extract(self, project_id: int, document_ids: DataFrame | None = None) -> dict:
-        """Concepts and claims of documents that have none yet. A document's chunks are read together; short ones are skipped."""
+        """Concepts and claims of what has none yet: a small document whole, a large one by chunks, of which short ones are skipped.
+
+        A piece that fails stays open and is counted; the others go on.
+        """
         docs, chunks = self.store.read("documents").where(F.col("project_id") == project_id), self.store.read("chunks")
         todo = docs if document_ids is None else docs.join(document_ids.select("id"), "id", "left_semi")
-        open_chunks = chunks.where("extraction_status is null").join(todo.select(F.col("id").alias("document_id")), "document_id", "left_semi")
-        short = word_count(F.col("content")) < self.p.min_chunk_words
-        status = open_chunks.select("id", F.when(short, "skipped").otherwise("extracted").alias("_s"))
-        texts = open_chunks.where(~short).groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda c: c["content"]), "\n").alias("content_text"))
-        texts = self._kept(texts.withColumnRenamed("document_id", "id"))
-        found = self._kept(extract_concepts(texts).where(F.coalesce("confidence", F.lit(self.p.missing_confidence)) >= self.p.min_confidence))
+        about = todo.select(F.col("id").alias("document_id"), F.col("filename").alias("title"), F.coalesce("is_small", F.lit(False)).alias("whole"), "content_text")
+        open_chunks = chunks.where("extraction_status is null").join(about, "document_id")
+        content = F.when(F.col("whole"), F.coalesce("content_text", "content")).otherwise(F.col("content"))
+        short = ~F.col("whole") & (word_count(F.col("content")) < self.p.min_chunk_words)
+        pieces = self._kept(open_chunks.select(F.col("id").alias("piece"), "document_id", "chunk_index", "title", content.alias("content"), "whole", short.alias("short")))
+        found = self._kept(self.extractor.extract(pieces.where("not short").select("piece", "title", "content", "whole")))
+        placed = found.join(pieces.select("piece", "document_id", "chunk_index"), "piece")
+        failed = self._kept(placed.where("error is not null").join(todo.select(F.col("id").alias("document_id"), "filename"), "document_id").select("document_id", "filename", "piece", "error"))
+
+        # The first of a name in each document, in order; known ones by name or likeness, the others are new.
+        each = placed.select("document_id", "chunk_index", F.posexplode("concepts").alias("at", "c")).select("document_id", F.struct("chunk_index", "at").alias("position"), "c.*")
+        sure = each.where(F.coalesce("confidence", F.lit(self.p.missing_confidence)) >= self.p.min_confidence)
+        first = resolve.first_names(sure, "document_id").select("document_id", "position.*", "name", "description", "specificity_level")
         concepts, claims = self.store.read("concepts"), self.store.read("claims")
-        names = found.groupBy(clean_name(F.col("name")).alias("clean")).agg(F.min("name").alias("name"))
-        have = concepts.where(F.col("project_id") == project_id).select(clean_name(F.col("name")).alias("clean"))
-        new = names.where("clean <> ''").join(have, "clean", "left_anti").select("name").withColumn("description", F.col("name"))
-        new = self.embedder.embed(new, "name", "embedding").withColumn("project_id", F.lit(project_id)).withColumn("generality_score", F.lit(0.5)).withColumn("coverage_score", F.lit(0.5)).withColumn("consensus_score", F.lit(1.0)).withColumn("is_gap", F.lit(False))
-        concepts = self.store.write("concepts", concepts.unionByName(numbered(new, catalog.next_id(concepts), "name"), allowMissingColumns=True).select(*concepts.columns))
-        said = extract_claims(texts, found).withColumn("clean", clean_name(F.col("name")))
-        owner = concepts.where(F.col("project_id") == project_id).groupBy(clean_name(F.col("name")).alias("clean")).agg(F.min("id").alias("concept_id"))
-        fresh = said.join(owner, "clean").select(F.col("id").alias("document_id"), "concept_id", "claim_text", F.lit("supports").alias("claim_type"), F.lit(0.7).alias("confidence"))
-        claims = self.store.write("claims", claims.unionByName(numbered(fresh, catalog.next_id(claims), "document_id", "concept_id", "claim_text"), allowMissingColumns=True).select(*claims.columns))
+        rows = numbered(first, catalog.next_id(concepts), "document_id", "chunk_index", "at").withColumn("project_id", F.lit(project_id).cast("long"))
+        rows = self._kept(self.embedder.embed(rows.withColumn("_text", F.trim(F.concat_ws(" ", "name", "description"))), "_text", "embedding").drop("_text"))
+        known = concepts.where(F.col("project_id") == project_id)
+        matched = self._kept(resolve.match_concepts(rows, known, self.p.merge_similarity))
+        general = F.create_map(*[F.lit(x) for kv in GENERALITY.items() for x in kv])[F.col("specificity_level")]
+        new = rows.join(matched.where("is_new").select("id"), "id", "left_semi").select("id", "project_id", "name", "description", F.coalesce(general, F.lit(GENERALITY["medium"])).alias("generality_score"), F.lit(0.5).alias("coverage_score"), F.lit(1.0).alias("consensus_score"), "embedding", F.lit(False).alias("is_gap"))
+        new = self._kept(new)
+        self.store.append("concepts", new)
+
+        said = placed.select("document_id", "chunk_index", F.posexplode("claims").alias("at", "k")).select("document_id", "chunk_index", "at", "k.*")
+        said = self._kept(numbered(said, catalog.next_id(claims), "document_id", "chunk_index", "at"))
+        owners = rows.join(matched.select("id", "concept_id"), "id").select(F.col("concept_id").alias("id"), F.col("document_id").alias("batch"), "name", F.struct("chunk_index", "at").alias("position"))
+        targets = resolve.claim_targets(said.select(F.col("id").alias("claim_id"), F.col("document_id").alias("batch"), "related_concept"), owners)
+        fresh = self._kept(said.join(targets.withColumnRenamed("claim_id", "id"), "id").select("id", "document_id", "concept_id", "claim_text", "claim_type", "confidence"))
+        self.store.append("claims", fresh)
+        status = pieces.join(found.where("error is not null").select("piece"), "piece", "left_anti").select(F.col("piece").alias("id"), F.when(F.col("short"), "skipped").otherwise("extracted").alias("_s"))
         self.store.write("chunks", chunks.join(status, "id", "left").withColumn("extraction_status", F.coalesce("extraction_status", "_s")).drop("_s"))
-        return {"documents": texts.count(), "concepts": concepts.where(F.col("project_id") == project_id).count()}
+        bad = failed.select("document_id").distinct().count()
+        counts = pieces.agg(F.count_distinct("document_id"), F.count(F.when(~F.col("short"), 1)), F.count(F.when(F.col("short"), 1))).first()
+        errors = [f"{r['filename']}: chunk {r['piece']}: {r['error'][:120]}" for r in failed.orderBy("document_id", "piece").limit(20).collect()]
+        return {"documents": counts[0] - bad, "documents_failed": bad, "chunks": counts[1], "chunks_skipped": counts[2], "chunks_failed": failed.count(), "concepts": new.count(), "claims": fresh.count(), "errors": errors}
+
+    def extract_merged(self, project_id: int) -> int:
+        """Concepts of all documents, extracted whole, merged among themselves in order and added; returns how many. The one-step way of older clients."""
+        docs = self.store.read("documents").where(F.col("project_id") == project_id)
+        found = self._kept(self.extractor.extract(docs.select(F.col("id").alias("piece"), F.col("filename").alias("title"), F.col("content_text").alias("content"), F.lit(True).alias("whole"))))
+        each = found.select(F.col("piece").alias("document_id"), F.posexplode("concepts").alias("at", "c")).select("document_id", "at", "c.*")
+        concepts = self.store.read("concepts")
+        rows = numbered(each, catalog.next_id(concepts), "document_id", "at").withColumn("project_id", F.lit(project_id).cast("long"))
+        general = F.create_map(*[F.lit(x) for kv in GENERALITY.items() for x in kv])[F.col("specificity_level")]
+        rows = rows.withColumn("generality_score", F.coalesce(general, F.lit(0.5))).withColumn("coverage_score", F.lit(0.5)).withColumn("consensus_score", F.lit(1.0))
+        rows = self._kept(self.embedder.embed(rows.withColumn("_text", F.trim(F.concat_ws(" ", "name", "description"))), "_text", "embedding").drop("_text"))
+        groups = resolve.greedy_merge(rows, self.p.merge_similarity).select("id", "group_id")
+        merged = resolve.merge_records(rows.join(groups, "id")).drop("group_id").join(rows.select("id", "embedding"), "id")
+        new = self._kept(merged.withColumn("project_id", F.lit(project_id).cast("long")).withColumn("is_gap", F.lit(False)))
+        self.store.append("concepts", new)
+        return new.count()
 
     def _of(self, project_id: int) -> tuple[dict[str, DataFrame], dict[str, DataFrame], int]:
         """A project's rows, all rows, and its number of documents."""
@@ -142,8 +182,7 @@ class Engine:
         return own, every, own["documents"].count()
 
     def _put_concepts(self, project_id: int, rows: DataFrame) -> None:
-        every = self.store.read("concepts")
-        self.store.write("concepts", every.where(F.col("project_id") != project_id).unionByName(rows, allowMissingColumns=True).select(*every.columns))
+        self.store.replace("concepts", project_id, rows)
 
     def normalize(self, project_id: int) -> DataFrame:
         """Merges concepts that are one; returns the alias table."""
@@ -168,23 +207,26 @@ class Engine:
         self._put_concepts(project_id, fresh.drop("parent_concept_id").join(parents, "id", "left").withColumnRenamed("_p", "parent_concept_id"))
         return cluster.cluster_summary(self._of(project_id)[0]["concepts"].where("cluster_label is not null"), dim=self.embedder.dim)
 
-    def relate(self, project_id: int, classify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    def relate(self, project_id: int) -> DataFrame:
         """Finds and stores new relationships; returns how many there are of each type."""
         own, every, _ = self._of(project_id)
-        found = relate.detect(own["concepts"], own["chunks"], own["claims"], every["relationships"], classify, self.p).withColumn("relationship_type", F.col("type"))
+        found = relate.detect(own["concepts"], own["chunks"], own["claims"], every["relationships"], self.classifier.classify, self.p)
         stored = F.create_map(*[F.lit(x) for k, v in relate.STORED_TYPE.items() if v for x in (k, v)])
         found = found.withColumn("relationship_type", stored[F.col("type")])
         edges = every["relationships"]
         new = numbered(found.select("source_concept_id", "target_concept_id", "relationship_type", "strength", "confidence"), catalog.next_id(edges), "source_concept_id", "target_concept_id")
-        return relate.type_counts(self.store.write("relationships", edges.unionByName(new, allowMissingColumns=True).select(*edges.columns)))
+        return relate.type_counts(self.store.append("relationships", new))
 
     def detect_gaps(self, project_id: int, suggested: DataFrame | None = None) -> DataFrame:
-        """Clears former gaps and finds new ones; ``suggested`` are a model's expected topics."""
-        own, _, n = self._of(project_id)
+        """Clears former gaps and finds new ones; ``suggested`` are expected topics in place of the suggester's."""
+        own, every, n = self._of(project_id)
         clean = self._kept(gaps.clear_gaps(own["concepts"]))
+        if suggested is None:
+            listed = gaps.representatives(clean, self.p).groupBy("project_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda s: s["name"]).alias("concepts"))
+            suggested = self._kept(self.suggester.suggest(listed.join(gaps.domain(clean, self.p), "project_id")))
         bridges = gaps.bridging_gaps(gaps.bridge_candidates(clean, own["relationships"], self.p.gap_similarity, self.p.max_bridging, dim=self.embedder.dim))
-        new = bridges if suggested is None else bridges.unionByName(gaps.expected_topics(suggested, clean, self.p), allowMissingColumns=True)
-        new = numbered(new, catalog.next_id(self.store.read("concepts")), "name")
+        new = bridges.unionByName(gaps.expected_topics(suggested, clean, self.p), allowMissingColumns=True)
+        new = numbered(new, catalog.next_id(every["concepts"]), "name")
         flagged = gaps.flag_weak(clean, n, self.p)
         self._put_concepts(project_id, flagged.unionByName(new, allowMissingColumns=True).select(*clean.columns))
         return self.gaps(project_id)
@@ -194,7 +236,10 @@ class Engine:
         own, every, _ = self._of(project_id)
         self._put_concepts(project_id, consensus.rebuild(own["concepts"], own["claims"]))
         scored = self._of(project_id)[0]["concepts"].where("not coalesce(is_gap, false)")
-        state = consensus.summary_text(consensus.brain_state(scored)).withColumn("last_updated", F.current_timestamp()).withColumn("id", F.col("project_id"))
+        state = consensus.summary_text(consensus.brain_state(scored))
+        facts = state.first()
+        written = self.writer.write(f"Summarise what this collection agrees on and disputes. {facts['summary_text']} Agreed: {facts['strong_consensus']}. Disputed: {facts['contested']}. Contradicted: {facts['contradictions']}.") if facts else ""
+        state = state.withColumn("summary_text", F.lit(written) if written else F.col("summary_text")).withColumn("last_updated", F.current_timestamp()).withColumn("id", F.col("project_id"))
         return self.store.write("brain_state", consensus.upsert_state(every["brain_state"], state))
 
     def build(self, project_id: int) -> dict:
@@ -248,29 +293,75 @@ class Engine:
         own = docs.where(F.col("project_id") == project_id)
         near = search.retrieve(self.store.read("chunks"), docs, project_id, vector, top_k, prefilter).join(docs.select(F.col("id").alias("document_id"), "filename"), "document_id")
         small = search.rank_small_documents(own, vector, 5).select("id", F.col("id").alias("document_id"), F.col("content_text").alias("content"), "similarity", "filename")
-        found = near.select("id", "document_id", "content", "similarity", "filename").unionByName(small)
-        concepts = search.concept_top_k(self.store.read("concepts").where(F.col("project_id") == project_id), vector, 5).select("name")
-        return {
-            "answer": template_answer(found).first()[0], "context": search.prompt_context(found).first()[0], "confidence": search.chat_confidence(near).first()[0],
-            "sources": found.select("filename").distinct(), "concepts": concepts,
+        near, small = self._kept(near.select("id", "document_id", "content", "similarity", "filename")), self._kept(small)
+        own_concepts = self.store.read("concepts").where(F.col("project_id") == project_id)
+        concepts = self._kept(search.concept_top_k(own_concepts, vector, 5))
+        claims = self.store.read("claims").join(F.broadcast(concepts.select(F.col("id").alias("concept_id"))), "concept_id", "left_semi")  # five at most
+        parts = {
+            "context": search.prompt_context(near).first()[0], "documents": search.document_context(small).first()[0], "concepts": search.concept_lines(concepts).first()[0],
+            "claims": search.claim_lines(claims).first()[0], "gaps": search.gap_lines(own_concepts).first()[0],
         }
+        prompt = f"Answer from what follows, and say so where it doesn't tell.\nQuestion: {question}\nPassages:\n{parts['context']}\nDocuments:\n{parts['documents']}\nConcepts:\n{parts['concepts']}\nClaims:\n{parts['claims']}\nGaps:\n{parts['gaps']}"
+        answer = self.writer.write(prompt) or template_answer(near.unionByName(small)).first()[0]
+        return {"answer": answer, "prompt": prompt, "context": parts["context"], "confidence": search.chat_confidence(near).first()[0], "sources": search.source_list(near, small).first()[0], "concepts": concepts.select("name")}
 
     # runs
 
+    def process_document(self, document_id: int) -> dict:
+        """Embeds one document and extracts from it."""
+        return self._process(self._document(document_id))
+
+    def add_document_and_update(self, document_id: int) -> dict:
+        """Embeds one document, extracts from it, and builds its project's knowledge anew."""
+        rows = self._document(document_id)
+        return self._process(rows) | self.build(rows.first()["project_id"])
+
+    def _document(self, document_id: int) -> DataFrame:
+        rows = self.store.read("documents").where(F.col("id") == document_id).select("id", "project_id")
+        if rows.isEmpty():
+            raise catalog.NotFound(f"document {document_id}")
+        return rows
+
+    def _process(self, documents: DataFrame) -> dict:
+        embedded = self._kept(self.embed(documents.select("id")))
+        open_ = embedded.join(documents.select(F.col("id").alias("document_id")), "document_id", "left_semi").where("status = 'partial'").count()
+        done = self.extract(documents.first()["project_id"], documents.select("id"))
+        errors = [*([f"{open_} document(s) with chunks that have no vector"] if open_ else []), *done.pop("errors")]
+        return {"documents_processed": done.pop("documents"), "documents_partly_embedded": open_, **done, "errors": errors}
+
     def process_all(self, project_id: int, document_ids: DataFrame | None = None, clear: bool = False) -> dict:
-        """Embeds, extracts and builds; what is done already is passed over unless it is cleared first."""
+        """Embeds, extracts and builds; what is done already is passed over unless it is cleared first.
+
+        A document that fails is counted and named; the others and the build go on.
+        """
+        began = time.time()
         docs = self.store.read("documents").where(F.col("project_id") == project_id)
         if docs.isEmpty():
-            return {"documents_processed": 0, "documents_failed": 0, "message": "No documents to process"}
+            return {"documents_processed": 0, "documents_failed": 0, "errors": [], "message": "No documents to process"}
         if clear:
-            own = docs.select(F.col("id").alias("document_id"), F.lit(True).alias("_own"))
-            chunks = self.store.read("chunks").join(own, "document_id", "left")
-            for c in ("embedding", "extraction_status"):
-                chunks = chunks.withColumn(c, F.when(F.col("_own").isNull(), F.col(c)))
-            self.store.write("chunks", chunks)
-        self.embed(document_ids)
-        done = self.extract(project_id, document_ids)
-        return {"documents_processed": done["documents"], "documents_failed": 0, "message": "done"} | self.build(project_id)
+            self._clear(docs)
+        some = docs if document_ids is None else docs.join(document_ids.select("id"), "id", "left_semi")
+        done = self._process(some.select("id", "project_id")) if not some.isEmpty() else {"documents_processed": 0, "documents_failed": 0, "errors": []}
+        built = self.build(project_id)
+        message = f"Processed {done['documents_processed']} document(s), {done['documents_failed']} failed"
+        return done | built | {"errors": done["errors"] + [f"{k}: {v}" for k, v in built.items() if k.endswith("_error")], "message": message, "processing_time_seconds": round(time.time() - began, 2)}
+
+    def _clear(self, docs: DataFrame) -> None:
+        """Vectors, extractions, concepts, claims, relationships and the state of these documents' project go."""
+        project_id = docs.first()["project_id"]
+        ids = docs.select(F.col("id").alias("document_id"))
+        own = ids.withColumn("_own", F.lit(True))
+        chunks = self.store.read("chunks").join(own, "document_id", "left")
+        for c in ("embedding", "extraction_status"):
+            chunks = chunks.withColumn(c, F.when(F.col("_own").isNull(), F.col(c)))
+        tables = self.store.tables()
+        left = catalog.delete_concepts(tables, tables["concepts"].where(F.col("project_id") == project_id))
+        self.store.write("chunks", chunks)
+        self.store.write("claims", left["claims"].join(ids, "document_id", "left_anti"))
+        self.store.write("relationships", left["relationships"])
+        self.store.replace("documents", project_id, docs.withColumn("embedding", F.lit(None).cast("array<double>")))
+        self.store.replace("concepts", project_id, tables["concepts"].limit(0))
+        self.store.replace("brain_state", project_id, tables["brain_state"].limit(0))
 
     def start(self, project_id: int, **options) -> dict:
         """Begins a run in the background; one at a time for each project."""

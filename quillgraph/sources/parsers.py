@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -56,17 +57,73 @@ def parse_text(data: bytes) -> list[Section]:
     return [{"title": "", "content": text, "level": 1, "page_num": None}] if text else []
 
 
+# Shares of the body's size from which a line is a heading, and a heading of the first and second level; the words of a bold one.
+HEADING, LEVELS, BOLD_WORDS = 1.15, (1.5, 1.25), 15
+
+
+def sections_of(pages: list[dict], band: float = 0.08) -> list[Section]:
+    """Sections of pages ``{height, lines, tables}``; a line has ``y, x, size, bold, text``, a table rows of cells.
+
+    The most frequent size is the body's, of sizes as frequent that seen first. Lines in the bands at a page's top and bottom
+    and page numbers are left out; lines are read from top to bottom, then from left to right.
+    """
+    kept = []
+    for k, page in enumerate(pages, 1):
+        inside = [s for s in page["lines"] if s["text"].strip() and band * page["height"] <= s["y"] <= (1 - band) * page["height"] and not re.fullmatch(r"\d{1,4}", s["text"].strip())]
+        kept.append((k, sorted(inside, key=lambda s: (s["y"], s["x"])), page.get("tables") or []))
+    sizes = Counter(round(s["size"], 1) for _, lines, _ in kept for s in lines)
+    body = max(sizes, key=sizes.get) if sizes else 0  # the first of the greatest
+    out: list[Section] = [{"title": "", "content": "", "level": 1, "page_num": 1}]
+    for k, lines, tables in kept:
+        for s in lines:
+            text, size = s["text"].strip(), s["size"]
+            if size >= HEADING * body or s["bold"] and size >= body and len(text.split()) <= BOLD_WORDS:
+                ratio = size / body if body else 0
+                out.append({"title": text, "content": "", "level": 1 + sum(ratio < x for x in LEVELS), "page_num": k})
+            else:
+                out[-1]["content"] += ("\n" if out[-1]["content"] else "") + text
+        rows = [" | ".join((c or "").strip() for c in row) for table in tables for row in table if any((c or "").strip() for c in row)]
+        if rows:
+            out[-1]["content"] += "\n[Tables]\n" + "\n".join(rows)
+    return [s for s in out if s["title"] or s["content"]]
+
+
+def recognise(page, scale: int = 2) -> str:
+    """Text of a page's picture by the optional Tesseract, at twice its size; empty without it or where it fails."""
+    try:
+        import io
+
+        import pytesseract
+        from PIL import Image
+
+        picture = page.get_pixmap(matrix=__import__("fitz").Matrix(scale, scale))
+        return pytesseract.image_to_string(Image.open(io.BytesIO(picture.tobytes("png")))).strip()
+    except Exception:  # recognition is a help, not a condition
+        return ""
+
+
 def parse_pdf(data: bytes) -> list[Section]:
-    """Needs the optional PyMuPDF."""
+    """Needs the optional PyMuPDF. Pages without text are recognised from their picture where Tesseract is installed."""
     try:
         import fitz
     except ImportError as error:
         raise RuntimeError("PDF files need PyMuPDF") from error
+    pages = []
     with fitz.open(stream=data, filetype="pdf") as pdf:
         if pdf.needs_pass:
             raise RuntimeError("the file needs a password")
-        pages = [(k + 1, page.get_text("text").strip()) for k, page in enumerate(pdf)]
-    return [{"title": "", "content": text, "level": 1, "page_num": k} for k, text in pages if text]
+        for page in pdf:
+            lines = []
+            for block in page.get_text("dict")["blocks"]:
+                for line in block.get("lines", ()):
+                    spans = [s for s in line["spans"] if s["text"].strip()]
+                    if spans:
+                        lines.append({"y": line["bbox"][1], "x": line["bbox"][0], "size": max(s["size"] for s in spans), "bold": all(s["flags"] & 16 for s in spans), "text": " ".join(s["text"].strip() for s in spans)})
+            height = page.rect.height
+            if not lines and (text := recognise(page)):
+                lines = [{"y": height / 2 + k * 1e-3, "x": 0, "size": 10, "bold": False, "text": t} for k, t in enumerate(text.split("\n"))]
+            pages.append({"height": height, "lines": lines, "tables": [t.extract() for t in page.find_tables().tables] if lines else []})
+    return sections_of(pages)
 
 
 def parse_docx(data: bytes) -> list[Section]:
@@ -140,15 +197,42 @@ def parse_files(files: DataFrame, p: Params = DEFAULTS, types: tuple[str, ...] |
     return parsed.withColumn("is_small", F.length(text) <= p.small_doc_chars).withColumn("word_count", word_count(text)).withColumn("reading_time_minutes", reading_minutes(text))
 
 
-def with_project(parsed: DataFrame, project_id: int) -> DataFrame:
-    """Documents of a room."""
-    return parsed.withColumn("project_id", F.lit(project_id))
+#: Bytes of a file that its title is looked for in.
+HEAD = 65536
+
+
+def _title(kind: str, head: bytes) -> str:
+    """A title from the first bytes of a file; empty if they tell none."""
+    import html
+    import io
+    import zipfile
+
+    if kind in (".html", ".htm"):
+        found = re.search(r"(?is)<title[^>]*>(.*?)</title>", head.decode("utf-8", "replace"))
+        return html.unescape(found[1]).strip() if found else ""
+    if kind == ".pdf":
+        found = re.search(rb"/Title\s*\(((?:\\.|[^\\()])*)\)", head)
+        return re.sub(rb"\\(.)", rb"\1", found[1]).decode("latin-1").strip() if found else ""
+    if kind in (".docx", ".doc"):
+        try:
+            with zipfile.ZipFile(io.BytesIO(head)) as z:
+                found = re.search(rb"(?s)<dc:title>(.*?)</dc:title>", z.read("docProps/core.xml"))
+        except (zipfile.BadZipFile, KeyError):  # a file longer than its head has no directory in it
+            return ""
+        return html.unescape(found[1].decode("utf-8", "replace")).strip() if found else ""
+    return head.decode("utf-8", "replace").lstrip().split("\n", 1)[0].strip()[:200]
 
 
 def file_metadata(files: DataFrame) -> DataFrame:
-    """``filename, file_type, length`` without reading the files: ``content`` is never asked for."""
+    """``filename, file_type, length, title`` from the heads of files alone; no file is parsed."""
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("filename"), F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).alias("file_type"), "length")
+    kind = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
+
+    @F.pandas_udf("string")
+    def title(kinds: pd.Series, heads: pd.Series) -> pd.Series:
+        return pd.Series([_title(k, bytes(h or b"")) for k, h in zip(kinds, heads)], index=kinds.index, dtype=object)
+
+    return files.select(name.alias("filename"), kind.alias("file_type"), "length", title(kind, F.substring("content", 1, HEAD)).alias("title"))
 
 
 def check_setup(spark: SparkSession) -> dict[str, bool]:
