@@ -694,6 +694,113 @@ def greedy_hierarchy(spark, sf):
     return cluster.greedy_hierarchy(views.concepts(spark, sf), 0.2, 0.3).select("id", F.coalesce("parent_id", F.lit(-1)).alias("parent_id"))
 
 
+# --- what is left of text, numbers and records -------------------------------
+
+
+@register(r"select id, len(list_filter(list_transform(regexp_split_to_array(t, '\n\s*\n'), lambda p: trim(p)), lambda p: p <> '')) as n_paragraphs, case when length(t) > 80 then left(t, 77) || '...' else t end as short, replace(left(t, 60), chr(10), ' ') as head, contains(lower(t), 'the ') as has_the from (select id, replace(content_text, '. ', chr(10) || ' ' || chr(10)) as t from docs)", "docs")
+def text_cuts(spark, sf):
+    """Documents whose sentences stand for paragraphs."""
+    t = F.col("t")
+    rows = views.docs(spark, sf).withColumn("t", F.replace("content_text", F.lit(". "), F.lit("\n \n")))
+    return rows.select("id", F.size(text.paragraphs(t)).cast("long").alias("n_paragraphs"), text.truncate(t, 80).alias("short"), text.snippet(t, 60).alias("head"), text.contains_folded(t, F.lit("THE ")).alias("has_the"))
+
+
+@register("select event_id as id, case when event_id % 11 = 0 then 0.7 when event_id % 13 = 0 then 0.5 else least(1.0, greatest(0.0, round(value / 50 - 1, 4))) end::double as clamped, case when event_id % 11 = 0 or value = 0 then -1.0 else round(event_id / value, 6) end::double as ratio from events")
+def number_rules(spark, sf):
+    """Confidences as a model gives them: numbers, none, or words; and shares of what may be nothing."""
+    given = F.when(F.col("event_id") % 11 == 0, None).when(F.col("event_id") % 13 == 0, "high").otherwise(F.round(F.col("value") / 50 - 1, 4).cast("string"))
+    value = F.when(F.col("event_id") % 11 != 0, F.col("value"))
+    rows = views.table(spark, sf, "events")
+    return rows.select(F.col("event_id").alias("id"), jsonfix.clamp(given).alias("clamped"), F.round(text.safe_divide(F.col("event_id").cast("double"), value, -1.0), 6).alias("ratio"))
+
+
+@register("select event_id as id, case lower(event_type) when 'click' then 'click' when 'view' then 'view' else 'other' end as kind from events")
+def allowed_values(spark, sf):
+    rows = views.table(spark, sf, "events")
+    return rows.select(F.col("event_id").alias("id"), jsonfix.allowed(F.concat(F.lit(" "), F.upper("event_type")), ("click", "view"), "other").alias("kind"))
+
+
+@register(
+    "with pairs as (select a.id as id, list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1] + z[2]) / 2.0) as m from concepts a join concepts b on b.id = a.id + 1) select id, round(m[1] / sqrt(list_dot_product(m, m)), 6) as first, round(m[64] / sqrt(list_dot_product(m, m)), 6) as last from pairs",
+    "concepts",
+)
+def midpoints(spark, sf):
+    from quillgraph.functions.vectors import midpoint
+
+    c = views.concepts(spark, sf)
+    near = c.select((F.col("id") - 1).alias("id"), F.col("embedding").alias("other"))
+    m = c.join(near, "id").select("id", midpoint(F.col("embedding"), F.col("other")).alias("m"))
+    return m.select("id", F.round(F.col("m")[0], 6).alias("first"), F.round(F.col("m")[63], 6).alias("last"))
+
+
+@register("select vec_id as id, vec_id % 4 <> 0 as kept from embeddings")
+def dimension_migration(spark, sf):
+    from quillgraph.sources.schemas import migrate_dimension
+
+    rows = views.concepts(spark, sf).withColumn("embedding", F.when(F.col("id") % 4 != 0, F.col("embedding")).otherwise(F.slice("embedding", 1, 32)))
+    return migrate_dimension(rows, DIM).select("id", F.col("embedding").isNotNull().alias("kept"))
+
+
+@register(
+    """with c as (select event_id as claim_id, user_id as batch, event_type || ' rate' as said from events), k as (select min(event_id) as id, user_id as batch, event_type as name from events group by user_id, event_type),
+    m as (select claim_id, id, said = name as same from c join k on k.batch = c.batch and (contains(said, name) or contains(name, said))) select claim_id, arg_min(id, (not same, id)) as concept_id from m group by claim_id"""
+)
+def claim_targets(spark, sf):
+    """Users as documents: each event names a concept that an earlier event of the user may have brought."""
+    e = views.table(spark, sf, "events")
+    claims = e.select(F.col("event_id").alias("claim_id"), F.col("user_id").alias("batch"), F.concat("event_type", F.lit(" rate")).alias("related_concept"))
+    concepts = e.groupBy(F.col("user_id").alias("batch"), F.col("event_type").alias("name")).agg(F.min("event_id").alias("id"))
+    return resolve.claim_targets(claims, concepts)
+
+
+@register(
+    """with r as (select p_brand as group_id, p_partkey as id, p_name as name, p_type || p_name as description, p_size / 50.0 as g, p_retailprice as c from part)
+    select group_id, min(id) as id, arg_min(name, id) as name, arg_max(description, (length(description), -id)) as description, round(avg(g), 6)::double as generality_score, round(avg(c), 4)::double as coverage_score from r group by group_id"""
+)
+def merge_records(spark, sf):
+    rows = views.table(spark, sf, "part").select(
+        F.col("p_brand").alias("group_id"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat("p_type", "p_name").alias("description"), (F.col("p_size") / 50.0).alias("generality_score"),
+        F.col("p_retailprice").alias("coverage_score"), F.lit(1.0).alias("consensus_score"),
+    )
+    return resolve.merge_records(rows).select("group_id", "id", "name", "description", _r("generality_score"), _r("coverage_score", 4))
+
+
+@register(
+    f"""with {NAMES}, n as (select id, trim(regexp_replace(regexp_replace(regexp_replace(trim(lower(name)), '\\b(the|a|an)\\b', '', 'g'), '\\s+', ' ', 'g'), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g')) as clean from names)
+    select x.id as new_id, min(y.id) as concept_id from n x left join n y on y.clean = x.clean and y.id % 2 = 1 where x.id % 2 = 0 group by x.id"""
+)
+def match_names(spark, sf):
+    """Even parts as new concepts, odd ones as known."""
+    rows = _names(spark, sf)
+    return resolve.match_names(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"))
+
+
+@register(f"with {REL}, d as (select relationship_type as type, case l_linenumber % 3 when 0 then 'a_to_b' when 1 then 'b_to_a' else 'bidirectional' end as direction, source_concept_id as a, target_concept_id as b, confidence from rel join (select (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey as id, l_linenumber from lineitem) l using (id)), t as (select *, case when type = 'builds_on' and direction = 'bidirectional' then 'complements' when type = 'builds_on' then 'builds_on' when type = 'contradicts' then 'contradicts' when type = 'complements' then 'complements' when type = 'similar' then 'similar' end as kind from d) select case when direction = 'b_to_a' then b else a end as source_concept_id, case when direction = 'b_to_a' then a else b end as target_concept_id, kind as relationship_type, count(*) as n from t where kind is not null group by all")
+def stored_directions(spark, sf):
+    """Line items as a model's classes of pairs."""
+    named = F.create_map(*[F.lit(x) for kv in {"builds_on": "extends", "contradicts": "contradicts", "complements": "complements", "similar": "supports", "prerequisite": "none", "parent_child": "none"}.items() for x in kv])
+    lines = views.table(spark, sf, "lineitem").select(((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")).alias("id"), "l_linenumber")
+    k = F.col("l_linenumber") % 3
+    rows = _relationships(spark, sf).join(lines, "id").select(named[F.col("relationship_type")].alias("type"), F.when(k == 0, "a_to_b").when(k == 1, "b_to_a").otherwise("bidirectional").alias("direction"), F.col("source_concept_id").alias("a"), F.col("target_concept_id").alias("b"))
+    return relate.resolve_direction(rows).groupBy("source_concept_id", "target_concept_id", "relationship_type").agg(F.count("*").alias("n"))
+
+
+@register(f"with {{MAPPED}} select parent_concept_id as id, string_agg(id::varchar, ',' order by id) as children from m where parent_concept_id is not null group by all".format(MAPPED=MAPPED), "concepts")
+def cluster_children(spark, sf):
+    return cluster.children(_map_rows(spark, sf)).select("id", F.array_join(F.transform("children", lambda c: c.cast("string")), ",").alias("children"))
+
+
+@register(f"with s as (select id, name, {SIM_SQL} as sim, id % 4 / 4.0 as consensus from concepts order by sim desc, id limit 5) select string_agg('- ' || name || case when id % 3 = 0 then '' else printf(' [consensus: %.2f]', consensus::double) end || ': about ' || name, chr(10) order by sim desc, id) as concepts from s", "concepts")
+def prompt_concepts(spark, sf):
+    rows = views.concepts(spark, sf).withColumn("is_gap", F.lit(False)).withColumn("description", F.concat(F.lit("about "), "name")).withColumn("consensus_score", F.when(F.col("id") % 3 != 0, (F.col("id") % 4) / 4.0))
+    return search.concept_lines(search.concept_top_k(rows, _asked(spark, sf), 5))
+
+
+@register("select string_agg('- [' || claim_type || '] claim ' || id, chr(10) order by id) as claims from (select * from claims where document_id = 7 order by id limit 12)", "claims")
+def prompt_claims(spark, sf):
+    return search.claim_lines(views.claims(spark, sf).where("document_id = 7").withColumn("claim_text", F.concat(F.lit("claim "), F.col("id").cast("string"))))
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """The concept map's nodes: the flagship query."""
     return concept_map_nodes(spark, sf)

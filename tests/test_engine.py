@@ -190,8 +190,8 @@ def test_extraction_with_contradictions_and_a_failure(spark, tmp_path):
     open_ = engine.store.read("chunks").where("extraction_status is null").join(engine.store.read("documents").withColumnRenamed("id", "document_id"), "document_id")
     assert {r["filename"] for r in open_.collect()} == {"c.txt", "e.txt"}
     engine.extractor = RemoteExtractor((lambda known: lambda p: known(p.replace("BROKEN", "mended")))(model()))
-    again = engine.process_all(room)
-    assert (again["documents_processed"], again["documents_failed"]) == (1, 0) and engine.concepts(room, is_gap=False).count() == 1
+    again = engine.extract(room)
+    assert (again["documents"], again["documents_failed"], again["concepts"]) == (1, 0, 0)
     only = engine.store.read("documents").where("filename = 'e.txt'").first()["id"]
     assert engine.process_document(only)["documents_processed"] == 1 and engine.add_document_and_update(only)["documents_processed"] == 0
     with pytest.raises(NotFound):
@@ -214,12 +214,11 @@ def test_runs_can_be_watched_cancelled_cleared_and_limited(spark, tmp_path):
     engine.upload(files(spark, [("a.txt", TEXT.encode()), ("b.txt", b"Trees have leaves. Leaves fall in autumn. " * 20)]), room)
     first = engine.documents(room).where("filename = 'a.txt'").select("id")
     assert engine.process_all(room, first)["documents_processed"] == 1
-    assert engine.process_all(room)["documents_processed"] == 1
+    assert engine.process_all(room, clear=True)["documents_processed"] == 2
+    assert engine.store.read("documents").where("embedding is null").count() == 0
     assert engine.status(room).first()["summary_text"] == "written" and engine.chat(room, "what of leaves?")["answer"] == "written"
     asked = engine.chat(room, "leaves")
     assert asked["sources"] == sorted(asked["sources"], key=lambda f: f != "b.txt") and "[Full Doc 1] (b.txt)" in asked["prompt"] and "- [" in asked["prompt"]
-    assert engine.process_all(room, clear=True)["documents_processed"] == 2
-    assert engine.store.read("documents").where("embedding is null").count() == 0
     assert engine.start(room, clear=True)["phase"] in ("running", "completed") and engine.start(room)["phase"] in ("running", "completed")
     assert engine.cancel(room)["phase"] in ("cancelled", "completed")
     for _ in range(120):
