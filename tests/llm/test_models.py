@@ -44,6 +44,50 @@ def test_op6_on_held_out_documents(spark, sf, docs):
     assert len(hold) > 5 and np.mean([a == b for a, b in hold]) >= 0.9
 
 
+def plain_quality(model, text):
+    """The classifier's score, passage by passage."""
+    words = text.split()
+    x, _ = mil_quality.passage_features([text])
+    assert len(x) == max(1, -(-len(words) // mil_quality.PASSAGE_WORDS))
+    w, encoded, raw = model.weights, [], []
+    for row in (x - model.mean) / model.scale:
+        h = np.tanh(row @ w["encode"] + w["encode_bias"])
+        encoded.append(h)
+        raw.append(sum(np.tanh(h @ w["v"][:, k]) / (1 + np.exp(-(h @ w["u"][:, k]))) * w["attend"][k] for k in range(mil_quality.GATE)))
+    share = np.exp(raw) / np.exp(raw).sum()
+    z = sum(a * h for a, h in zip(share, encoded))
+    return 1 / (1 + np.exp(-(z @ w["out"] + w["out_bias"][0])))
+
+
+def test_op6_scores_are_those_of_a_plain_loop(spark, docs, sf):
+    model = mil_quality.fit_quality(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    scores = {r["doc_id"]: r["score"] for r in mil_quality.score_quality(docs, model).collect()}
+    for r in docs.collect():
+        assert scores[r["doc_id"]] == pytest.approx(plain_quality(model, r["text"]), abs=1e-4)
+
+
+def plain_verdict(field, text):
+    """Share of bytes in lines that the best labelling calls content, by a table of best ways."""
+    lines = [x for x in text.encode().split(b"\n") if x.split()]
+    x = line_crf.line_features(lines, [len(lines)]).astype(float)
+    best = [[(field.start[0], []), (field.start[1] + x[0] @ field.emit, [])]]
+    for row in x[1:]:
+        gain = (0.0, row @ field.emit)
+        best.append([max(((best[-1][a][0] + field.step[a][b] + gain[b], [*best[-1][a][1], a]) for a in (0, 1)), key=lambda t: t[0]) for b in (0, 1)])
+    last = max((0, 1), key=lambda b: best[-1][b][0])
+    labels = [*best[-1][last][1], last]
+    return sum(len(s) for s, k in zip(lines, labels) if k) / sum(map(len, lines))
+
+
+def test_op10_verdicts_are_those_of_a_plain_loop(spark, docs, sf):
+    field = line_crf.fit_rules(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = {r["doc_id"]: r for r in line_crf.apply_rules(docs, field).collect()}
+    for r in docs.collect():
+        got, share = rows[r["doc_id"]], plain_verdict(field, r["text"])
+        assert got["content_share"] == pytest.approx(share, abs=1e-9)
+        assert got["kept"] == (not got["base_failed"] and share >= line_crf.CONTENT_SHARE)
+
+
 def test_quality_of_odd_rows(spark, odd, none, docs):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (4, 0, 0), (4, 1, 0), (None, 1, 0), (5, None, None), (8, 1, 1)], LABELS)
     model = mil_quality.fit_quality(odd, labels)
