@@ -42,7 +42,7 @@ KNOWN, KNOWN_BYTES = 300_000, 48
 #: Rounds, and visits of a token, of all rounds, at most; they are fewer where ``VISITED`` tokens are visited in all.
 ROUNDS, VISITS, VISITED = 3, 30, 13_824_000
 #: Trainers of small corpora, tokens that one has at least and at most, about, and sums of weights that come to the driver at once.
-TRAINERS, LEAST_TOKENS, MOST_TOKENS, SUMS = 12, 100_000, 4_000_000, 24
+TRAINERS, LEAST_TOKENS, MOST_TOKENS, SUMS = 6, 200_000, 4_000_000, 24
 #: Texts that advance together.
 LANES, BATCH_WORDS = 256, 600_000
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
