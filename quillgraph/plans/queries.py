@@ -383,7 +383,7 @@ def json_props_extract(spark, sf):
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("total"), F.count(F.when(F.get_json_object("props", "$.missing").isNull(), 1)).alias("missing"))
 
 
-@register()
+@register("select event_id, (props->>'$.k')::bigint as k, event_id % 3 <> 2 as repaired from events")
 def llm_json_repair(spark, sf):
     rows = views.table(spark, sf, "events")
     damaged = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.regexp_replace("props", "}", ",}")).otherwise(F.col("props"))
