@@ -34,8 +34,8 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 TILE, BLOCK = 1 << 14, 256
 #: Words of 64 bits that all pairs of a block are compared by; the rest is compared where these come within the radius.
 ALL_PAIRS = 2
-#: Pairs of tiles that a task compares, about.
-PAIRS = 16
+#: Tiles of a set at most; a task compares the tiles of two sets.
+SET = 8
 #: Ids that are broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -188,10 +188,12 @@ def near_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, n
     return p, q
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, forest: Forest, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``a`` and ``b`` (rows of 64-bit words) of links that join groups. ``forest`` holds the groups of both, or of one if both are the same tile."""
+def tile_links(a: np.ndarray, b: np.ndarray, forest: Forest, radius: int = RADIUS, at: tuple[int, int] = (0, 0)) -> tuple[np.ndarray, np.ndarray]:
+    """Places of links that join groups, between the fingerprints ``a`` and ``b`` (rows of 64-bit words), or within one if both are the same.
+
+    ``forest`` holds the groups of all places, where ``a`` and ``b`` begin at those of ``at``.
+    """
     same = a is b
-    shift = 0 if same else len(a)
     (alo, ahi), (blo, bhi) = _boxes(a), _boxes(b)
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
@@ -203,38 +205,65 @@ def tile_links(a: np.ndarray, b: np.ndarray, forest: Forest, radius: int = RADIU
             if same and i == j:
                 p, q = p[p < q], q[p < q]
             if len(p):
-                p, q = p + i * BLOCK, q + j * BLOCK
-                joined = forest.join(p, q + shift)
+                p, q = p + i * BLOCK + at[0], q + j * BLOCK + at[1]
+                joined = forest.join(p, q)
                 left.append(p[joined])
                 right.append(q[joined])
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
+def set_links(tiles: list[dict], same: bool, radius: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of links between the tiles of two sets, or of one; each tile has ``own`` (which set), ``tile, lo, hi, fps, ids, roots``."""
+    tiles = sorted(tiles, key=lambda t: t["tile"])
+    fps, roots = [matrix(t["fps"], words) for t in tiles], [np.frombuffer(t["roots"], "<i4") for t in tiles]
+    first = np.cumsum([0, *map(len, roots)])
+    ids, forest = np.concatenate([np.frombuffer(t["ids"], "<i8") for t in tiles]), Forest(np.concatenate([r + at for r, at in zip(roots, first)]))
+    left, right = [], []
+    for k, t in enumerate(tiles):
+        for m in range(k + 1, len(tiles)):
+            u = tiles[m]
+            if (same or t["own"] != u["own"]) and max(t["lo"] - u["hi"], u["lo"] - t["hi"]) <= radius:
+                p, q = tile_links(fps[k], fps[m], forest, radius, (int(first[k]), int(first[m])))
+                left.append(ids[p])
+                right.append(ids[q])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
 def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, words: int = 1) -> DataFrame:
     """``a, b``: numbers of ``nodes(fp, node, place)`` whose links span the groups of fingerprints within the radius.
 
-    Links within a tile come from its groups; two tiles add a link only where groups of theirs meet, so a large group has as many links
-    as members, and one more for each pair of its tiles.
+    Links within a tile come from its groups; the tiles of two sets add a link only where groups of theirs meet, so a large group has as many links
+    as members, and one more for each tile of two sets that meet. A tile is sent once for each set that it meets, not for each tile.
     """
-    tiles = materialize(_tiles(nodes, nodes.count(), tile, words, radius), "tiles")
-    reach = tiles.select(F.col("tile").alias("t"), F.explode(F.sequence("lo", "hi")).alias("pop"))
-    near = tiles.select(F.col("tile").alias("u"), F.explode(F.sequence(F.col("lo") - radius, F.col("hi") + radius)).alias("pop"))
-    pairs = materialize(reach.join(near, "pop").where("t < u").select("t", "u").distinct(), "tile-pairs")
-    met = pairs.count()
-    tasks = max(1, min(met, max(4 * tiles.sparkSession.sparkContext.defaultParallelism, met // PAIRS)))
-    left = tiles.select(F.col("tile").alias("t"), *[F.col(c).alias(f"{c}_a") for c in ("fps", "ids", "roots")])
-    right = tiles.select(F.col("tile").alias("u"), *[F.col(c).alias(f"{c}_b") for c in ("fps", "ids", "roots")])
-    dealt = pairs.join(left, "t").join(right, "u").repartition(tasks, "t", "u")
+    count = nodes.count()
+    parallel = nodes.sparkSession.sparkContext.defaultParallelism
+    size = int(max(1, min(SET, (count // tile + 1) / (8 * parallel) ** 0.5)))
+    tiles = materialize(_tiles(nodes, count, tile, words, radius).withColumn("own", F.floor(F.shiftright("tile", 32) / size)), "tiles")
+    reach = tiles.select(F.col("own").alias("s"), F.explode(F.sequence("lo", "hi")).alias("pop")).distinct()
+    near = tiles.select(F.col("own").alias("r"), F.explode(F.sequence(F.col("lo") - radius, F.col("hi") + radius)).alias("pop")).distinct()
+    sets = materialize(reach.join(near, "pop").select(F.least("s", "r").alias("s"), F.greatest("s", "r").alias("r")).distinct(), "tile-sets")
+    tasks = max(1, sets.count())
+    sent = sets.withColumn("own", F.explode(F.array_distinct(F.array("s", "r"))))
+    dealt = sent.join(tiles, "own").repartition(tasks, "s", "r").sortWithinPartitions("s", "r", "tile")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def links() -> pa.RecordBatch:
+            ends = set_links(held, held[0]["s"] == held[0]["r"], radius, words)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["a", "b"])
+
         for batch in batches:
-            for row in range(batch.num_rows):
-                fa, ia, ra, fb, ib, rb = (batch.column(k)[row].as_py() for k in range(6))
-                roots = np.frombuffer(ra, "<i4")
-                forest = Forest(np.concatenate([roots, np.frombuffer(rb, "<i4") + len(roots)]))
-                p, q = tile_links(matrix(fa, words), matrix(fb, words), forest, radius)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ia, "<i8")[p]), pa.array(np.frombuffer(ib, "<i8")[q])], ["a", "b"])
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                if held and (held[0]["s"], held[0]["r"]) != (row["s"], row["r"]):
+                    yield links()
+                    held = []
+                held.append(row)
+        if held:
+            yield links()
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,7 +272,7 @@ def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE,
                 moved = np.flatnonzero(roots != np.arange(len(roots)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[roots[moved]])], ["a", "b"])
 
-    across = dealt.select("fps_a", "ids_a", "roots_a", "fps_b", "ids_b", "roots_b").mapInArrow(compare, "a long, b long")
+    across = dealt.select("s", "r", "own", "tile", "lo", "hi", "fps", "ids", "roots").mapInArrow(compare, "a long, b long")
     return tiles.select("ids", "roots").mapInArrow(within, "a long, b long").unionByName(across)
 
 

@@ -88,8 +88,9 @@ def test_tiles_find_every_group(radius):
         forest.join(made[-1][0] + s, made[-1][1] + s)
     both = simhash.Forest(np.concatenate([one.find(np.arange(len(a))), two.find(np.arange(len(b))) + len(a)]))
     before = len(np.unique(both.root))
-    made.append(simhash.tile_links(a, b, both, radius))
-    forest.join(made[-1][0], made[-1][1] + len(a))
+    p, q = simhash.tile_links(a, b, both, radius, (0, len(a)))
+    made.append((p, q - len(a)))
+    forest.join(p, q)
     assert len(made[-1][0]) == before - len(np.unique(both.find(np.arange(len(fps)))))  # a link for each two groups that meet
     for (p, q), x, y in zip(made, (a, b, a), (a, b, b)):
         assert (np.bitwise_count(x[p] ^ y[q]).sum(1) <= radius).all() and len(p) < len(x) + len(y)
@@ -121,9 +122,11 @@ def test_rows_without_an_id_link_nothing_by_it(spark):
     assert sorted(((r["doc_id"], int.from_bytes(r["fp"]), r["component_id"]) for r in got), key=str) == sorted(zip([i for i, _ in rows], fps, want), key=str)
 
 
-def test_small_tiles_give_the_same(spark, docs):
+def test_small_tiles_give_the_same(spark, docs, monkeypatch):
     a = {tuple(r) for r in simhash.near_duplicates(docs).drop("component").collect()}
     assert {tuple(r) for r in simhash.near_duplicates(docs, tile=16).drop("component").collect()} == a
+    monkeypatch.setattr(simhash, "SET", 1)
+    assert {tuple(r) for r in simhash.near_duplicates(docs, tile=16).drop("component").collect()} == a
 
 
 def test_one_of_each_group_stays(spark):
