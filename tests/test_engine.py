@@ -179,7 +179,9 @@ def test_extraction_with_contradictions_and_a_failure(spark, tmp_path):
     room, other = engine.create_room("r", "u"), engine.create_room("o", "u")
     engine.upload(files(spark, [("a.txt", b"yes " * 60), ("b.txt", b"DENY " * 60), ("c.txt", b"BROKEN " * 60), ("d.txt", b"short but small and whole")]), room)
     engine.upload(files(spark, [("e.txt", b"yes " * 60)]), other)
+    engine.build = lambda project_id: {}  # the end-to-end test builds
     done = engine.process_all(room)
+    engine.build_brain(room)
     assert (done["documents_processed"], done["documents_failed"], done["chunks_failed"]) == (3, 1, 1)
     assert len(done["errors"]) == 1 and done["errors"][0].startswith("c.txt") and "TimeoutError" in done["errors"][0]
     concepts = engine.concepts(room, is_gap=False).collect()
@@ -210,12 +212,14 @@ def test_levels_become_generality(spark, tmp_path):
 def test_runs_can_be_watched_cancelled_cleared_and_limited(spark, tmp_path):
     engine = Engine(Store(spark, f"file://{tmp_path}/s"), writer=RemoteWriter(lambda prompt: "written"))
     assert engine.health()["status"] == "healthy" and check_setup(spark)["spark"]
+    engine.build = lambda project_id: {}  # the end-to-end test builds
     room = engine.create_room("r", "u")
     engine.upload(files(spark, [("a.txt", TEXT.encode()), ("b.txt", b"Trees have leaves. Leaves fall in autumn. " * 20)]), room)
     first = engine.documents(room).where("filename = 'a.txt'").select("id")
     assert engine.process_all(room, first)["documents_processed"] == 1
     assert engine.process_all(room, clear=True)["documents_processed"] == 2
     assert engine.store.read("documents").where("embedding is null").count() == 0
+    engine.build_brain(room)
     assert engine.status(room).first()["summary_text"] == "written" and engine.chat(room, "what of leaves?")["answer"] == "written"
     asked = engine.chat(room, "leaves")
     assert asked["sources"] == sorted(asked["sources"], key=lambda f: f != "b.txt") and "[Full Doc 1] (b.txt)" in asked["prompt"] and "- [" in asked["prompt"]
