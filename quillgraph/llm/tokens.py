@@ -22,7 +22,7 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Distinct parts that a worker keeps at most, in two generations; about 200 bytes each.
-MEMO_LIMIT = 1_200_000
+MEMO_LIMIT = 600_000
 #: Longer parts are encoded but not kept.
 MEMO_PART = 48
 
