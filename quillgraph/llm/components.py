@@ -1,17 +1,49 @@
 """Connected components of an edge table, by alternating large and small stars.
 
-Each round joins edges with the least neighbour of their ends; hubs are added up before
+Each task first links the nodes of its part of the edges to the least of their group there; where all
+edges are one part, that is the result. Each round then joins edges with the least neighbour of their ends; hubs are added up before
 the shuffle and split by adaptive joins. Rounds are written to the shared folder.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import materialize
 
 
+#: Edges of a part, about (16 bytes each).
+PART = 1 << 20
+
+
+def least_of_groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes that aren't the least of their component, and that least node."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while len(apart := np.flatnonzero(root[x] != root[y])):
+        x, y = root[x[apart]], root[y[apart]]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while np.any(root != (up := root[root])):
+            root = up
+    moved = np.flatnonzero(root != np.arange(len(root)))
+    return nodes[moved], nodes[root[moved]]
+
+
+def _grouped(edges: DataFrame, parts: int) -> DataFrame:
+    """Links to the least nodes of the groups that the edges of each part make."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros((2, 0), np.int64), *(np.stack([x.to_numpy() for x in batch.columns]) for batch in batches)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in least_of_groups(*np.concatenate(held, axis=1))], ["a", "b"])
+
+    return edges.coalesce(parts).mapInArrow(run, "a long, b long")
+
+
 def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("least"))
 
@@ -35,7 +67,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Edges may repeat, point either way or to their own node; edges with a null end are none.
     """
-    now = materialize(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).dropna().where("a <> b").distinct(), "edges")
+    now = materialize(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).dropna().where("a <> b"), "edges")
+    parts = max(1, -(-now.count() // PART))
+    now = materialize(_grouped(now, parts), "groups")
+    if parts == 1:
+        return now
     state = None
     while True:
         now = materialize(_small_star(_large_star(now)), "stars")

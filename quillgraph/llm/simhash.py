@@ -34,7 +34,7 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 TILE, BLOCK = 1 << 14, 256
 #: Words of 64 bits that all pairs of a block are compared by; the rest is compared where these come within the radius.
 ALL_PAIRS = 2
-#: Tiles of a set at most; a task compares the tiles of two sets.
+#: Whole tiles' worth of fingerprints in a set at most, about; a task compares the tiles of two sets.
 SET = 8
 #: Ids that are broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
@@ -235,15 +235,19 @@ def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE,
     """``a, b``: numbers of ``nodes(fp, node, place)`` whose links span the groups of fingerprints within the radius.
 
     Links within a tile come from its groups; the tiles of two sets add a link only where groups of theirs meet, so a large group has as many links
-    as members, and one more for each tile of two sets that meet. A tile is sent once for each set that it meets, not for each tile.
+    as members, and one more for each tile of two sets that meet. A tile is sent once for each set that it meets, not for each tile. Sets
+    grow with fingerprints alone: where Spark deals these to more partitions than asked for, tiles are smaller and a set has more of them.
     """
     count = nodes.count()
     parallel = nodes.sparkSession.sparkContext.defaultParallelism
     size = int(max(1, min(SET, (count // tile + 1) / (8 * parallel) ** 0.5)))
-    tiles = materialize(_tiles(nodes, count, tile, words, radius).withColumn("own", F.floor(F.shiftright("tile", 32) / size)), "tiles")
-    reach = tiles.select(F.col("own").alias("s"), F.explode(F.sequence("lo", "hi")).alias("pop")).distinct()
-    near = tiles.select(F.col("own").alias("r"), F.explode(F.sequence(F.col("lo") - radius, F.col("hi") + radius)).alias("pop")).distinct()
-    sets = materialize(reach.join(near, "pop").select(F.least("s", "r").alias("s"), F.greatest("s", "r").alias("r")).distinct(), "tile-sets")
+    tiles = materialize(_tiles(nodes, count, tile, words, radius), "tiles")
+    parts = (tiles.agg(F.max(F.shiftright("tile", 32))).first()[0] or 0) + 1
+    tiles = tiles.withColumn("own", F.floor(F.shiftright("tile", 32) / max(1, round(parts * size * tile / max(1, count)))))
+    spans = tiles.groupBy("own").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    one, two = spans.toDF("s", "slo", "shi"), spans.toDF("r", "rlo", "rhi")
+    meet = (F.col("s") <= F.col("r")) & (F.col("slo") - F.col("rhi") <= radius) & (F.col("rlo") - F.col("shi") <= radius)
+    sets = materialize(one.join(two, meet).select("s", "r"), "tile-sets")
     tasks = max(1, sets.count())
     sent = sets.withColumn("own", F.explode(F.array_distinct(F.array("s", "r"))))
     dealt = sent.join(tiles, "own").repartition(tasks, "s", "r").sortWithinPartitions("s", "r", "tile")

@@ -129,6 +129,22 @@ def test_small_tiles_give_the_same(spark, docs, monkeypatch):
     assert {tuple(r) for r in simhash.near_duplicates(docs, tile=16).drop("component").collect()} == a
 
 
+def test_more_partitions_make_no_more_sets(spark, docs, monkeypatch):
+    """Where fingerprints are dealt to many partitions, each tile is still sent a few times and the groups are the same."""
+    want = {tuple(r) for r in simhash.near_duplicates(docs).drop("component").collect()}
+    made, frame, store = {}, type(docs), simhash.materialize
+
+    def stored(rows, name="part"):
+        out = store(rows, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", stored)
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, n, *cols, f=frame.repartitionByRange: f(self, max(n, 40), *cols) if isinstance(n, int) else f(self, n, *cols))
+    assert {tuple(r) for r in simhash.near_duplicates(docs).drop("component").collect()} == want
+    assert made["tiles"] >= 20 and made["tile-sets"] <= 3
+
+
 def test_one_of_each_group_stays(spark):
     """Null ids go with others, rows of one id and several texts are told apart, and repeated rows stay once."""
     words = [f"w{k}" for k in range(300)]
@@ -146,6 +162,23 @@ def test_connected_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_parts_of_edges_meet(spark, monkeypatch):
+    """One part of edges is done by one task, without a round; several parts give the same."""
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 900, (500, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, None)]
+    forest = simhash.Forest(np.arange(1100))
+    ends = np.array([e for e in edges if None not in e])
+    forest.join(ends[:, 0], ends[:, 1])
+    root = forest.find(np.arange(1100))
+    want = {i: int(r) for i, r in enumerate(root) if r != i}
+    made, store = [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda rows, name="part": made.append(name) or store(rows, name))
+    table = spark.createDataFrame(edges, "a long, b long")
+    assert {r["a"]: r["b"] for r in components.connected_components(table).collect()} == want and "stars" not in made
+    monkeypatch.setattr(components, "PART", 200)
+    assert {r["a"]: r["b"] for r in components.connected_components(table.repartition(8)).collect()} == want and "stars" in made
+
+
 @pytest.mark.parametrize("lacing", range(4))
 @pytest.mark.parametrize("n", [0, 1, 64, 65, 2048, 70_000, 300_001])
 def test_media_round_trip(lacing, n):
