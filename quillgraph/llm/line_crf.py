@@ -22,10 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.byte_classes import N_KINDS, kind_shares
+from quillgraph.llm.common import PORTION_BYTES, portions
 from quillgraph.llm.mil_quality import training_documents, training_sample
 
 MAX_LABELLED = 1500
@@ -41,16 +43,24 @@ RULES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines
 
 def line_features(lines: list[bytes], counts: list[int]) -> np.ndarray:
     """Features of the lines of several documents, one after the other."""
-    extra, at = [], 0
+    done, extra, at, begun, size = [], [], 0, 0, 0
+
+    def described() -> np.ndarray:
+        return np.concatenate([kind_shares(lines[begun : begun + len(extra)], pairs=False), np.array(extra, np.float32).reshape(-1, 6)], 1)
+
     for n in counts:
         seen: set[bytes] = set()
         for line in lines[at : at + n]:
+            if size >= PORTION_BYTES:
+                done.append(described())
+                begun, extra, size = begun + len(extra), [], 0
+            size += len(line) + 32  # some, for what a line without letters takes
             words = line.split()
             k = len(words)
             extra.append((1.0, min(len(line), 400) / 400, k / (len(line) + 1) * 4, len(set(words)) / k if k else 0, line in seen, sum(map(bytes.__eq__, words[1:], words)) / k if k else 0))
             seen.add(line)
         at += n
-    return np.concatenate([kind_shares(lines, pairs=False), np.array(extra, np.float32).reshape(-1, 6)], 1)
+    return np.concatenate([*done, described()])
 
 
 @dataclass
@@ -143,19 +153,24 @@ def fit_field(x: np.ndarray, counts: np.ndarray, y: np.ndarray, rounds: int = 10
     return Field(theta[:FEATURES], theta[FEATURES : FEATURES + 2], theta[FEATURES + 2 :].reshape(2, 2))
 
 
+def content_lines(text: str | None) -> list[bytes]:
+    """Lines with a word."""
+    return [x for x in (text or "").encode("utf-8", "replace").split(b"\n") if x.split()]
+
+
+def sequence_bytes(texts: list[str | None]) -> list[bytes]:
+    """Features of each text's lines, as half floats."""
+    return [line_features(own, [len(own)]).astype(np.float16).tobytes() for own in map(content_lines, texts)]
+
+
+def sequence_size(text: str | None) -> int:
+    """Bytes of these."""
+    return 2 * FEATURES * len(content_lines(text))
+
+
 def fit_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED) -> Field:
     """Fits the field on ``docs(doc_id, text)`` that ``labels(doc_id, <label>)`` marks 0 or 1."""
-
-    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, text, y in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                lines = [x for x in (text or "").encode("utf-8", "replace").split(b"\n") if x.split()]
-                if lines:
-                    rows.append({"doc_id": doc_id, "y": y, "x": line_features(lines, [len(lines)]).astype(np.float16).tobytes()})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("x", pa.binary())]))
-
-    found = training_sample(training_documents(docs, labels, label, max_labelled, False).mapInArrow(sequences, "doc_id long, y int, x binary"), max_labelled, SAMPLE_BYTES)
+    found = training_sample(training_documents(docs, labels, label, max_labelled, False), sequence_bytes, sequence_size, max_labelled, SAMPLE_BYTES)
     if not found:
         return prior_field()
     x = [np.frombuffer(v, np.float16).reshape(-1, FEATURES) for _, _, v in found]
@@ -203,7 +218,7 @@ def content_shares(texts: list[str | None], field: Field) -> np.ndarray:
     """Share of characters (bytes) in lines labelled content; 0 without lines."""
     lines, counts = [], []
     for text in texts:
-        own = [x for x in (text or "").encode("utf-8", "replace").split(b"\n") if x.split()]
+        own = content_lines(text)
         lines += own
         counts.append(len(own))
     if not lines:
@@ -233,8 +248,7 @@ def apply_rules(docs: DataFrame, field: Field, **limits) -> DataFrame:
         names = [x.split()[0] for x in RULES.split(", ")]
         kinds = [pa.int64()] * 6 + [pa.bool_(), pa.float64(), pa.bool_()]
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for part in (batch.slice(*p) for p in portions(pc.binary_length(batch.column(1)).to_pylist())):
                 rows = [(i, *r) for i, r in zip(part.column(0).to_pylist(), judge(part.column(1).to_pylist(), field, **limits))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
@@ -247,9 +261,9 @@ def keep_content(docs: DataFrame, field: Field, **limits) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def stays(texts):
-        out: list[bool] = []
-        for at in range(0, len(texts), 128):
-            out += [r[-1] for r in judge([x if isinstance(x, str) else None for x in texts.iloc[at : at + 128]], field, **limits)]
+        out, texts = [], [x if isinstance(x, str) else None for x in texts]
+        for at, n in portions(len(x or "") for x in texts):
+            out += [r[-1] for r in judge(texts[at : at + n], field, **limits)]
         return pd.Series(out, dtype=bool)
 
     return docs.where(stays(F.col("text").cast("string")))

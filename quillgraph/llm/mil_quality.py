@@ -17,16 +17,17 @@ the same. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.byte_classes import N_KINDS, kind_shares
-from quillgraph.llm.common import id_crc, materialize
+from quillgraph.llm.common import PORTION_BYTES, id_crc, portions
 
 PASSAGE_WORDS = 64
 #: Documents at most that the model is fitted on.
@@ -40,7 +41,11 @@ HIDDEN, GATE = 24, 12
 
 def passage_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Features of all passages, and the number of passages of each text (1 at least)."""
-    pieces, extra, counts = [], [], []
+    done, pieces, extra, counts, size = [], [], [], [], 0
+
+    def described() -> np.ndarray:
+        return np.concatenate([kind_shares(pieces), np.array(extra, np.float32).reshape(-1, 4)], 1)
+
     for text in texts:
         words = text.encode("utf-8", "replace").split() if text else []
         bags = [words[i : i + PASSAGE_WORDS] for i in range(0, len(words), PASSAGE_WORDS)] or [[]]
@@ -50,7 +55,13 @@ def passage_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             n = len(bag)
             pieces.append(piece)
             extra.append((len(set(bag)) / n if n else 0, len(piece) / (10 * n) if n else 0, sum(map(bytes.__eq__, bag[1:], bag)) / n if n else 0, n / PASSAGE_WORDS))
-    return np.concatenate([kind_shares(pieces), np.array(extra, np.float32).reshape(-1, 4)], 1), np.array(counts, np.int64)
+            size += len(piece)
+            if size >= PORTION_BYTES:
+                done.append(described())
+                pieces, extra, size = [], [], 0
+    if pieces or not done:
+        done.append(described())
+    return np.concatenate(done), np.array(counts, np.int64)
 
 
 @dataclass
@@ -96,11 +107,13 @@ def gradients(x: np.ndarray, counts: np.ndarray, y: np.ndarray, w: dict[str, np.
 
 
 def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, seed: int = 5, epochs: int = 30, batch: int = 64, rate: float = 0.005, decay: float = 1e-4) -> Model:
-    """Adam on documents' log loss."""
-    mean, scale = x.mean(0), x.std(0) + 0.02
+    """Adam on documents' log loss. ``x`` is overwritten, as a copy would be most of the driver's memory."""
+    mean, scale = x.mean(0), np.concatenate([x[:, k : k + 16].std(0) for k in range(0, FEATURES, 16)]) + 0.02
     if len(np.unique(y)) < 2:
         return Model(float(y.mean()) if len(y) else 0.5, mean, scale, None)
-    rng, x = np.random.default_rng(seed), ((x - mean) / scale).astype(np.float32)
+    rng = np.random.default_rng(seed)
+    x -= mean
+    x /= scale
     shape = {"encode": (FEATURES, HIDDEN), "v": (HIDDEN, GATE), "u": (HIDDEN, GATE), "attend": (GATE,), "out": (HIDDEN,)}
     w = {k: (rng.normal(size=s) / np.sqrt(s[0])).astype(np.float32) for k, s in shape.items()}
     w |= {"encode_bias": np.zeros(HIDDEN, np.float32), "out_bias": np.array([np.log(y.mean() / (1 - y.mean()))], np.float32)}
@@ -128,42 +141,61 @@ def training_documents(docs: DataFrame, labels: DataFrame, label: str, max_label
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(F.broadcast(known), "doc_id").select("doc_id", "text", "y")
 
 
-def training_sample(features: DataFrame, max_labelled: int, most_bytes: int = SAMPLE_BYTES) -> list[tuple[int, int, bytes]]:
-    """``doc_id, y, x`` of the rows that are learned from, on the driver: the first by the hash, within both bounds. Equal rows are learned from once.
+def training_sample(
+    documents: DataFrame, describe: Callable[[list[str | None]], list[bytes]], size: Callable[[str | None], int], max_labelled: int, most_bytes: int = SAMPLE_BYTES
+) -> list[tuple[int, int, bytes]]:
+    """``doc_id, y, x`` of the ``documents(doc_id, text, y)`` that are learned from, on the driver: the first by the hash, within both bounds. Equal rows are learned from once.
 
-    Only sizes are collected to choose them.
+    ``describe`` makes the features of texts, ``size`` says how many bytes a text's take (0: it has none). Only sizes are collected to choose; no other document's features are made.
     """
-    kept = materialize(features.withColumn("h", F.xxhash64("x")).dropDuplicates(["doc_id", "y", "h"]), "features")
-    first = kept.select("doc_id", "y", "h", F.octet_length("x").alias("n")).orderBy(F.xxhash64(F.lit("train"), "doc_id"), "doc_id", "h").limit(max_labelled).collect()
+    rows = documents.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.drop_columns(["text"]).append_column("n", pa.array([size(x.as_py()) for x in batch.column("text")], pa.int64()))
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(*p) for p in portions(pc.binary_length(batch.column("text")).to_pylist(), 64)):
+                yield part.drop_columns(["text"]).append_column("x", pa.array(describe(part.column("text").to_pylist()), pa.binary()))
+
+    sizes = rows.mapInArrow(measured, "doc_id long, y int, h long, n long").where("n > 0").dropDuplicates(["doc_id", "y", "h"])
     total, chosen = 0, []
-    for r in first:
+    for r in sizes.orderBy(F.xxhash64(F.lit("train"), "doc_id"), "doc_id", "h").limit(max_labelled).collect():
         if total + r["n"] <= most_bytes:
             total += r["n"]
             chosen.append((r["doc_id"], r["y"], r["h"]))
     if not chosen:
         return []
-    keys = features.sparkSession.createDataFrame(chosen, "doc_id long, y int, h long")
-    found = kept.join(F.broadcast(keys), ["doc_id", "y", "h"], "left_semi").select("doc_id", "y", "x").toArrow()
+    keys = documents.sparkSession.createDataFrame(chosen, "doc_id long, y int, h long")
+    features = rows.join(F.broadcast(keys), ["doc_id", "y", "h"], "left_semi").select("doc_id", "text", "y", "h").mapInArrow(described, "doc_id long, y int, h long, x binary")
+    found = features.dropDuplicates(["doc_id", "y", "h"]).select("doc_id", "y", "x").toArrow()
     return sorted(zip(*(c.to_pylist() for c in found.columns)))
 
 
+def bag_bytes(texts: list[str | None]) -> list[bytes]:
+    """Features of each text's passages, as half floats."""
+    x, counts = passage_features(texts)
+    return [r.tobytes() for r in np.split(x.astype(np.float16), np.cumsum(counts)[:-1])]
+
+
+def bag_size(text: str | None) -> int:
+    """Bytes of these."""
+    return 2 * FEATURES * max(1, -(-len(text.encode("utf-8", "replace").split()) // PASSAGE_WORDS) if text else 1)
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED) -> Model:
     """Fits the model on ``docs(doc_id, text)`` that ``labels(doc_id, <label>)`` marks 0 or 1."""
-
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                x, counts = passage_features(part.column(1).to_pylist())
-                rows = np.split(x.astype(np.float16), np.cumsum(counts)[:-1])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "y", "x"])
-
-    sample = training_sample(training_documents(docs, labels, label, max_labelled, True).mapInArrow(bags, "doc_id long, y int, x binary"), max_labelled)
-    x = [np.frombuffer(v, np.float16).reshape(-1, FEATURES) for _, _, v in sample]
-    y = np.array([k for _, k, _ in sample], np.float32).clip(0, 1)
-    if not x:
+    sample = training_sample(training_documents(docs, labels, label, max_labelled, True), bag_bytes, bag_size, max_labelled)
+    if not sample:
         return Model(0.5, np.zeros(FEATURES), np.ones(FEATURES), None)
-    return fit(np.concatenate(x).astype(np.float32), np.array([len(v) for v in x]), y)
+    y = np.array([k for _, k, _ in sample], np.float32).clip(0, 1)
+    counts = np.array([len(v) // (2 * FEATURES) for _, _, v in sample])
+    x, end = np.empty((counts.sum(), FEATURES), np.float32), len(counts)
+    for at in np.cumsum(counts)[::-1].tolist():  # what is copied is let go
+        end -= 1
+        x[at - counts[end] : at] = np.frombuffer(sample.pop()[2], np.float16).reshape(-1, FEATURES)
+    return fit(x, counts, y)
 
 
 def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -171,8 +203,7 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for part in (batch.slice(*p) for p in portions(pc.binary_length(batch.column(2)).to_pylist())):
                 score = model.score(*passage_features(part.column(2).to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score, pa.float64())], ["doc_id", "held_out", "score"])
 
@@ -185,11 +216,11 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
 
     @F.pandas_udf("boolean")
     def good(texts):
-        out = [np.zeros(0, bool)]
-        for at in range(0, len(texts), 128):
-            out.append(model.score(*passage_features([x if isinstance(x, str) else None for x in texts.iloc[at : at + 128]])) >= threshold)
         import pandas as pd
 
+        out, texts = [np.zeros(0, bool)], [x if isinstance(x, str) else None for x in texts]
+        for at, n in portions(len(x or "") for x in texts):
+            out.append(model.score(*passage_features(texts[at : at + n])) >= threshold)
         return pd.Series(np.concatenate(out))
 
     return docs.where(good(F.col("text").cast("string")))
