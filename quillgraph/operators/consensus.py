@@ -11,13 +11,15 @@ AGAINST = {"contradicts": 1.0}
 
 
 def _weight(weights: dict[str, float]) -> Column:
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("claim_type")], F.lit(0.0))
+    """Tenths, which sums keep exact: a score on the edge of a band must not fall over it by the order of its claims."""
+    tenths = F.create_map(*[F.lit(x) for k, w in weights.items() for x in (k, round(10 * w))])
+    return F.coalesce(tenths[F.col("claim_type")], F.lit(0)).cast("long")
 
 
 def consensus_by_concept(concepts: DataFrame, claims: DataFrame) -> DataFrame:
     """``project_id, id, n_claims, consensus_score``: weight of support over all weight; 0.5 where there is none."""
     sums = claims.groupBy(F.col("concept_id").alias("id")).agg(F.sum(_weight(SUPPORT)).alias("s"), F.sum(_weight(AGAINST)).alias("c"), F.count("*").alias("n"))
-    score = F.coalesce(F.try_divide(F.col("s"), F.col("s") + F.col("c")), F.lit(0.5))
+    score = F.coalesce(F.try_divide(F.col("s") / 10.0, (F.col("s") + F.col("c")) / 10.0), F.lit(0.5))
     return concepts.join(sums, "id", "left").select("project_id", "id", F.coalesce("n", F.lit(0)).alias("n_claims"), score.alias("consensus_score"))
 
 
