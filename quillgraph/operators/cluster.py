@@ -454,10 +454,10 @@ def bridge_pairs(concepts: DataFrame, threshold: float = DEFAULTS.bridge_similar
     return pairs.join(labels, ["project_id", "a"]).join(labels.select("project_id", F.col("a").alias("b"), F.col("la").alias("lb")), ["project_id", "b"]).where("la <> lb").select("project_id", "a", "b", "sim")
 
 
-def greedy_hierarchy(concepts: DataFrame, min_gap: float = 0.2, min_sim: float = 0.6) -> DataFrame:
-    """``project_id, id, parent_id``: of more general concepts with enough similarity, the most general; ties by id."""
+def greedy_hierarchy(concepts: DataFrame, min_gap: float = 0.2, min_sim: float = 0.6, max_sim: float = float("inf")) -> DataFrame:
+    """``project_id, id, parent_id``: of more general concepts with enough similarity (and ``max_sim`` at most), the most general; ties by id."""
     g = concepts.select("project_id", F.col("id").alias("a"), F.coalesce("generality_score", F.lit(0.5)).alias("ga"))
-    pairs = similar_pairs(concepts, min_sim, float("inf")).select("project_id", "a", "b")
+    pairs = similar_pairs(concepts, min_sim, max_sim).select("project_id", "a", "b")
     both = pairs.union(pairs.select("project_id", F.col("b").alias("a"), F.col("a").alias("b")))
     both = both.join(g, ["project_id", "a"]).join(g.select("project_id", F.col("a").alias("b"), F.col("ga").alias("gb")), ["project_id", "b"]).where(F.col("gb") - F.col("ga") > min_gap)
     parents = both.groupBy("project_id", F.col("a").alias("id")).agg(F.max_by("b", F.struct("gb", -F.col("b"))).alias("parent_id"))

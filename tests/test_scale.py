@@ -37,3 +37,9 @@ def test_scores_on_the_edge_of_a_band(spark):
     scored = consensus.consensus_by_concept(concepts, claims)
     assert scored.first()["consensus_score"] == 0.8
     assert scored.select(consensus.band(F.col("consensus_score")).alias("b")).first()["b"] == "contested"
+
+
+def test_parents_are_no_near_copies(spark, tmp_path):
+    """Pairs of more than 0.85 are no candidates in the SQL."""
+    con, folder = near_copies(tmp_path)
+    assert equal(spark, con, folder, "greedy_hierarchy") == 600
