@@ -12,14 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillgraph.functions.vectors import dot, l2_normalize, mean_vectors, similar_pairs
+from quillgraph.functions.vectors import BEST, best_of, dot, l2_normalize, mean_vectors, meet, met, similar_pairs
 from quillgraph.operators.consensus import with_totals
 from quillgraph.params import DEFAULTS, Params
 from quillgraph.sources.store import stored
 
 NOISE = -1
-#: Vectors of a block of a large project, pairs of blocks that a task compares, about, and trees that a task merges.
-BLOCK, TASK_PAIRS, TREES = 2048, 16, 16
+#: Vectors of a block of a large project, and trees that a task merges.
+BLOCK, TREES = 2048, 16
 
 
 def adaptive_size(n: int, floor: int) -> int:
@@ -291,14 +291,16 @@ def _large_density(rows: DataFrame, p: Params, block: int | None = None) -> Data
             yield row()
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ka, ma, ia, kb, mb, ib in zip(*(batch.column(c).to_pylist() for c in range(6))):
-                d = distances(np.frombuffer(ma).reshape(len(ia) // 8, -1), np.frombuffer(mb).reshape(len(ib) // 8, -1))
-                for k, side in ((ka, d), (kb, d.T))[: 1 if ka == kb else 2]:
-                    few = np.ascontiguousarray(side)
-                    few = np.partition(few, min(samples, few.shape[1]) - 1, 1)[:, :samples]
-                    few = np.pad(few, ((0, 0), (0, samples - few.shape[1])), constant_values=np.inf)
-                    yield pa.RecordBatch.from_pylist([{"k": k, "near": few.tobytes()}])
+        held: dict[int, np.ndarray] = {}
+        for (ka, ma), (kb, mb), same in met(batches, lambda _, k, cells: (k, np.frombuffer(cells[0]).reshape(cells[1].size // 8, -1))):
+            d = distances(ma, mb)
+            for k, side in ((ka, d), (kb, d.T))[: 1 if same else 2]:
+                few = np.ascontiguousarray(side)
+                few = np.partition(few, min(samples, few.shape[1]) - 1, 1)[:, :samples]
+                few = np.pad(few, ((0, 0), (0, samples - few.shape[1])), constant_values=np.inf)
+                held[k] = np.sort(np.concatenate([held[k], few], 1), 1)[:, :samples] if k in held else few
+        for k, few in held.items():
+            yield pa.RecordBatch.from_pylist([{"k": k, "near": np.ascontiguousarray(few).tobytes()}])
 
     def cores(pdf: pd.DataFrame) -> pd.DataFrame:
         near = np.concatenate([np.frombuffer(x).reshape(-1, samples) for x in pdf["near"]], 1)
@@ -317,18 +319,16 @@ def _large_density(rows: DataFrame, p: Params, block: int | None = None) -> Data
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[np.ndarray]:
-            for batch in batches:
-                for ka, ma, ca, kb, mb, cb in zip(*(batch.column(c).to_pylist() for c in range(6))):
-                    ca, cb = np.frombuffer(ca), np.frombuffer(cb)
-                    reach = np.maximum(np.maximum(ca[:, None], cb), distances(np.frombuffer(ma).reshape(len(ca), -1), np.frombuffer(mb).reshape(len(cb), -1)))
-                    if ka == kb:
-                        np.fill_diagonal(reach, 0)
-                        h, a, b = zip(*_spanning_tree(reach)) if len(ca) > 1 else ((), (), ())
-                    else:
-                        h, a, b = _tree_between(reach)
-                    edges = np.empty(len(h), EDGE)
-                    edges["h"], edges["a"], edges["b"] = h, ka * block + np.array(a, int), kb * block + np.array(b, int)
-                    yield edges
+            for (ka, ma, ca), (kb, mb, cb), same in met(batches, lambda _, k, cells: (k, np.frombuffer(cells[0]).reshape(cells[1].size // 8, -1), np.frombuffer(cells[1]))):
+                reach = np.maximum(np.maximum(ca[:, None], cb), distances(ma, mb))
+                if same:
+                    np.fill_diagonal(reach, 0)
+                    h, a, b = zip(*_spanning_tree(reach)) if len(ca) > 1 else ((), (), ())
+                else:
+                    h, a, b = _tree_between(reach)
+                edges = np.empty(len(h), EDGE)
+                edges["h"], edges["a"], edges["b"] = h, ka * block + np.array(a, int), kb * block + np.array(b, int)
+                yield edges
 
         return forest(found())
 
@@ -352,17 +352,12 @@ def _large_density(rows: DataFrame, p: Params, block: int | None = None) -> Data
 
     dealt = rows.select("id", "embedding").repartitionByRange(-(-n // block), "id").sortWithinPartitions("id")
     blocks = stored(dealt.mapInArrow(pack, "k long, ids binary, m binary"), "density-blocks")
-    count = blocks.count()
-    pairs = blocks.select(F.col("k").alias("ka")).crossJoin(blocks.select(F.col("k").alias("kb"))).where("ka <= kb")
-    tasks = max(4 * rows.sparkSession.sparkContext.defaultParallelism, count * (count + 1) // 2 // TASK_PAIRS)
-
-    def met(side: DataFrame) -> DataFrame:
-        left, right = (side.toDF(*[f"{c}{x}" for c in side.columns]) for x in "ab")
-        return pairs.join(left, "ka").join(right, "kb").repartition(tasks, "ka", "kb").select(*[f"{c}{x}" for x in "ab" for c in side.columns])
-
-    near = met(blocks.select("k", "m", "ids")).mapInArrow(nearest, "k long, near binary")
+    own = blocks.withColumn("p", F.lit(project).cast("long"))
+    near = meet(own, ["m", "ids"]).mapInArrow(nearest, "k long, near binary")
     core = stored(near.groupBy("k").applyInPandas(cores, "k long, core binary"), "cores")
-    edges = stored(met(blocks.select("k", "m").join(core, "k")).mapInArrow(trees, "edges binary"), "trees")
+    pairs = meet(own.join(core, "k"), ["m", "core"])
+    tasks = pairs.rdd.getNumPartitions()
+    edges = stored(pairs.mapInArrow(trees, "edges binary"), "trees")
     while tasks > 2 * TREES:
         tasks = -(-tasks // TREES)
         edges = stored(edges.repartition(tasks).mapInArrow(merge, "edges binary"), "trees")
@@ -449,17 +444,19 @@ def bridge_pairs(concepts: DataFrame, threshold: float = DEFAULTS.bridge_similar
     if most is not None:
         sizes = concepts.groupBy("project_id").count().where(F.col("count") <= most).select("project_id")
         rows = concepts.join(sizes, "project_id", "left_semi")
-    labels = rows.select("project_id", F.col("id").alias("a"), F.col("cluster_label").alias("la"))
-    pairs = similar_pairs(rows, threshold, float("inf"))
-    return pairs.join(labels, ["project_id", "a"]).join(labels.select("project_id", F.col("a").alias("b"), F.col("la").alias("lb")), ["project_id", "b"]).where("la <> lb").select("project_id", "a", "b", "sim")
+    return similar_pairs(rows, threshold, float("inf"), carry=("cluster_label",)).where("cluster_label_a <> cluster_label_b").select("project_id", "a", "b", "sim")
 
 
 def greedy_hierarchy(concepts: DataFrame, min_gap: float = 0.2, min_sim: float = 0.6, max_sim: float = float("inf")) -> DataFrame:
     """``project_id, id, parent_id``: of more general concepts with enough similarity (and ``max_sim`` at most), the most general; ties by id."""
-    g = concepts.select("project_id", F.col("id").alias("a"), F.coalesce("generality_score", F.lit(0.5)).alias("ga"))
-    pairs = similar_pairs(concepts, min_sim, max_sim).select("project_id", "a", "b")
-    both = pairs.union(pairs.select("project_id", F.col("b").alias("a"), F.col("a").alias("b")))
-    both = both.join(g, ["project_id", "a"]).join(g.select("project_id", F.col("a").alias("b"), F.col("ga").alias("gb")), ["project_id", "b"]).where(F.col("gb") - F.col("ga") > min_gap)
-    parents = both.groupBy("project_id", F.col("a").alias("id")).agg(F.max_by("b", F.struct("gb", -F.col("b"))).alias("parent_id"))
+
+    def ways(pairs: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        p, a, b, ga, gb = (pairs.column(c).to_numpy() for c in ("project_id", "a", "b", "g_a", "g_b"))
+        up, down = gb - ga > min_gap, ga - gb > min_gap
+        return tuple(np.concatenate([x[up], y[down]]) for x, y in ((p, p), (a, b), (b, a), (gb, ga)))
+
+    rows = concepts.select("project_id", "id", "embedding", F.coalesce("generality_score", F.lit(0.5)).alias("g"))
+    best = similar_pairs(rows, min_sim, max_sim, carry=("g",), fold=best_of(ways), schema=BEST)
+    parents = best.groupBy("project_id", "id").agg(F.max_by("other", F.struct("score", -F.col("other"))).alias("parent_id"))
     return concepts.select("project_id", "id").join(parents, ["project_id", "id"], "left")
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillgraph.functions.vectors import similar_pairs
+from quillgraph.functions.vectors import most_similar, similar_pairs
 from quillgraph.params import DEFAULTS, Params
 from quillgraph.sources.store import stored
 
@@ -19,9 +19,32 @@ STORED_TYPE = {"supports": "similar", "extends": "builds_on", "contradicts": "co
 TYPE_WEIGHT = {"prerequisite": 1.0, "contradicts": 0.95, "builds_on": 0.9, "parent_child": 0.85, "complements": 0.7, "similar": 0.5}
 
 
-def candidate_pairs(concepts: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """``project_id, a, b, sim``: pairs whose similarity is neither too low nor too high."""
-    return similar_pairs(concepts, p.pair_low, p.pair_high)
+PAIR = "project_id long, a long, b long, sim double"
+
+
+def candidate_pairs(concepts: DataFrame, p: Params = DEFAULTS, **more) -> DataFrame:
+    """``project_id, a, b, sim``: pairs whose similarity is neither too low nor too high; ``more`` is for ``similar_pairs``.
+
+    Candidates grow with the square of a project's concepts. What follows takes what it needs of concepts along with their
+    vectors (``top_candidates``, ``fresh_candidates``, ``classify_candidates``, ``shared_candidates``, ``score_candidates``),
+    so that no candidate is shuffled; the functions of pairs are for few, such as the most similar.
+    """
+    return similar_pairs(concepts, p.pair_low, p.pair_high, **more)
+
+
+def top_candidates(concepts: DataFrame, n: int = 500, p: Params = DEFAULTS) -> DataFrame:
+    """Each project's most similar candidates, with ``rank``; a task gives no more than ``n`` of a project."""
+    return top_pairs(candidate_pairs(concepts, p, fold=most_similar(n), schema=PAIR), n)
+
+
+def fresh_candidates(concepts: DataFrame, relationships: DataFrame, p: Params = DEFAULTS, most: int | None = None) -> DataFrame:
+    """Candidates without a relationship in either direction; with ``most``, the most similar of each project, with ``rank``."""
+    ends = F.least("source_concept_id", "target_concept_id").alias("id"), F.greatest("source_concept_id", "target_concept_id").alias("other")
+    known = relationships.select(*ends).distinct().groupBy("id").agg(F.collect_list("other").alias("known"))
+    rows = concepts.select("project_id", "id", "embedding").join(known, "id", "left")
+    if most is None:
+        return candidate_pairs(rows, p, without="known")
+    return top_pairs(candidate_pairs(rows, p, without="known", fold=most_similar(most), schema=PAIR), most)
 
 
 def fresh_pairs(pairs: DataFrame, relationships: DataFrame) -> DataFrame:
@@ -101,6 +124,17 @@ def shared_documents(claims: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(F.count("*").alias("shared_docs"))
 
 
+def _listed(rows: DataFrame, of: str, name: str) -> DataFrame:
+    """``id`` and the distinct values of ``of`` in rows of that concept."""
+    return rows.select(F.col("concept_id").alias("id"), of).distinct().groupBy("id").agg(F.collect_list(of).alias(name))
+
+
+def shared_candidates(concepts: DataFrame, claims: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """``a, b, shared_docs``: candidates with documents that have claims on both."""
+    rows = concepts.select("project_id", "id", "embedding").join(_listed(claims, "document_id", "shared_docs"), "id", "left")
+    return candidate_pairs(rows, p, shared=("shared_docs",)).where("shared_docs > 0").select("a", "b", "shared_docs")
+
+
 def evidence(pairs: DataFrame, mentioned: DataFrame, chunks: DataFrame, n: int = 3, chars: int = 150) -> DataFrame:
     """``a, b, previews``: the first chunks that mention both."""
     first = pairs.select("a", "b").join(mentioned.withColumnRenamed("concept_id", "a"), "a")
@@ -132,8 +166,19 @@ def classify_by_rules(pairs: DataFrame, concepts: DataFrame) -> DataFrame:
     """Pairs with ``type`` and ``rule_strength``; a missing generality counts as 0.5."""
     g = concepts.select(F.col("id").alias("a"), F.coalesce("generality_score", F.lit(0.5)).alias("g1"))
     both = pairs.join(g, "a").join(g.select(F.col("a").alias("b"), F.col("g1").alias("g2")), "b")
+    return _ruled(both.select(*pairs.columns, "g1", "g2"))
+
+
+def _ruled(pairs: DataFrame) -> DataFrame:
+    """Pairs, which have ``g1`` and ``g2``, with ``type`` and ``rule_strength``."""
     rule = rule_type(F.col("g1"), F.col("g2"), F.col("sim"))
-    return both.withColumn("_r", rule).select(*pairs.columns, "g1", "g2", F.col("_r.type").alias("type"), F.col("_r.strength").alias("rule_strength"))
+    return pairs.withColumn("_r", rule).select(*pairs.columns, F.col("_r.type").alias("type"), F.col("_r.strength").alias("rule_strength"))
+
+
+def classify_candidates(concepts: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Candidates with ``g1, g2, type, rule_strength``, by the same rules."""
+    rows = concepts.select("project_id", "id", "embedding", F.coalesce("generality_score", F.lit(0.5)).alias("g"))
+    return _ruled(candidate_pairs(rows, p, carry=("g",)).withColumnsRenamed({"g_a": "g1", "g_b": "g2"}))
 
 
 def strength(sim: Column, co: Column, max_co: Column, shared: Column, confidence: Column) -> Column:
@@ -144,11 +189,27 @@ def strength(sim: Column, co: Column, max_co: Column, shared: Column, confidence
 
 def score_pairs(pairs: DataFrame, co: DataFrame, shared: DataFrame, mentioned: DataFrame, concepts: DataFrame) -> DataFrame:
     """Pairs with ``co_occurrence, shared_docs, strength``; ``pairs`` has ``confidence``. The most mentions of a single concept of the project scale co-occurrence."""
+    joined = pairs.join(co, ["a", "b"], "left").join(shared, ["a", "b"], "left").join(_most_mentions(mentioned, concepts), "project_id", "left")
+    return _scored(joined.na.fill(0, ["co_occurrence", "shared_docs"]).na.fill(1, ["max_co"])).drop("max_co")
+
+
+def _most_mentions(mentioned: DataFrame, concepts: DataFrame) -> DataFrame:
+    """``project_id, max_co``."""
     counts = mentioned.groupBy("concept_id").count().join(concepts.select(F.col("id").alias("concept_id"), "project_id"), "concept_id")
-    most = counts.groupBy("project_id").agg(F.max("count").alias("max_co"))
-    joined = pairs.join(co, ["a", "b"], "left").join(shared, ["a", "b"], "left").join(most, "project_id", "left").na.fill(0, ["co_occurrence", "shared_docs"]).na.fill(1, ["max_co"])
+    return counts.groupBy("project_id").agg(F.max("count").alias("max_co"))
+
+
+def _scored(pairs: DataFrame) -> DataFrame:
     has = F.when(F.col("shared_docs") > 0, 1.0).otherwise(0.0)
-    return joined.withColumn("strength", strength(F.col("sim"), F.col("co_occurrence"), F.col("max_co"), has, F.col("confidence"))).drop("max_co")
+    return pairs.withColumn("strength", strength(F.col("sim"), F.col("co_occurrence"), F.col("max_co"), has, F.col("confidence")))
+
+
+def score_candidates(concepts: DataFrame, mentioned: DataFrame, claims: DataFrame, confidence: Column, p: Params = DEFAULTS) -> DataFrame:
+    """Candidates with ``co_occurrence, shared_docs, strength``, as ``score_pairs`` has them; ``confidence`` may use the columns of pairs."""
+    rows = concepts.select("project_id", "id", "embedding").join(_listed(mentioned, "chunk_id", "co_occurrence"), "id", "left").join(_listed(claims, "document_id", "shared_docs"), "id", "left")
+    rows = rows.join(_most_mentions(mentioned, concepts), "project_id", "left").na.fill(1, ["max_co"])
+    pairs = candidate_pairs(rows, p, carry=("max_co",), shared=("co_occurrence", "shared_docs")).withColumnRenamed("max_co_a", "max_co").drop("max_co_b")
+    return _scored(pairs.withColumn("confidence", confidence)).drop("max_co")
 
 
 def resolve_direction(pairs: DataFrame) -> DataFrame:
@@ -202,7 +263,7 @@ def detect(concepts: DataFrame, chunks: DataFrame, claims: DataFrame, relationsh
 
     ``classify`` maps pairs and concepts to pairs with ``type, direction, confidence``, and ``reasoning`` if it gives any.
     """
-    pairs = stored(top_pairs(fresh_pairs(candidate_pairs(concepts, p), relationships), p.max_pairs), "pairs")
+    pairs = stored(fresh_candidates(concepts, relationships, p, p.max_pairs), "pairs")
     pairs = classify(pairs, concepts)
     pairs, seen = stored(pairs, "classified"), stored(mentions(concepts, chunks), "mentions")  # a model is asked once; texts are searched once
     scored = score_pairs(pairs, cooccurrence(seen, pairs), shared_documents(claims, pairs), seen, concepts)

@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.operators import consensus
@@ -43,3 +44,71 @@ def test_parents_are_no_near_copies(spark, tmp_path):
     """Pairs of more than 0.85 are no candidates in the SQL."""
     con, folder = near_copies(tmp_path)
     assert equal(spark, con, folder, "greedy_hierarchy") == 600
+
+
+def shuffled(spark, run):
+    """Bytes that the executors shuffle while ``run`` runs."""
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = written()
+    run()
+    return written() - before
+
+
+def many(spark, n, dim=64):
+    x = np.random.default_rng(n).normal(size=(n, dim))
+    return spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "project_id": 1, "embedding": [v.tolist() for v in x]}))
+
+
+def test_pairs_of_blocks_are_not_shuffled(spark):
+    """Four times the blocks shuffle about four times as much, not sixteen."""
+    from quillgraph.functions.vectors import similar_pairs
+
+    few, much = (shuffled(spark, lambda df=many(spark, n): similar_pairs(df, 0.9, 1.0, block=16).count()) for n in (640, 2560))
+    assert much < 7 * few
+
+
+@pytest.mark.parametrize("name", ["candidate_pairs_window", "fresh_pairs_antijoin", "infer_relationship_type", "shared_docs", "relationship_strength", "bridge_pairs"])
+def test_candidates_are_not_joined(spark, sf, name):
+    """What pairs need of their concepts goes with the vectors; nothing is shuffled or joined after the pairs are made."""
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    after = plan[: plan.index("MapInArrow")]
+    assert "Exchange" not in after and "Join" not in after
+
+
+def test_pairs_carry_what_their_concepts_have(spark):
+    from quillgraph.functions.vectors import similar_pairs
+
+    x = np.random.default_rng(3).normal(size=(60, 4))
+    lists = [[int(v) for v in np.random.default_rng(k).integers(0, 40, k % 9)] if k % 7 else None for k in range(60)]
+    rows = [(100 - k, k % 2, x[k].tolist(), f"n{k}" if k % 5 else None, lists[k]) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, project_id long, embedding array<double>, name string, seen array<long>")
+    known = spark.createDataFrame([(41, [42, 43, 44, 45, 99, 1000])], "id long, known array<long>")
+    got = similar_pairs(df.join(known, "id", "left"), 0.2, 0.9, block=7, carry=("name",), shared=("seen",), without="known").collect()
+    at = {r[0]: r for r in rows}
+    u = {r[0]: np.array(r[2]) / np.linalg.norm(r[2]) for r in rows}
+    want = {(a, b) for a in at for b in at if a < b and at[a][1] == at[b][1] and 0.2 <= u[a] @ u[b] <= 0.9 and not (a == 41 and b in (42, 43, 44, 45, 99))}
+    assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
+    for r in got:
+        assert (r["name_a"], r["name_b"]) == (at[r["a"]][3], at[r["b"]][3])
+        assert r["seen"] == len(set(at[r["a"]][4] or ()) & set(at[r["b"]][4] or ()))
+
+
+def test_folds_agree_with_all_pairs(spark, monkeypatch):
+    """Rows that tasks fold are those of a window over all pairs."""
+    from quillgraph.functions import vectors
+    from quillgraph.operators import cluster, relate
+
+    monkeypatch.setattr(vectors, "FOLD_ROWS", 50)
+    df = many(spark, 300, 4).withColumn("project_id", F.col("id") % 3).withColumn("generality_score", (F.col("id") % 11) / 11.0)
+    pairs = relate.candidate_pairs(df).toPandas().sort_values(["project_id", "sim", "a", "b"], ascending=[True, False, True, True])
+    top = relate.top_candidates(df, 20).toPandas()
+    want = pairs.groupby("project_id").head(20)
+    assert sorted(zip(top["a"], top["b"])) == sorted(zip(want["a"], want["b"]))
+    parents = {r["id"]: r["parent_id"] for r in cluster.greedy_hierarchy(df, 0.2, 0.3, 0.85).collect()}
+    for i in range(300):
+        others = [b if a == i else a for a, b in zip(pairs["a"], pairs["b"]) if i in (a, b)]
+        others = [o for o in others if (o % 11) / 11.0 - (i % 11) / 11.0 > 0.2]
+        assert parents[i] == (max(others, key=lambda o: (o % 11, -o)) if others else None)
