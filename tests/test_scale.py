@@ -112,3 +112,11 @@ def test_folds_agree_with_all_pairs(spark, monkeypatch):
         others = [b if a == i else a for a, b in zip(pairs["a"], pairs["b"]) if i in (a, b)]
         others = [o for o in others if (o % 11) / 11.0 - (i % 11) / 11.0 > 0.2]
         assert parents[i] == (max(others, key=lambda o: (o % 11, -o)) if others else None)
+
+
+def test_density_shuffles_no_pairs_of_blocks(spark, monkeypatch):
+    from quillgraph.operators import cluster
+
+    monkeypatch.setattr(cluster, "BLOCK", 16)
+    few, much = (shuffled(spark, lambda df=many(spark, n): cluster.cluster_concepts(df, most=5).count()) for n in (400, 1600))
+    assert much < 7 * few
