@@ -177,6 +177,8 @@ def split_section(text: str, size: int) -> list[str]:
     return out or [text]
 
 
+#: Characters of chunks, about, that a task sends on at once.
+CHUNK_BYTES = 1 << 20
 CHUNKS = "id long, chunk_index long, content string, section_title string, section_level int, page_num int, n_words long"
 
 
@@ -189,24 +191,40 @@ def section_chunks(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataF
     if "sections" not in docs.columns:
         docs = docs.withColumn("sections", F.lit(None).cast("array<struct<title:string,content:string,level:int,page_num:int>>"))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc, text, sections in zip(pdf["id"], pdf["content_text"], pdf["sections"]):
-                own = [s for s in (sections if sections is not None else []) if (s["content"] or "").strip()]
+    names = [c.split()[0] for c in CHUNKS.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+
+        def made() -> pa.RecordBatch:
+            nonlocal held
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+            rows.clear()
+            held = 0
+            return out
+
+        # A document at a time: rows of a batch, as objects and with their chunks, would take many times its size.
+        for batch in batches:
+            for doc, text, sections in zip(*(batch.column(c) for c in range(3))):
+                doc, text, sections = doc.as_py(), text.as_py(), sections.as_py()
+                own = [s for s in sections or [] if (s["content"] or "").strip()]
                 own = own or ([{"title": "", "content": text, "level": 1, "page_num": None}] if (text or "").strip() else [])
                 k = 0
                 for s in own:
-                    parts = split_section(s["content"], size)
-                    for i, part in enumerate(parts):
-                        before = parts[i - 1].split()[-overlap:] if i and overlap else []
+                    before: list[str] = []
+                    for part in split_section(s["content"], size):
                         content = " ".join([*before, part]) if before else part
                         rows.append((doc, k, content, s["title"], s["level"], s["page_num"], len(content.split())))
-                        k += 1
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNKS.split(", ")])
-            yield out.astype({"section_level": "Int32", "page_num": "Int32"})
-
-    return docs.select(F.col("id").cast("long").alias("id"), "content_text", "sections").mapInPandas(cut, CHUNKS)
+                        before = part.split()[-overlap:] if overlap else []
+                        k, held = k + 1, held + len(content)
+                        if held >= CHUNK_BYTES:
+                            yield made()
+        if rows:
+            yield made()
+
+    return docs.select(F.col("id").cast("long").alias("id"), "content_text", "sections").mapInArrow(cut, CHUNKS)
 
 
 def context_window(chunks: DataFrame, n: int = 1) -> DataFrame:

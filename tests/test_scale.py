@@ -120,3 +120,25 @@ def test_density_shuffles_no_pairs_of_blocks(spark, monkeypatch):
     monkeypatch.setattr(cluster, "BLOCK", 16)
     few, much = (shuffled(spark, lambda df=many(spark, n): cluster.cluster_concepts(df, most=5).count()) for n in (400, 1600))
     assert much < 7 * few
+
+
+def test_chunks_are_made_a_document_at_a_time(spark, monkeypatch):
+    """A batch of 20 MB of texts takes a few MB of a worker's objects."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quillgraph.functions import text
+
+    docs = spark.createDataFrame([(1, "a b")], "id long, content_text string")
+    found = []
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(docs), name, lambda self, f, schema, name=name: found.append((name, f)))
+    text.section_chunks(docs)
+    (name, cut), = found
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(["word " * 1000] * 4000), pa.nulls(4000)], ["id", "content_text", "sections"])
+    tracemalloc.start()
+    rows = sum(len(x) if name == "mapInPandas" else x.num_rows for x in cut(iter([batch.to_pandas() if name == "mapInPandas" else batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 8000 and peak < 12_000_000
