@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import clean_name
-from quillgraph.functions.vectors import mean_vectors
+from quillgraph.functions.vectors import BEST, best_of, mean_vectors, similar_pairs, spanning
 from quillgraph.params import DEFAULTS, Params
+from quillgraph.sources.store import stored
 
 
 def name_key() -> Column:
@@ -73,14 +75,107 @@ def average_linkage(x: np.ndarray, threshold: float) -> np.ndarray:
     return group
 
 
+def chain_linkage(x: np.ndarray, size: np.ndarray, threshold: float) -> np.ndarray:
+    """The groups of ``average_linkage`` for many: ``x`` has means of unit vectors, ``size`` how many each stands for.
+
+    The mean similarity of two groups is the product of their means, so no matrix of distances is held. Chains of nearest
+    neighbours merge two that are nearest to each other, which gives the same groups in any order: a merged group is never
+    nearer to a third than its nearer part was.
+    """
+    n = live = len(x)
+    x, size, parent, place, dead, chain, start = x.copy(), np.asarray(size, float).copy(), np.arange(n), np.arange(n), np.zeros(n, bool), [], 0
+    while live > 1:
+        if not chain:
+            while dead[start]:
+                start += 1
+            chain.append(start)
+        top = chain[-1]
+        near = x @ x[top]
+        near[dead], near[top] = -np.inf, -np.inf
+        best = int(np.argmax(near))
+        if len(chain) > 1 and (near[chain[-2]] >= near[best] or best in chain):
+            best = chain[-2]
+        if not 1.0 - near[best] < 1.0 - threshold:
+            dead[top] = True  # and never merges
+            chain.pop()
+            live -= 1
+        elif len(chain) > 1 and best == chain[-2]:
+            i, j = min(top, best), max(top, best)
+            x[i] = (size[i] * x[i] + size[j] * x[j]) / (size[i] + size[j])
+            size[i] += size[j]
+            parent[place[j]], dead[j] = place[i], True
+            del chain[-2:]
+            live -= 1
+        else:
+            chain.append(best)
+        if dead.sum() * 2 > len(dead) > 64:
+            kept = np.flatnonzero(~dead)
+            chain, start = np.searchsorted(kept, chain).tolist(), 0
+            x, size, place, dead = x[kept], size[kept], place[kept], np.zeros(len(kept), bool)
+    for k in range(n):  # a parent is before its parts
+        parent[k] = parent[parent[k]]
+    return parent
+
+
+#: Concepts of a component that a task clusters by all their distances, and groups that it merges by chains, for which rounds go on.
+LINKED, CHAINED = 2000, 8000
+
+
+def _merge_large(rows: DataFrame, linked: float) -> DataFrame:
+    """``id, merged_id`` of large components: ``rows`` has ``part, id, embedding, t``.
+
+    In rounds, all groups that are nearest to each other merge at once, which is exact for average linkage. Groups without
+    a near one are done. When few are left, or rounds merge few, a task merges what is left of a component by chains.
+    """
+
+    def ways(pairs: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        p, a, b, sim, t = (pairs.column(c).to_numpy() for c in ("project_id", "a", "b", "sim", "t_a"))
+        near = 1.0 - sim < 1.0 - t
+        return tuple(np.concatenate([x[near], y[near]]) for x, y in ((p, p), (a, b), (b, a), (sim, sim)))
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id").reset_index(drop=True)
+        group = chain_linkage(np.stack(pdf["embedding"].to_numpy()).astype(float), pdf["n"].to_numpy(), float(pdf["t"].iat[0]))
+        return pd.DataFrame({"id": pdf["id"], "merged_id": pdf["id"].to_numpy()[group]})
+
+    groups = stored(rows.select("part", "id", "embedding", "t", F.lit(1).cast("long").alias("n")), "groups")
+    members = rows.select("id", F.col("id").alias("merged_id"))
+    done = None
+    while True:
+        best = similar_pairs(groups, linked - 1e-9, float("inf"), project="part", carry=("t",), unit=False, fold=best_of(ways), schema=BEST)
+        best = stored(best.groupBy("id").agg(F.max_by("other", F.struct("score", -F.col("other"))).alias("other")), "nearest")
+        both = best.join(best.select(F.col("id").alias("other"), F.col("other").alias("back")), "other").where("back = id and id < other")
+        pairs = stored(both.select(F.col("id").alias("keep"), F.col("other").alias("gone")), "merged")
+        left, merges = best.count(), pairs.count()
+        if not merges:
+            return members
+        members = _renamed(members, pairs)
+        near = groups.join(best.select("id"), "id", "left_semi").join(pairs.select(F.col("gone").alias("id"), "keep"), "id", "left").withColumn("id", F.coalesce("keep", "id"))
+        # Two at most have one id.
+        rows_ = F.array_sort(F.collect_list(F.struct("n", "embedding")))
+        one = near.groupBy("part", "id").agg(rows_.alias("s"), F.max("t").alias("t"), F.sum("n").alias("n"))
+        mean = F.when(F.size("s") == 1, F.col("s")[0]["embedding"]).otherwise(
+            F.zip_with(F.col("s")[0]["embedding"], F.col("s")[1]["embedding"], lambda x, y: (x * F.col("s")[0]["n"] + y * F.col("s")[1]["n"]) / F.col("n"))
+        )
+        groups = stored(one.select("part", "id", mean.alias("embedding"), "t", "n"), "groups")
+        members = stored(members, "members")
+        if left - merges <= CHAINED or merges * 50 < left:
+            last = groups.groupBy("part").applyInPandas(link, "id long, merged_id long")
+            return _renamed(members, last.where("id <> merged_id").select(F.col("merged_id").alias("keep"), F.col("id").alias("gone")))
+
+
+def _renamed(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Members whose group is ``gone`` belong to ``keep``."""
+    return members.join(pairs.select(F.col("gone").alias("merged_id"), "keep"), "merged_id", "left").select("id", F.coalesce("keep", "merged_id").alias("merged_id"))
+
+
 def merge_similar(concepts: DataFrame, threshold: float | None = None, p: Params = DEFAULTS) -> DataFrame:
     """``project_id, id, group_id``: name groups with vectors, merged by average linkage.
 
     The mean vectors of name groups are split into components of the graph of pairs nearer than the
-    threshold first: groups of different components are never merged, as all their distances are too large. Each
-    component is then clustered in a task.
+    threshold first: groups of different components are never merged, as all their distances are too large. A small
+    component is then clustered in a task, large ones in rounds over all tasks; no task holds the distances of many.
     """
-    from quillgraph.functions.vectors import similar_pairs
     from quillgraph.plans.components import label_components
 
     groups = name_groups(concepts)
@@ -89,16 +184,21 @@ def merge_similar(concepts: DataFrame, threshold: float | None = None, p: Params
     size = concepts.groupBy("project_id").agg(F.count("*").alias("size"))
     means = means.join(size, "project_id").withColumn("t", F.lit(threshold) if threshold is not None else merge_threshold(F.col("size"), p))
     lowest = threshold if threshold is not None else min(p.merge_similarity, p.merge_similarity_small)
-    pairs = similar_pairs(means, lowest, float("inf")).select("a", "b")
-    parts = label_components(pairs)
-    joined = means.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id"))
+    means = stored(means, "means")
+    parts = label_components(similar_pairs(means, lowest, float("inf"), fold=spanning, schema="a long, b long"))
+    joined = stored(means.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")), "parts")
+    large = stored(joined.groupBy("part").count().where(F.col("count") > LINKED).select("part"), "large")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").reset_index(drop=True)
         group = average_linkage(np.array(pdf["embedding"].tolist(), float), float(pdf["t"][0]))
         return pd.DataFrame({"project_id": pdf["project_id"], "group_id": pdf["id"], "merged_id": pdf["id"].to_numpy()[group]})
 
-    merged = joined.groupBy("project_id", "part").applyInPandas(link, "project_id long, group_id long, merged_id long")
+    merged = joined.join(large, "part", "left_anti").groupBy("project_id", "part").applyInPandas(link, "project_id long, group_id long, merged_id long")
+    if large.limit(1).count():
+        rows = joined.join(large, "part", "left_semi")
+        large_merged = _merge_large(rows, lowest)
+        merged = merged.unionByName(rows.select(F.col("project_id").cast("long"), "id").join(large_merged, "id").select("project_id", F.col("id").alias("group_id"), "merged_id"))
     return keyed.join(merged, ["project_id", "group_id"], "left").select("project_id", "id", F.coalesce("merged_id", "group_id").alias("group_id"))
 
 

@@ -142,3 +142,26 @@ def test_chunks_are_made_a_document_at_a_time(spark, monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows == 8000 and peak < 12_000_000
+
+
+def test_large_components_merge_as_small_ones(spark, monkeypatch):
+    """Rounds of nearest groups, and chains, give the groups of plain average linkage; no task makes a matrix of a large component."""
+    from quillgraph.operators import resolve
+
+    r = np.random.default_rng(6)
+    x = r.normal(size=(160, 5))
+    x[80:] = x[:80] + r.normal(size=(80, 5)) * 0.3
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    names = "id long, project_id long, name string, embedding array<double>"
+    df = spark.createDataFrame([(3 * k, k % 2, f"name {k}", x[k].tolist()) for k in range(160)], names)
+    want = {}
+    for p in (0, 1):
+        own = np.arange(p, 160, 2)
+        want |= {3 * int(own[k]): 3 * int(own[g]) for k, g in enumerate(resolve.average_linkage(unit[own], 0.6))}
+    assert 2 < len(set(want.values())) < 100
+    monkeypatch.setattr(resolve, "LINKED", 4)
+    for few in (0, 40):
+        monkeypatch.setattr(resolve, "CHAINED", few)
+        assert {r["id"]: r["group_id"] for r in resolve.merge_similar(df, 0.6).collect()} == want
+    for t in (0.3, 0.6, 0.9):
+        assert resolve.chain_linkage(unit, np.ones(160), t).tolist() == resolve.average_linkage(unit, t).tolist()
